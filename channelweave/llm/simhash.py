@@ -28,6 +28,9 @@ from channelweave.llm.shared import connected_components, text_batches, write_ta
 BITS = 64
 #: Fingerprints that one task's tries hold, about.
 TRIE_ROWS = 8192
+#: Fingerprints with the same block of bits up to which one task takes them all; beyond
+#: it they are salted, and every two salts meet in a task.
+CELL_ROWS = 2 * TRIE_ROWS
 #: Node pairs walked at a time: bounds a task's memory whatever the data.
 FRONTIER = 1 << 19
 #: XXH64 seed, as in Spark's xxhash64.
@@ -124,9 +127,19 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     n = prints.count()
     top = min(width, max(0, int(np.ceil(np.log2(max(1, n) / TRIE_ROWS)))))
     turned = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.col("simhash").alias("bits")) for i in range(blocks)))).alias("t")
-    rows = prints.select(turned).select("t.*")
-    # the subtree: the leading bits of the block that comes first in this trie
-    lead = F.coalesce(*(F.when(F.col("block") == i, F.shiftrightunsigned("bits", BITS - edge[i] - top).bitwiseAND((1 << top) - 1)) for i in range(blocks)))
+    # the subtree: the bits of the block that comes first in this trie
+    cell = F.coalesce(*(F.when(F.col("block") == i, F.shiftrightunsigned("bits", BITS - edge[i] - width).bitwiseAND((1 << width) - 1)) for i in range(blocks)))
+    rows = prints.select(turned).select("t.*").withColumn("cell", cell)
+    # at most blocks * 2 ** width cells, whatever the data: small enough to broadcast
+    crowded = rows.groupBy("block", "cell").count().where(F.col("count") > CELL_ROWS)
+    salts = crowded.select("block", "cell", F.ceil(2 * F.col("count") / CELL_ROWS).cast("int").alias("salts"))
+    rows = rows.join(F.broadcast(salts), ["block", "cell"], "left")
+    # a crowded cell's values are dealt to salts, and a task walks the trie of two salts
+    own = F.pmod(F.xxhash64("bits"), F.col("salts")).cast("int")
+    others = F.array_remove(F.sequence(F.lit(0), F.col("salts") - 1), F.col("own"))
+    rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
+    lead = F.when(F.col("salts").isNull(), F.shiftright("cell", width - top)).otherwise(F.col("cell") + (1 << width))
+    rows = rows.select("block", "bits", lead.alias("lead"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def walk(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -141,7 +154,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
         apart = label != np.arange(len(label))
         return pa.table({"a": back[apart], "b": back[label[apart]]})
 
-    return rows.withColumn("lead", lead).groupBy("block", "lead").applyInArrow(walk, "a long, b long")
+    return rows.groupBy("block", "lead", "i", "j").applyInArrow(walk, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = 3, shingle: int = 3) -> DataFrame:
