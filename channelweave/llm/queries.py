@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from channelweave.llm import decontaminate, sharding, simhash
+from channelweave.llm import chat, decontaminate, sharding, simhash, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op4_chat_format": chat.op4_chat_format,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op9_warc_transactions": warc.op9_warc_transactions,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op4_chat_format": chat.OP4_SQL,
+    "op9_warc_transactions": warc.OP9_SQL,
     "op10_extendible_sharding": sharding.OP10_SQL,
 }
