@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from channelweave.llm import chat, decontaminate, sharding, simhash, warc
+from channelweave.llm import chat, decontaminate, langid, mixing, sharding, simhash, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_language_id": langid.op3_language_id,
     "op4_chat_format": chat.op4_chat_format,
     "op6_simhash_dedup": simhash.op6_simhash_dedup,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op9_warc_transactions": warc.op9_warc_transactions,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
 }
