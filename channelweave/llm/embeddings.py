@@ -29,6 +29,8 @@ LEAST_SAMPLE = 32
 #: Levels by which oversized leaves are split further before they are salted.
 LEVELS = 12
 BLOCK = 512
+#: Projections this close are equal: rounding of single precision never parts vectors.
+TIE = 1e-6
 
 
 class Tree:
@@ -45,6 +47,7 @@ class Tree:
             d = rng.normal(size=sample.shape[1])
             p = sample[at] @ d
             low, high = np.quantile(p, (0.5 - SPILL, 0.5 + SPILL))
+            low, high = low - TIE, high + TIE
             if not (p < low).any() or not (p > high).any():
                 continue
             self.direction[node], self.low[node], self.high[node] = d, low, high
@@ -117,7 +120,8 @@ def split_level(rows: DataFrame, dim: int, level: int) -> DataFrame:
 
     rows = write_table(rows.withColumn("p", project("g", "v")), "forest-level")
     cut = rows.groupBy("g").agg(F.percentile_approx("p", F.array(F.lit(0.5 - SPILL), F.lit(0.5 + SPILL)), F.lit(1000)).alias("q"))
-    sides = F.array_compact(F.array(F.when(F.col("p") <= F.col("q")[1], F.xxhash64("g", F.lit(0))), F.when(F.col("p") >= F.col("q")[0], F.xxhash64("g", F.lit(1)))))
+    low, high = F.col("q")[0] - TIE, F.col("q")[1] + TIE
+    sides = F.array_compact(F.array(F.when(F.col("p") <= high, F.xxhash64("g", F.lit(0))), F.when(F.col("p") >= low, F.xxhash64("g", F.lit(1)))))
     return rows.join(cut, "g").select(F.explode(sides).alias("g"), "cls", "n", "v")
 
 

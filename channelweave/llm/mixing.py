@@ -82,31 +82,31 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def lay_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def lay_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Every document's place in its source's stream of words, and the sources.
 
-    The first table has doc_id, size, skey, at (the place; with skey unique among rows
-    that have words) and the columns in ``keep``. Streams are in an order of hashes;
-    sums are taken by bucket first, so that no source has to pass one task."""
-    h = F.xxhash64(F.col(doc_id), F.col(text))
+    The first table has id, size, skey, at (the place; with skey unique among rows that
+    have words) and, if ``whole``, the row itself as a struct ``doc``. Streams are in an
+    order of hashes; sums are taken by bucket first, so that no source has to pass one
+    task."""
     skey = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null"))
-    own = {doc_id, *keep}
-    rows = docs.select(*(c for c in docs.columns if c in own), F.col(source).alias("_source"), skey.alias("skey"), word_count(text).alias("size"), h.alias("h"))
+    doc = [F.struct(*docs.columns).alias("doc")] if whole else []
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), skey.alias("skey"), word_count(text).alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), *doc)
     buckets = max(1, -(-docs.count() // BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
-    sums = write_table(rows.groupBy("skey", "_source", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
+    sums = write_table(rows.groupBy("skey", "source", "bucket").agg(F.sum("size").alias("n")), "mix-buckets")
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("skey", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    before = Window.partitionBy("skey", "bucket").orderBy("h", "size", doc_id).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("skey", "bucket").orderBy("h", "size", "id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(before), F.lit(0))).join(base, ["skey", "bucket"])
-    placed = rows.withColumn("at", F.col("base") + F.col("inner")).drop("base", "inner", "bucket", "h", "_source")
-    return write_table(placed, "mix-places"), sums.groupBy("skey", "_source").agg(F.sum("n").alias("source_size"))
+    placed = rows.withColumn("at", F.col("base") + F.col("inner")).select("id", "size", "skey", "at", *(["doc"] if whole else []))
+    return write_table(placed, "mix-places"), sums.groupBy("skey", "source").agg(F.sum("n").alias("source_size"))
 
 
 def plan(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> list[dict]:
     """One dict per source (in code point order, null last): skey, source_size, target,
     blocks and quota (blocks to take). Sources are few: a row each goes to the driver."""
-    found = sorted(((r["_source"] is None, r["_source"] or "", r["skey"], r["source_size"]) for r in sources.toLocalIterator()))
+    found = sorted(((r["source"] is None, r["source"] or "", r["skey"], r["source_size"]) for r in sources.toLocalIterator()))
     sizes = [s[3] for s in found]
     out = []
     for (_, _, skey, size), target in zip(found, targets(sizes, weights, share), strict=True):
@@ -136,14 +136,14 @@ def slots(spark, sources: list[dict], seed: int = SEED) -> DataFrame:
     return drawn.select("shard", F.xxhash64("number", "t").alias("slot"), "skey", block.alias("block"), "pass")
 
 
-def pieces(places: DataFrame, sources: list[dict], doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
+def pieces(places: DataFrame, sources: list[dict], seed: int = SEED) -> DataFrame:
     """The mix: shard, slot, pass, and for each document in the slot's block which of
     its words (skip, n) the block has. A shard's slots are read in the order of ``slot``."""
     first, last = F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK)
-    cut = places.where("size > 0").select("skey", doc_id, "at", "size", F.explode(F.sequence(first, last)).alias("block"))
+    cut = places.where("size > 0").select("skey", "id", "at", "size", F.explode(F.sequence(first, last)).alias("block"))
     start = F.greatest("at", F.col("block") * BLOCK)
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    cut = cut.select("skey", doc_id, "at", "size", "block", (start - F.col("at")).alias("skip"), (end - start).alias("n"))
+    cut = cut.select("skey", "id", "at", "size", "block", (start - F.col("at")).alias("skip"), (end - start).alias("n"))
     return slots(places.sparkSession, sources, seed).join(cut, ["skey", "block"])
 
 
@@ -152,14 +152,14 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     pass that takes words of it, its text cut to those words (joined by a space) unless
     all are taken. Documents without words are in no block and so not in the mix; a null
     source is a source of its own, the last. Repeated rows are documents of their own."""
-    places, found = lay_out(docs, doc_id, text, source, tuple(docs.columns))
-    took = pieces(places.select("skey", doc_id, "at", "size"), plan(found), doc_id, seed)
+    places, found = lay_out(docs, doc_id, text, source, whole=True)
+    took = pieces(places.drop("doc"), plan(found), seed)
     took = took.groupBy("skey", "at", "pass").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("skip", "n"))).alias("spans"))
     rows = places.where("size > 0").join(took, ["skey", "at"])
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col("doc")[text], F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["skip"] + 1).cast("int"), s["n"].cast("int")))), " ")
-    rows = rows.withColumn(text, F.when(F.col("taken") == F.col("size"), F.col(text)).otherwise(cut))
-    return rows.select(*docs.columns)
+    mixed_text = F.when(F.col("taken") == F.col("size"), F.col("doc")[text]).otherwise(cut)
+    return rows.select(*(mixed_text.alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -173,4 +173,4 @@ def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     })
     rows = places.where("size > 0").join(taken, ["skey", "at"], "left").unionByName(places.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     rows = rows.join(spark.createDataFrame(table), "skey", "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
