@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from channelweave.llm import chat, decontaminate, embeddings, langid, mixing, sharding, simhash, substring, warc
+from channelweave.llm import chat, decontaminate, embeddings, langid, mixing, pii, sharding, simhash, substring, warc
 
 QUERIES = {
+    "op1_pii_surrogates": pii.op1_pii_surrogates,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_language_id": langid.op3_language_id,
     "op4_chat_format": chat.op4_chat_format,
