@@ -13,12 +13,15 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from channelweave.llm.shared import write_table
+
 #: Bytes of text in a shard at most.
 LIMIT = 16 << 20
 #: Bits of the key hash; a positive long holds them.
 BITS = 60
-#: Bits beyond the expected depth that a round looks at.
-AHEAD = 4
+#: Bits beyond the expected depth that the first round looks at, and those of a later
+#: round, which only sees what lies in cells that are too large.
+AHEAD, DEEPER = 4, 14
 #: Cells up to which their table is broadcast (about 40 bytes each).
 BROADCAST_CELLS = 1 << 16
 
@@ -39,11 +42,9 @@ def assign_shards(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "text"), t
     h, size = "_hash", "bytes"
     rows = docs.withColumn(h, key_hash(*keys)).withColumn(size, F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
     total = rows.agg(F.sum(size)).first()[0] or 0
-    depth, done = 0, None
-    pending = rows.select(F.col(h), F.col(size))
-    largest = total
+    depth, done = min(BITS, ceil(log2(max(1, total / limit))) + AHEAD), None
+    start, pending = 0, rows.select(F.col(h), F.col(size))
     while True:
-        start, depth = depth, min(BITS, depth + max(0, ceil(log2(max(1, largest / limit)))) + AHEAD)
         cells = pending.groupBy(F.shiftrightunsigned(h, BITS - depth).alias("cell")).agg(F.sum(size).alias("n"))
         up = cells.select("cell", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("d"), "n")
         up = up.withColumn("prefix", F.expr(f"shiftrightunsigned(cell, {depth} - d)"))
@@ -51,15 +52,13 @@ def assign_shards(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "text"), t
         fits = (F.col("shard_bytes") <= limit) | (F.col("d") == BITS)
         leaf = up.join(sums, ["d", "prefix"]).groupBy("cell").agg(F.min(F.when(fits, F.struct("d", "prefix", "shard_bytes"))).alias("leaf"))
         # cells of one round never meet those of another: a cell is given with its depth
-        leaf = leaf.select(F.lit(depth).alias("depth"), "cell", "leaf.*").persist()
-        placed = leaf.where("d IS NOT NULL")
+        leaf = write_table(leaf.select(F.lit(depth).alias("depth"), "cell", "leaf.*"), "shards")
+        placed, left = leaf.where("d IS NOT NULL"), leaf.where("d IS NULL").select("cell")
         done = placed if done is None else done.unionByName(placed)
-        most = leaf.where("d IS NULL").agg(F.count("*")).first()[0]
-        if not most:
+        if left.isEmpty():
             break
-        left = leaf.where("d IS NULL").select("cell")
-        pending = pending.withColumn("cell", F.shiftrightunsigned(h, BITS - depth)).join(left, "cell", "left_semi").drop("cell")
-        largest = limit
+        pending = write_table(pending.withColumn("cell", F.shiftrightunsigned(h, BITS - depth)).join(left, "cell", "left_semi").drop("cell"), "oversized")
+        start, depth = depth, min(BITS, depth + DEEPER)
     depths = [r[0] for r in done.select("depth").distinct().collect()] or [depth]
     tagged = rows
     for d in sorted(depths):
