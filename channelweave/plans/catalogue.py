@@ -333,7 +333,7 @@ def zscore_sentinel(spark, d):
 _CENTRES = [[0.5 if j % 4 == i else 0.0 for j in range(64)] for i in range(4)]
 
 
-@query(f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), d AS (SELECT vec_id, i, list_sum(list_transform(list_zip(x, c), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS d
+@query(f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), d AS (SELECT vec_id, i, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
   FROM e, (SELECT * FROM (VALUES {', '.join(f'({i}, {c})' for i, c in enumerate(_CENTRES))}) v(i, c0)) q, LATERAL (SELECT CAST(c0 AS DOUBLE[]) AS c))
   SELECT vec_id, CAST(arg_min(i, (d, i)) AS INTEGER) AS cluster FROM d GROUP BY vec_id""")
 def nearest_centroid_assign(spark, d):
@@ -550,7 +550,7 @@ def site_value_counts(spark, d):
 
 
 @query(f"""WITH {LEVELS}, z AS (SELECT y, site, count(*) AS c FROM lv GROUP BY ALL), m AS (SELECT unnest([1, 2, 4, 8, 16, 32]) AS m)
-  SELECT y, m, count(*) FILTER (WHERE c >= 3000 // m) AS n_eligible, count(*) FILTER (WHERE c >= 3000 // m) >= m AS enough FROM z, m GROUP BY ALL""")
+  SELECT *, n_eligible >= m AS enough FROM (SELECT y, m, count(*) FILTER (WHERE c >= 3000 // m) AS n_eligible FROM z, m GROUP BY y, m)""")
 def eligible_sites_per_m(spark, d):
     return studies.eligible_sites(levels(spark, d), "site", [1, 2, 4, 8, 16, 32], 3000, ["y"])
 

@@ -65,6 +65,7 @@ def copula_rows(rows: DataFrame, key: str, columns: list[str], y: str) -> DataFr
     def quantile(u: pd.Series) -> pd.Series:
         return pd.Series(inverse_normal(u.to_numpy()))
 
+    rows = rows.select(key, y, *columns).persist()
     ranked = average_ranks(rows, columns, key).withColumn("z", quantile("u"))
     number = F.array_position(F.array(*map(F.lit, columns)), F.col("column"))
     wide = ranked.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(number.alias("i"), "z"))), lambda s: s["z"]).alias("x"))
@@ -108,7 +109,9 @@ def gaussian_pid(rows: DataFrame, key: str, values: list[str], times: list[str],
     bootstrap interval of the synergy, and whether it clears the floors' sum."""
     d = len(values) + len(times)
     parts = {"val": np.arange(len(values)), "str": np.arange(len(values), d), "joint": np.arange(d)}
-    got = moments(copula_rows(rows, key, [*values, *times], y), key, d, floors, boots, seed)
+    normal = copula_rows(rows, key, [*values, *times], y).persist()
+    got = moments(normal, key, d, floors, boots, seed)
+    normal.unpersist()
     if ("all", 0) not in got or min(got["all", 0].n) <= 0:
         raise ValueError("the outcome has to have two classes")
     info = {k: {part: information(m.take(at)) for part, at in parts.items()} for k, m in got.items()}
