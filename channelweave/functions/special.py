@@ -16,10 +16,10 @@ def inverse_normal(p: np.ndarray) -> np.ndarray:
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """For positive x: recurrence up to 6, then the asymptotic series."""
+    """For positive x: recurrence up to 12, then the asymptotic series."""
     x = np.array(x, float)
     out = np.zeros_like(x)
-    while (low := x < 6).any():
+    while (low := x < 12).any():
         out[low] -= 1 / x[low]
         x[low] += 1
     inv = 1 / (x * x)

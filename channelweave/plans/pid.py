@@ -32,7 +32,7 @@ def record(table: np.ndarray, measure: str) -> dict:
     share = {f"{a}_pct": 100 * found[a] / ij if ij > 0 else None for a in ATOMS}
     return {
         "n": int(table.sum()), "n_v": table.shape[0], "n_s": table.shape[1], "n_y": table.shape[2], **found, **share, "i_val": iv, "i_str": is_, "i_joint": ij, "i_joint_mm": mm,
-        "min_cell": int(table.min(initial=0)) if table.size else 0, "n_cells": int(table.size), "n_empty_cells": int((table == 0).sum()),
+        "min_cell": int(table.min()) if table.size else 0, "n_cells": int(table.size), "n_empty_cells": int((table == 0).sum()),
     }
 
 
