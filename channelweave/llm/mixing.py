@@ -144,7 +144,8 @@ def pieces(places: DataFrame, sources: list[dict], seed: int = SEED) -> DataFram
     start = F.greatest("at", F.col("block") * BLOCK)
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * BLOCK)
     cut = cut.select("skey", "id", "at", "size", "block", (start - F.col("at")).alias("skip"), (end - start).alias("n"))
-    return slots(places.sparkSession, sources, seed).join(cut, ["skey", "block"])
+    # the draws' table is small, but not what comes of it: never broadcast the slots
+    return slots(places.sparkSession, sources, seed).hint("merge").join(cut, ["skey", "block"])
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
