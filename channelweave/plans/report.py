@@ -38,3 +38,28 @@ def markdown(title: str, sections: dict[str, DataFrame], most: int = 1000) -> st
         out += ["| " + " | ".join(f"{x:.4g}" if isinstance(x, float) else "" if x is None else str(x) for x in r) + " |" for r in rows]
         out.append("")
     return "\n".join(out)
+
+
+def study_page(keys: list[str], headline: DataFrame, gate: DataFrame, intervals: DataFrame, calibration: DataFrame, sweep: DataFrame, variance: DataFrame, pooling: DataFrame) -> str:
+    """The canonical numbers in seven sections, from result tables of a few rows each.
+
+    ``headline`` and the tables joined to it have a row for each of ``keys``; an atom's
+    net value is its estimate less the null's mean, and it is clear of the null if its
+    interval's lower end lies above the null's 95th percentile."""
+    cells = join_results(keys, headline, boot=intervals, null=calibration)
+    net = [F.round(F.col("u_str_pct"), 2).alias("estimate"), "boot_u_str_low", "boot_u_str_high", "null_null_mean", F.round(F.col("u_str") - F.col("null_null_mean"), 6).alias("net"), (F.col("boot_u_str_low") > F.col("null_null_p95")).alias("clear")]
+    verdict = cells.select(*keys, *net)
+    summary = verdict.agg(F.count("*").alias("cells"), F.count_if("clear").alias("clear"), F.bool_and("clear").alias("all_clear"), F.bool_or("clear").alias("any_clear"))
+    return markdown(
+        "Numbers",
+        {
+            "1. Cohorts": headline.select(*keys, "n").distinct().orderBy(*keys),
+            "2. Gate on the joint information": gate.select(*keys, "observed", "null_mean", "debiased", "p", "gate_pass").orderBy(*keys),
+            "3. Composition": verdict.orderBy(*keys),
+            "4. Calibration": calibration.orderBy(*keys),
+            "5. Resolution": sweep.orderBy(*[c for c in ("k", "arm") if c in sweep.columns]),
+            "6. Variance": variance.orderBy(F.desc("pct")),
+            "7. Pooling": pooling,
+            "Verdict": summary,
+        },
+    )

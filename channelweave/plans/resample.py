@@ -110,6 +110,16 @@ def joint_gate(counts: DataFrame, keys: list[str], observed: DataFrame, draws: i
     return p_value(null_draws(counts, keys, "permutation", draws, None, seed), observed, keys, "i_joint", "i_joint")
 
 
+def calibration(observed: DataFrame, draws: DataFrame, keys: list[str], value: str, seed: str = "seed") -> DataFrame:
+    """Per key: mean and sample deviation of the observed value over seeds, the first
+    seed's, the null's mean, 95th percentile and largest, what is left above the null,
+    and how many draws were used and dropped."""
+    x, o = F.when(~F.isnan(value), F.col(value)), F.when(~F.isnan(value), F.col(value))
+    null = draws.groupBy(*keys).agg(F.avg(x).alias("null_mean"), F.percentile(x, F.lit(0.95)).alias("null_p95"), F.max(x).alias("null_max"), F.count(x).alias("n_ok"), F.count_if(x.isNull()).alias("n_dropped"))
+    seen = observed.groupBy(*keys).agg(F.avg(o).alias("obs_mean"), F.stddev_samp(o).alias("obs_sd"), F.min_by(o, F.col(seed)).alias("obs_first"))
+    return seen.join(null, keys).withColumn("debiased", F.col("obs_mean") - F.col("null_mean"))
+
+
 def interval(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Mean, population deviation, median and the 2.5 and 97.5 percentiles by key."""
     parts = []

@@ -176,3 +176,23 @@ def test_studies(spark, rows):
     assert within.count() == 3 and studies.pooling_effect(within.withColumn("t", F.lit("t")), ["t"], "site").first().n_sites == 3
     dose = studies.dose_response(rows.where("y IS NOT NULL").withColumn("site", F.col("key") % 4), "site", "key", [1, 2, 4, 8], 600, 2).collect()
     assert {(r.m, r.draw): (r.n, r.n_sites) for r in dose} == {(m, d): (600 // m * m, m) for m in (1, 2, 4) for d in (0, 1)}
+
+
+def test_calibration_and_page(spark, rows):
+    from channelweave.plans import report
+    from channelweave.plans.constants import Study
+
+    counts = info.joint_counts(rows, ["k"])
+    head = pid.decompose(counts, ["k"], "ccs")
+    draws = resample.null_draws(counts, ["k"], "conditional", 20, "ccs")
+    seen = head.select("k", "u_str", F.lit(0).alias("seed")).unionByName(head.select("k", "u_str", F.lit(1).alias("seed")))
+    cal = resample.calibration(seen, draws, ["k"], "u_str")
+    got = {r.k: r for r in cal.collect()}
+    assert all(r.n_ok == 20 and r.n_dropped == 0 and r.obs_sd == 0.0 and r.null_mean <= r.null_max and abs(r.debiased - (r.obs_mean - r.null_mean)) < 1e-12 for r in got.values())
+    gate = resample.joint_gate(counts, ["k"], head.select("k", "i_joint"), 50)
+    ends = resample.interval(draws, ["k"], ["u_str"])
+    sweep = spark.createDataFrame([(2, "fixed", 1.0)], "k int, arm string, syn_mean double")
+    variance = studies.two_way_anova(spark.createDataFrame([(a, b, float(a + b + r)) for a in (0, 1) for b in (0, 1) for r in (0, 1)], "a int, b int, x double"), "a", "b", "x")
+    page = report.study_page(["k"], head, gate, ends, cal, sweep, variance, spark.createDataFrame([(1, 0.5)], "m int, mean double"))
+    assert page.count("## ") == 8 and "| 2 | fixed | 1 |" in page
+    assert Study().k == 13 and len(Study().panel) == 12
