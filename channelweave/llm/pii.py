@@ -52,8 +52,8 @@ KINDS = {
     "name": rf"(?=[{''.join(sorted({t[0] for t in (*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)}))}])(?<![\p{{L}}\d])(?:{_TITLE})\.? (?:{_WORD} ){{0,2}}{_WORD}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: What a text must have for any of them: most texts have neither and are read once.
-HINT = r"[@0-9]|" + KINDS["name"]
+#: What a text must have for any of them: most texts have none of it and are read once.
+HINT = r"[@0-9]|AKIA|" + KINDS["name"]
 
 
 def byte(digest: Column, i: Column | int) -> Column:
