@@ -19,7 +19,7 @@ WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 REACH = max(WIDTHS) - 1
 #: The bounded sample to learn from: documents of a language, documents in all, and
 #: windows of a document at most.
-DOCS_PER_LANG, DOCS, WINDOWS_PER_DOC = 1500, 30_000, 3
+DOCS_PER_LANG, DOCS, WINDOWS_PER_DOC = 1000, 30_000, 4
 STEPS, BATCH, RATE, SEED = 900, 96, 0.02, 7
 #: Windows that go through the network at a time.
 CHUNK = 512
@@ -62,12 +62,12 @@ class ByteNet:
             total[:, :, : self.reach[j]] += self.tables[j][x[:, j : j + WINDOW]]
         return total
 
-    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = []
         for i in range(0, len(x), CHUNK):
             z = np.maximum(self.convolve(x[i : i + CHUNK]).max(1), 0) @ self.out + self.bias
-            z -= z.max(1, keepdims=True)
-            out.append(z - np.log(np.exp(z).sum(1, keepdims=True)))
+            z = np.exp(z - z.max(1, keepdims=True))
+            out.append(z / z.sum(1, keepdims=True))
         return np.concatenate(out)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -115,11 +115,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
     that order), fewer where languages are many, and a few windows of each document,
     which are all that the driver gets. Rows with a null text or language are left out."""
     key = [F.col(text), *([F.col(order)] if order else [])]
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(*key).alias("h"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << 52))
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), place.alias("h"))
+    counts = dict(map(tuple, rows.groupBy("lang").count().collect()))
+    langs = sorted(counts)
     if not langs:
         return None
     each = max(1, min(DOCS_PER_LANG, DOCS // len(langs)))
+    # of a language's hashes the smallest are looked at, some more than are needed
+    below = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (3 * each + 100) / n) * (1 << 52)))))
+    rows = rows.where(F.col("h") <= below[F.col("lang")])
     rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= each)
 
     def cut(batches):
@@ -145,8 +150,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
 def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``score``, the probability (0 to 1) of that language.
 
-    Every window of the whole text is read, and log probabilities are averaged by the
-    windows' lengths. ``und`` with score 0: a null text, one without a letter, or no
+    Every window of the whole text is read, and their probabilities are averaged by the
+    windows' lengths, so a text in two languages has that of the longer part. ``und`` with score 0: a null text, one without a letter, or no
     network. Columns of these names are replaced."""
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -165,29 +170,27 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFra
                     for a in range(0, len(t), CHUNK * WINDOW):
                         piece = t[a : a + CHUNK * WINDOW]
                         total += summed(net, [piece])[0]
-                    langs[i], scores[i] = verdict(net, total, len(t))
+                    langs[i], scores[i] = verdict(net, total)
             rest = [k for k, t in enumerate(raw) if len(t) <= 64 * WINDOW]
             if rest:
                 for k, total in zip(rest, summed(net, [raw[k] for k in rest]), strict=True):
-                    langs[part[k]], scores[part[k]] = verdict(net, total, len(raw[k]))
+                    langs[part[k]], scores[part[k]] = verdict(net, total)
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return docs.withColumn("_found", look(F.col(text))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
 
 
 def summed(net: ByteNet, texts: list[bytes]) -> np.ndarray:
-    """Of each text, the log probabilities of its windows summed by their lengths."""
+    """Of each text, the probabilities of its windows summed by their lengths."""
     x, counts = windows_of(texts)
     weight = np.full(len(x), WINDOW, np.float64)
     ends = np.cumsum(counts) - 1
     weight[ends] = [len(t) - (n - 1) * WINDOW for t, n in zip(texts, counts, strict=True)]
-    return np.add.reduceat(net.log_probabilities(x) * weight[:, None], ends - counts + 1, axis=0)
+    return np.add.reduceat(net.probabilities(x) * weight[:, None], ends - counts + 1, axis=0)
 
 
-def verdict(net: ByteNet, total: np.ndarray, size: int) -> tuple[str, float]:
-    z = total / size
-    p = np.exp(z - z.max())
-    return net.langs[int(p.argmax())], float(min(1.0, p.max() / p.sum()))
+def verdict(net: ByteNet, total: np.ndarray) -> tuple[str, float]:
+    return net.langs[int(total.argmax())], float(min(1.0, total.max() / total.sum()))
 
 
 def held_out(doc_id: str = "doc_id"):
