@@ -20,7 +20,7 @@ from channelweave.llm.shared import shared_dir
 from channelweave.llm.simhash import near_duplicates
 
 #: A document goes if the network gives no language at least this probability.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 #: A document goes if so many of its words are a benchmark's; else only those words go.
 MOST_HIT = 0.5
 
