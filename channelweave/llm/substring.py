@@ -3,8 +3,9 @@
 Suffixes are taken at anchors only: of the short word sequences in a window the one
 with the least hash, so that equal windows have equal anchors. An anchor is a prefix
 that says which group a suffix belongs to. Prefixes that occur once are dropped, the
-others are packed into groups of bounded size, and where one prefix alone is too
-frequent it is made longer, up to a whole window, and needs no group any more.
+others are packed into groups of bounded size. Where one prefix alone is too frequent,
+its suffixes are dealt to several trees by document, and only what comes first in each
+tree meets the others' firsts, under a prefix as long as the whole window.
 
 In a group the tree grows from the top: a node is a set of windows with the same first
 words, and every step splits the nodes by one word more; what stands alone is a leaf
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from channelweave.llm.shared import text_batches, write_table
 
 WINDOW, PREFIX = 20, 6
-#: Suffixes in a group, about, and occurrences beyond which a prefix is made longer.
+#: Suffixes in a group, about, and occurrences of a prefix beyond which it is salted.
 GROUP_ROWS, PREFIX_ROWS = 1 << 15, 1 << 14
 #: Words whose hashes a worker remembers.
 MEMO = 1 << 19
@@ -122,8 +123,8 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     """(id, th, start, n): n consecutive windows from word ``start`` on, all of which
     start earlier too, in a smaller id or in the same id at an earlier word."""
     id_type = rows.schema["id"].dataType.simpleString()
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    text_batches(rows.sparkSession)
+    spark = rows.sparkSession
+    text_batches(spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Codes()
@@ -137,47 +138,37 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     found = write_table(rows.mapInArrow(find, f"id {id_type}, th long, at int, h long"), "anchors")
     counts = write_table(found.groupBy("h").count().where("count > 1"), "prefixes")
-    total, most = counts.agg(F.sum("count"), F.max("count")).first()
-    kept = found.join(counts, "h").select("id", "th", F.struct("at", (F.col("count") > prefix_rows).alias("long")).alias("anchor"))
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    salts = F.ceil(F.col("count") / prefix_rows).cast("int")
+    salt = F.when(salts > 1, F.pmod(F.xxhash64("id", "th"), salts)).otherwise(-1).cast("int")
+    kept = found.join(counts, "h").select("id", "th", F.struct("at", salt.alias("salt")).alias("anchor"))
     # no more rows than a text has words
     kept = kept.groupBy("id", "th").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))
     texts = rows.alias("d").join(kept.alias("k"), same_doc("d", "k")).select("d.id", "d.th", "d.text", "k.anchors")
-    groups = max(1, -(-(total or 0) // GROUP_ROWS))
-
-    def suffixes(long: bool):
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo = Codes()
-            for batch in batches:
-                codes, ends = coded(batch.column("text").to_pylist(), memo)
-                starts, doc, (at, h) = anchors(codes, ends, window, prefix)
-                lists = batch.column("anchors")
-                want = lists.flatten()
-                owner = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
-                picked = want.field("long").to_numpy(zero_copy_only=False) == long
-                wanted = np.r_[0, ends][owner[picked]] + want.field("at").to_numpy()[picked]
-                base = np.r_[0, ends]
-                if long:
-                    mine = np.isin(at, wanted)
-                    first, w = sequence_hash(codes, window, 1), sequence_hash(codes, window, 2)
-                    s = starts[mine]
-                    keys = batch.select(["id", "th"]).take(pa.array(doc[mine]))
-                    yield pa.RecordBatch.from_arrays([*keys.columns, pa.array((s - base[doc[mine]]).astype(np.int32)), pa.array(first[s].view(np.int64)), pa.array(w[s].view(np.int64))], ["id", "th", "start", "w1", "w2"])
-                    continue
-                k = runs(at)
-                n = np.diff(np.r_[k, len(at)])
-                mine = np.isin(at[k], wanted)
-                k, n = k[mine], n[mine]
-                short = codes.astype(np.uint32)
-                content = [short[a : a + m + window - 1].tobytes() for a, m in zip(starts[k].tolist(), n.tolist(), strict=True)]
-                keys = batch.select(["id", "th"]).take(pa.array(doc[k]))
-                yield pa.RecordBatch.from_arrays(
-                    [*keys.columns, pa.array((starts[k] - base[doc[k]]).astype(np.int32)), pa.array((at[k] - starts[k]).astype(np.int32)), pa.array(h[k]), pa.array(content, pa.binary())],
-                    ["id", "th", "start", "ahead", "h", "codes"],
-                )
-
-        return cut
-
-    out_schema = pa.schema([("id", id_arrow), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+    groups = max(1, -(-total // GROUP_ROWS))
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Codes()
+        for batch in batches:
+            codes, ends = coded(batch.column("text").to_pylist(), memo)
+            base = np.r_[0, ends]
+            starts, doc, (at, h) = anchors(codes, ends, window, prefix)
+            lists = batch.column("anchors")
+            want = lists.flatten()
+            wanted = base[np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))] + want.field("at").to_numpy()
+            k = runs(at)
+            n = np.diff(np.r_[k, len(at)])
+            mine = np.isin(at[k], wanted)
+            k, n = k[mine], n[mine]
+            order = np.argsort(wanted)
+            salted = want.field("salt").to_numpy()[order[np.searchsorted(wanted, at[k], sorter=order)]]
+            short = codes.astype(np.uint32)
+            content = [short[i : i + m + window - 1].tobytes() for i, m in zip(starts[k].tolist(), n.tolist(), strict=True)]
+            keys = batch.select(["id", "th"]).take(pa.array(doc[k]))
+            yield pa.RecordBatch.from_arrays(
+                [*keys.columns, pa.array((starts[k] - base[doc[k]]).astype(np.int32)), pa.array((at[k] - starts[k]).astype(np.int32)), pa.array(h[k]), pa.array(salted), pa.array(content, pa.binary())],
+                ["id", "th", "start", "ahead", "h", "salt", "codes"],
+            )
 
     def tree(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -189,32 +180,41 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         starts = (np.cumsum(sizes) - sizes)[row] + step
         # known so far: the anchor, and how far ahead of the window's start it is
-        known = table.column("h").to_numpy()[row].view(np.uint64)
+        _, known = np.unique(table.column("h").to_numpy(), return_inverse=True)
         ahead = table.column("ahead").to_numpy()[row] - step
-        _, known = np.unique(known, return_inverse=True)
-        at, node = repeats(codes, starts, known * np.int64(window) + ahead, window)
+        at, node = repeats(codes, starts, known[row] * np.int64(window) + ahead, window)
         _, ids = np.unique(ranked(table.column("id")), return_inverse=True)
         begin = table.column("start").to_numpy()[row] + step
         order = np.lexsort((begin[at], ids[row[at]], node))
         at, node = at[order], node[order]
-        top = np.r_[True, np.diff(node) != 0] if len(at) else np.zeros(0, bool)
-        lead = np.flatnonzero(top)[np.cumsum(top) - 1] if len(at) else np.zeros(0, int)
+        top = np.diff(node, prepend=-1) != 0
+        lead = np.flatnonzero(top)[np.cumsum(top) - 1]
         later = (ids[row[at]] != ids[row[at[lead]]]) | (begin[at] != begin[at[lead]])
         gone = np.sort(at[later])
-        cut = np.flatnonzero(np.r_[True, (np.diff(gone) != 1) | (np.diff(row[gone]) != 0)]) if len(gone) else np.zeros(0, int)
+        cut = np.flatnonzero((np.diff(gone, prepend=-2) != 1) | (np.diff(row[gone], prepend=-1) != 0))
         length = np.diff(np.r_[cut, len(gone)])
-        some = table.select(["id", "th"]).take(pa.array(row[gone[cut]]))
-        return pa.Table.from_arrays([*some.columns, pa.array(begin[gone[cut]].astype(np.int32)), pa.array(length.astype(np.int32))], schema=out_schema)
-
-    cuts = texts.mapInArrow(suffixes(False), f"id {id_type}, th long, start int, ahead int, h long, codes binary")
-    spans = cuts.groupBy(F.pmod("h", F.lit(groups)).alias("group")).applyInArrow(tree, f"id {id_type}, th long, start int, n int")
-    if (most or 0) > prefix_rows:
-        long = write_table(texts.mapInArrow(suffixes(True), f"id {id_type}, th long, start int, w1 long, w2 long"), "windows")
-        key = F.struct(F.col("id").isNotNull(), "id", "start")
-        least = long.groupBy("w1", "w2").agg(F.min(key).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = long.join(least, ["w1", "w2"]).where(key != F.col("least"))
-        spans = spans.unionByName(later.select("id", "th", "start", F.lit(1).alias("n")))
-    return spans
+        # of a salted prefix, what is first here has yet to meet what is first elsewhere
+        first = np.ones(len(row), bool)
+        first[gone] = False
+        first = np.flatnonzero(first & (table.column("salt").to_numpy()[row] >= 0))
+        w = [sequence_hash(codes.astype(np.uint64), window, seed)[starts[first]].view(np.int64) if len(first) else np.zeros(0, np.int64) for seed in (1, 2)]
+        some = table.select(["id", "th"]).take(pa.array(np.r_[row[gone[cut]], row[first]]))
+        spans = pa.array(np.r_[begin[gone[cut]], begin[first]].astype(np.int32))
+        blank = np.zeros(len(cut), np.int64)
+        return pa.Table.from_arrays(
+            [*some.columns, spans, pa.array(np.r_[length, np.zeros(len(first))].astype(np.int32)), *(pa.array(np.r_[blank, x]) for x in w)],
+            names=["id", "th", "start", "n", "w1", "w2"],
+        )
+
+    kind = f"id {id_type}, th long, start int"
+    cuts = texts.mapInArrow(suffixes, f"{kind}, ahead int, h long, salt int, codes binary")
+    grown = cuts.groupBy(F.pmod("h", F.lit(groups)).alias("group"), "salt").applyInArrow(tree, f"{kind}, n int, w1 long, w2 long")
+    grown = write_table(grown, "repeats")
+    # n is 0 for the first of its kind under one salt of a salted prefix
+    firsts, key = grown.where("n = 0"), F.struct(F.col("id").isNotNull(), "id", "start")
+    least = firsts.groupBy("w1", "w2").agg(F.min(key).alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")
+    later = firsts.join(least, ["w1", "w2"]).where(key != F.col("least")).select("id", "th", "start", F.lit(1).alias("n"))
+    return grown.where("n > 0").select("id", "th", "start", "n").unionByName(later)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
