@@ -3,6 +3,7 @@ folder, Arrow batch sizes, and connected components of a link table."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,19 +32,29 @@ def text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def table_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read that back.
 
     Survives the loss of executors, unlike a local checkpoint."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def empty_table(df: DataFrame, path: str) -> None:
+    """Give back the disk of a written table that nothing reads any more."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+
+
 def release(spark: SparkSession) -> None:
-    """Have the driver's collector find finished shuffles, so that Spark's cleaner drops
+    """Have the driver's collectors find finished shuffles, so that Spark's cleaner drops
     their files now and not at some later time. Costs a fraction of a second."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
