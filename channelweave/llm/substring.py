@@ -167,7 +167,10 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
             order = np.argsort(wanted)
             salted = want.field("salt").to_numpy()[order[np.searchsorted(wanted, at[k], sorter=order)]]
             short = codes.astype(np.uint32)
-            content = [short[i : i + m + window - 1].tobytes() for i, m in zip(starts[k].tolist(), n.tolist(), strict=True)]
+            # the anchor's own words stay here: its hash says what they are
+            content = [
+                short[i:a].tobytes() + short[a + prefix : i + m + window - 1].tobytes() for i, a, m in zip(starts[k].tolist(), at[k].tolist(), n.tolist(), strict=True)
+            ]
             keys = batch.select(["id", "th"]).take(pa.array(doc[k]))
             yield pa.RecordBatch.from_arrays(
                 [*keys.columns, pa.array((starts[k] - base[doc[k]]).astype(np.int32)), pa.array((at[k] - starts[k]).astype(np.int32)), pa.array(h[k]), pa.array(salted), pa.array(content, pa.binary())],
@@ -176,7 +179,9 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     def tree(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        raw = table.column("codes").to_pylist()
+        # in the anchor's place are zeros: windows of one node have the same anchor there
+        blank, places = bytes(4 * prefix), (4 * table.column("ahead").to_numpy()).tolist()
+        raw = [r[:p] + blank + r[p:] for r, p in zip(table.column("codes").to_pylist(), places, strict=True)]
         sizes = np.array([len(r) // 4 for r in raw])
         n = sizes - window + 1
         codes = np.frombuffer(b"".join(raw), np.uint32)
@@ -201,12 +206,13 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         first = np.ones(len(row), bool)
         first[gone] = False
         first = np.flatnonzero(first & (table.column("salt").to_numpy()[row] >= 0))
-        w = [sequence_hash(codes.astype(np.uint64), window, seed)[starts[first]].view(np.int64) if len(first) else np.zeros(0, np.int64) for seed in (1, 2)]
+        anchor = mix(table.column("h").to_numpy()[row[first]].view(np.uint64) + np.uint64(1))
+        w = [(sequence_hash(codes.astype(np.uint64), window, seed)[starts[first]] ^ anchor).view(np.int64) if len(first) else np.zeros(0, np.int64) for seed in (1, 2)]
         some = table.select(["id", "th"]).take(pa.array(np.r_[row[gone[cut]], row[first]]))
         spans = pa.array(np.r_[begin[gone[cut]], begin[first]].astype(np.int32))
-        blank = np.zeros(len(cut), np.int64)
+        none = np.zeros(len(cut), np.int64)
         return pa.Table.from_arrays(
-            [*some.columns, spans, pa.array(np.r_[length, np.zeros(len(first))].astype(np.int32)), *(pa.array(np.r_[blank, x]) for x in w)],
+            [*some.columns, spans, pa.array(np.r_[length, np.zeros(len(first))].astype(np.int32)), *(pa.array(np.r_[none, x]) for x in w)],
             names=["id", "th", "start", "n", "w1", "w2"],
         )
 
