@@ -1,0 +1,108 @@
+"""Near copies by exact Jaccard similarity of word shingles. MinHash bands only propose
+pairs; every pair that links is verified on the shingle sets themselves.
+
+With ``BANDS`` bands of ``BAND_ROWS`` minima a pair of similarity s shares a band with
+probability 1 - (1 - s ** BAND_ROWS) ** BANDS: all but 5e-8 of pairs at 0.8."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from channelweave.llm.shared import connected_components, text_batches, write_table
+from channelweave.llm.simhash import LOWER, SEED
+
+BANDS = 32
+BAND_ROWS = 4
+#: Shingles whose minima are taken at a time: bounds memory for long texts.
+CHUNK = 2048
+_RNG = np.random.default_rng(SEED)
+FACTORS = _RNG.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+MASKS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)[:, None]
+FOLD = _RNG.integers(1, 1 << 63, (BANDS, BAND_ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; of a text with fewer words, of all its words."""
+    words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = [words[i:] for i in range(shingle)]
+    grams = map(b" ".join, zip(*parts, strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band from the minima of its hash functions; none without shingles."""
+    if not len(hashes):
+        return hashes
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), CHUNK):
+        low = np.minimum(low, ((hashes[at : at + CHUNK] ^ MASKS) * FACTORS).min(1))
+    mixed = (low ^ (low >> np.uint64(29))).reshape(BANDS, BAND_ROWS) * FOLD
+    return np.bitwise_xor.reduce(mixed ^ (mixed >> np.uint64(31)), axis=1) * FOLD[:, 0]
+
+
+def set_key(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of sets with at least this Jaccard similarity."""
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("hashes").alias(f"{c}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    return both.where(common >= least * (F.size("a_set") + F.size("b_set") - common) - 1e-9).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row per row of docs: the id and ``component_id``, the smallest id of all
+    documents reached by pairs with a Jaccard similarity of at least ``least``.
+
+    Null and empty texts are copies of each other. Equal sets are merged first. In each
+    bucket all are compared with the least and the greatest set; only buckets that are
+    not of one component then are compared pair by pair, so a large group of near
+    copies does not cost its square."""
+    text_batches(docs.sparkSession)
+
+    @F.pandas_udf("key long, n int, bands array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t, shingle) for t in texts]
+        keys = np.array([set_key(h) for h in found], np.uint64).view(np.int64)
+        return pd.DataFrame({"key": keys, "n": [len(h) for h in found], "bands": [band_keys(h).view(np.int64) for h in found]})
+
+    @F.pandas_udf("key long, hashes array<long>")
+    def whole(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t, shingle) for t in texts]
+        return pd.DataFrame({"key": np.array([set_key(h) for h in found], np.uint64).view(np.int64), "hashes": [h.view(np.int64) for h in found]})
+
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    prints = write_table(slim.select("id", sketch("text").alias("s")).select("id", "s.*"), "similar")
+    rows = prints.select("key", "n", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    buckets = write_table(rows.join(shared, "band").distinct(), "similar-buckets")
+    # one text of each set that shares a band; an id may have other texts too
+    needed = prints.join(buckets.select("key").distinct(), "key").groupBy("key").agg(F.min("id").alias("key_id"))
+    texts = slim.join(needed, F.col("id").eqNullSafe(F.col("key_id"))).select("key", whole("text").alias("s"))
+    sets = write_table(texts.where("key = s.key").select("s.*").dropDuplicates(["key"]), "similar-sets")
+
+    stars = buckets.select(F.col("key").alias("b"), F.explode(F.array("low", "high")).alias("a")).where("a <> b")
+    tested = write_table(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-tested")
+    links = write_table(verified(tested, sets, least), "similar-links")
+    parts = connected_components(links).withColumnRenamed("node", "key")
+    placed = write_table(buckets.select("band", "key", "n").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key")), "similar-placed")
+    open_ = placed.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one < other").select("band")
+    left = placed.join(open_, "band")
+    one, other = (left.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "component"))) for x in "ab")
+    pairs = one.join(other, "band").where((F.col("key_a") < F.col("key_b")) & (F.col("component_a") != F.col("component_b")))
+    pairs = pairs.where(F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    more = verified(pairs.join(tested, ["a", "b"], "left_anti"), sets, least)
+    links = write_table(links.unionByName(more), "similar-links")
+
+    parts = write_table(connected_components(links).withColumnRenamed("node", "key"), "similar-parts")
+    grouped = prints.select("id", "key").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    lows = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
+    return grouped.join(lows, "component").select(F.col("id").alias(id_col), "component_id")

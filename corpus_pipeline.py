@@ -1,4 +1,4 @@
-"""A corpus pipeline of five stages: language identification, SimHash near-duplicates,
+"""A corpus pipeline of five stages: language identification, near-duplicates,
 benchmark decontamination, mixing of sources, and sharding.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as
@@ -17,12 +17,14 @@ from channelweave.llm.langid import UNKNOWN, fit, held_out, predict
 from channelweave.llm.mixing import mix_documents
 from channelweave.llm.sharding import assign_shards
 from channelweave.llm.shared import shared_dir
-from channelweave.llm.simhash import near_duplicates
+from channelweave.llm.similar import similar_documents
 
 #: A document goes if the network gives no language at least this probability.
 LEAST_SCORE = 0.3
 #: A document goes if so many of its words are a benchmark's; else only those words go.
 MOST_HIT = 0.5
+#: Near-duplicates: documents whose sets of so many words have at least this similarity.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; of rows
     that repeat this id, one."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = similar_documents(docs, shingle=SHINGLE, least=SIMILARITY).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     rows = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*docs.columns)
     return rows.dropDuplicates(["doc_id"])
 
