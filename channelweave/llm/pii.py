@@ -38,22 +38,22 @@ LETTERS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклм
 
 _WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
 _TITLE = "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
-_LABEL = r"(?i:password|passwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}[\"']?"
+_LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9_-]{1,40}+)?[\"']? {0,2}[=:] {0,2}[\"']?"
 #: Kind of entity -> its pattern (of the whole); the first that matches counts. Each
 #: starts with what its first character may be, which is cheap to look at.
 KINDS = {
     "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "ip": r"(?=\d)(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?=[+(\d])(?:(?<![\d.])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ -]\(?\d{2,4}\)?){2,5}(?![\d.])|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))",
+    "phone": r"(?=[+(\d])(?:(?<![\d.])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.])\+(?:[ .-]?\(?\d\)?){7,15}(?!\.?\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))",
     "card": r"(?=\d)(?<![\d.,A-Za-z-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z])",
     "iban": r"(?=[A-Z][A-Z]\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": rf"(?=[AaPpSsTt])(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|{_LABEL}(?=[^\s\"']*\d)[A-Za-z0-9+/_-]{{8,200}}={{0,2}})",
+    "secret": rf"(?=[AaPpSsTt])(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|{_LABEL}(?:(?<=\")[^\"\r\n]+(?=\"|$)|(?<=')[^'\r\n]+(?='|$)|\S+))",
     "name": rf"(?=[{''.join(sorted({t[0] for t in (*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)}))}])(?<![\p{{L}}\d])(?:{_TITLE})\.? (?:{_WORD} ){{0,2}}{_WORD}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What a text must have for any of them: most texts have none of it and are read once.
-HINT = r"[@0-9]|AKIA|" + KINDS["name"]
+HINT = r"[@0-9]|AKIA|(?=[AaPpSsTt])" + _LABEL + "|" + KINDS["name"]
 
 
 def byte(digest: Column, i: Column | int) -> Column:
@@ -118,8 +118,12 @@ def candidate(key: str) -> Column:
     labels = F.slice(F.split(domain, r"\."), 1, F.greatest(F.size(F.split(domain, r"\.")) - 1, F.lit(1)))
     email = F.concat(scramble(F.substring_index(canon, "@", 1), d), F.lit("@"), scramble(F.array_join(labels, "."), hashed(F.lit("domain"), domain)), F.lit(".example"))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), digits(canon, d)).when(kind == "iban", iban)
-    hexed = F.translate(scramble(canon, d), "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab")
-    out = out.when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), hexed).otherwise(scramble(canon, d)))
+    # a short secret's space could be full, and one without letters has none: those get longer
+    ascii_ = F.regexp_replace(canon, r"[^\x00-\x7F]", "x")
+    plain = scramble(ascii_, d)
+    plain = F.when(F.length(F.regexp_replace(canon, "[^0-9A-Za-z]", "")) < 8, F.concat(plain, F.substr(hashed(F.lit("longer"), kind, canon, attempt.cast("string")), F.lit(1), F.lit(12)))).otherwise(plain)
+    hexed = F.translate(plain, "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab")
+    out = out.when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), hexed).otherwise(plain))
     for name, pool in GIVEN.items():
         consonants, vowels = LETTERS[name.rpartition("_")[2]]
         made = lambda n, c=consonants, v=vowels: F.initcap(F.concat(*(x for i in range(n) for x in (pick(c, part(i)), pick(v, part(i) / len(c))))))
@@ -138,7 +142,7 @@ def parts_of(entity: Column) -> Column:
     unit = lambda pre, kind, canon, part: F.struct(pre.alias("pre"), kind.alias("kind"), canon.alias("canon"), part.alias("part"))
     only = lambda c, keep: F.regexp_replace(c, f"[^{keep}]", "")
     none = F.lit("")
-    country = F.regexp_extract(entity, r"^\+\d+", 0)
+    country = F.regexp_extract(entity, r"^\+(?:\d{1,3}(?=[ .(-])|[17]|\d\d)", 0)
     rest = F.substr(entity, F.length(country) + 1)
     label = F.regexp_extract(entity, rf"^(?:{_LABEL}|AKIA)", 0)
     value = F.substr(entity, F.length(label) + 1)
@@ -199,7 +203,8 @@ def replace_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key
     """docs with personal data in the text replaced, and ``entities``, how many were.
 
     Kinds: email, IPv4 address, US social security number, phone and card number, IBAN,
-    passwords and access keys, names after a title. Cards and IBANs that have a valid
+    passwords and access keys (all up to the quote or white space behind them, of any
+    length), names after a title. Cards and IBANs that have a valid
     check digit still do; emails end in a reserved domain and keep one domain for one;
     names keep gender, script and case. The same key gives the same surrogates.
 

@@ -95,3 +95,32 @@ def test_pattern_on_table(spark, sf_dir):
         assert r.entities >= len(found) and not any(m in r.text for m in found)
         assert r.entities or r.text == was[r.doc_id]
     assert PATTERN
+
+
+LONG = "aB3-_" * 1000
+
+
+VALUES = [
+    (f"token={LONG} end", LONG), ("password: Tr0ub4dor&3xyz9 end", "Tr0ub4dor&3xyz9"), ("token: eyJhbGci.eyJzdWIi.SflKxw end", "eyJhbGci.eyJzdWIi.SflKxw"),
+    ("password=correcthorsebattery end", "correcthorsebattery"), ("secret_key = abcdefghij end", "abcdefghij"), ('{"api_key": "correct horse battery"} end', "correct horse battery"),
+    ("password: it'sme end", "it'sme"), ("password: пароль end", "пароль"), ("call +441632960961 end", "1632960961"), ("call +49 30 12345678 end", "30 12345678"),
+    ("call +33 1 23 45 67 89 end", "1 23 45 67 89"), ("call +33.1.23.45.67.89 end", "1.23.45.67.89"), ("call 555 123 4567 end", "555 123 4567"),
+]
+
+
+def test_whole_value(spark):
+    """No part of a value stays, however long it is and whatever it is written with."""
+    docs = spark.createDataFrame([(i, text, "", 0) for i, (text, _) in enumerate(VALUES)], SCHEMA)
+    for r in replace_pii(docs).collect():
+        text, secret = VALUES[r.doc_id]
+        before, after = text.split(secret)
+        new = r.text[len(before) : len(r.text) - len(after)]
+        assert r.entities == 1 and r.text.startswith(before) and r.text.endswith(after), r.text
+        assert secret[:6] not in new and secret[-6:] not in new
+
+
+def test_short_values(spark):
+    """Values of one character, of signs only and of nothing do not use up their space."""
+    rows = [(i, f"token: {c}", "", 0) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(90, "password: ***", "", 0), (91, 'password=""', "", 0)]
+    got = {r.doc_id: r.text for r in replace_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len({got[i] for i in range(26)}) == 26 and all(got[i] != t for i, t, *_ in rows if i < 91)
