@@ -365,7 +365,7 @@ def collapse_rare(spark, d):
 
 @query()
 def collapse_occupancy(spark, d):
-    rows, found = quantize.collapse_for_occupancy(levels(spark, d).where("site < 3"), "v", "s", "y", min_cell=400)
+    rows, found = quantize.collapse_for_occupancy(levels(spark, d), "v", "s", "y", min_cell=20)
     return rows.groupBy("v", "s", "y").agg(F.count("*").alias("n")).withColumn("min_share", F.lit(found["min_share"]))
 
 
