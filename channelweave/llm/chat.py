@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from channelweave.llm.shared import text_batches
 
 #: A public byte-level tokenizer file; any other of the same library can be given.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -100,7 +99,6 @@ def format_conversations(
     are streamed. ``tokenizer`` is a file on the driver; its text is broadcast."""
     with open(tokenizer, encoding="utf-8") as f:
         shared = rows.sparkSession.sparkContext.broadcast(f.read())
-    text_batches(rows.sparkSession)
     roles = frozenset(learn)
     kind = pa.list_(pa.int32())
     schema = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("input_ids", kind), ("starts", kind), ("ends", kind), ("loss_mask", pa.list_(pa.bool_()))])

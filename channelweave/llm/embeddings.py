@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from channelweave.llm.shared import connected_components, text_batches, write_table
+from channelweave.llm.shared import connected_components, slices, write_table
 
 TREES, SPILL, SEED = 8, 0.06, 11
 #: Rows of a leaf, about, and rows up to which one task compares a leaf.
@@ -136,7 +136,7 @@ def pairs_of(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFr
     forest = spark.sparkContext.broadcast([Tree(sample, rows, seed + t) for t in range(trees)])
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             x = unit_rows(batch.column("v"), dim)
             for t, tree in enumerate(forest.value):
                 reached = list(tree.leaves(x))
@@ -145,7 +145,6 @@ def pairs_of(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFr
                 out = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), *out.columns], ["g", *out.schema.names])
 
-    text_batches(spark)
     kind = classes.schema["v"].dataType.simpleString()
     leaves = write_table(classes.select("cls", "n", "v").mapInArrow(descend, f"g long, cls long, n long, v {kind}"), "forest")
     whole = F.lit(0)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from channelweave.llm.shared import text_batches
+from channelweave.llm.shared import slices
 
 #: Bytes of a window, widths of the filters, and filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
@@ -21,8 +21,9 @@ REACH = max(WIDTHS) - 1
 #: windows of a document at most.
 DOCS_PER_LANG, DOCS, WINDOWS_PER_DOC = 1000, 30_000, 4
 STEPS, BATCH, RATE, SEED = 900, 96, 0.02, 7
-#: Windows that go through the network at a time.
-CHUNK = 512
+#: Windows that go through the network at a time, and bytes of texts cut up at a time
+#: (a longer text by itself).
+CHUNK, CUT_BYTES = 512, 1 << 18
 UNKNOWN = "und"
 #: Value that keeps positions behind a text's end from being a maximum.
 NEVER = np.float32(-1e4)
@@ -107,28 +108,29 @@ class ByteNet:
                 p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str | None = None) -> ByteNet | None:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> ByteNet | None:
     """A network for the languages of the labelled rows; None if there are none.
 
-    It is fitted on a bounded sample: ``DOCS_PER_LANG`` documents of each language (the
-    smallest hashes; ``order`` names a column that only spreads copies of one text in
-    that order), fewer where languages are many, and a few windows of each document,
-    which are all that the driver gets. Rows with a null text or language are left out."""
-    key = [F.col(text), *([F.col(order)] if order else [])]
-    place = F.pmod(F.xxhash64(*key), F.lit(1 << 52))
+    It is fitted on a bounded sample: ``DOCS_PER_LANG`` different texts of each language
+    (the smallest hashes), fewer where languages are many, and a few windows of each,
+    which are all that the driver gets. Rows with a null text or language are left out;
+    rows that repeat a text and language count once, and a text under two languages is
+    learned for both. Only texts and languages are looked at: other columns, ids among
+    them, change nothing. Of long texts all windows are as likely to be learned."""
+    place = F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 52))
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), place.alias("h"))
-    counts = dict(map(tuple, rows.groupBy("lang").count().collect()))
+    counts = dict(map(tuple, rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect()))
     langs = sorted(counts)
     if not langs:
         return None
     each = max(1, min(DOCS_PER_LANG, DOCS // len(langs)))
     # of a language's hashes the smallest are looked at, some more than are needed
-    below = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (3 * each + 100) / n) * (1 << 52)))))
-    rows = rows.where(F.col("h") <= below[F.col("lang")])
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= each)
+    below = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (3 * each + 100) / max(1, n)) * (1 << 52)))))
+    rows = rows.where(F.col("h") <= below[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             out = []
             for t, name, h in zip(found, batch.column("lang").to_pylist(), batch.column("h").to_pylist(), strict=True):
@@ -137,7 +139,6 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
                 out += [(name, h, t[a : a + WINDOW + REACH]) for a in sorted(starts)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "h", "bytes"])
 
-    text_batches(labelled.sparkSession)
     sample = sorted((r["lang"], r["h"], bytes(r["bytes"])) for r in rows.select("text", "lang", "h").mapInArrow(cut, "lang string, h long, bytes binary").toLocalIterator())
     x = np.zeros((len(sample), WINDOW + REACH), np.uint8)
     for row, (_, _, b) in zip(x, sample, strict=True):
@@ -150,31 +151,37 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
 def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:
     """docs with ``lang_pred`` and ``score``, the probability (0 to 1) of that language.
 
-    Every window of the whole text is read, and their probabilities are averaged by the
-    windows' lengths, so a text in two languages has that of the longer part. ``und`` with score 0: a null text, one without a letter, or no
-    network. Columns of these names are replaced."""
-    text_batches(docs.sparkSession)
+    Every window of the whole text is read, with the first bytes of the next one, and
+    their probabilities are averaged by the windows' lengths, so a text in two languages
+    has that of the longer part; of equal probabilities the first language by name.
+    ``und`` with score 0: a null text, one without a letter, or no network. Repeated
+    rows get the same; an empty table gives an empty result. Columns of these names are
+    replaced, all others stay."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("lang_pred string, score double")
     def look(texts: pd.Series) -> pd.DataFrame:
-        net, out = shared.value, pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0}, index=range(len(texts)))
-        known = [i for i, t in enumerate(texts) if net is not None and t is not None and any(map(str.isalpha, t))]
-        langs, scores = out["lang_pred"].to_numpy(object).copy(), out["score"].to_numpy().copy()
-        for at in range(0, len(known), 64):
-            part = known[at : at + 64]
-            raw = [texts.iloc[i].encode("utf-8", "replace") for i in part]
-            for i, t in zip(part, raw, strict=True):
-                total = np.zeros(len(net.langs))
-                if len(t) > 64 * WINDOW:  # a long text by itself, in pieces
-                    for a in range(0, len(t), CHUNK * WINDOW):
-                        piece = t[a : a + CHUNK * WINDOW]
-                        total += summed(net, [piece])[0]
+        net = shared.value
+        langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        part: list[tuple[int, bytes]] = []
+
+        def tell() -> None:
+            if part:
+                for (i, _), total in zip(part, summed(net, [t for _, t in part]), strict=True):
                     langs[i], scores[i] = verdict(net, total)
-            rest = [k for k, t in enumerate(raw) if len(t) <= 64 * WINDOW]
-            if rest:
-                for k, total in zip(rest, summed(net, [raw[k] for k in rest]), strict=True):
-                    langs[part[k]], scores[part[k]] = verdict(net, total)
+                part.clear()
+
+        size = 0
+        for i, t in enumerate(texts):
+            if net is None or t is None or not any(map(str.isalpha, t)):
+                continue
+            raw = t.encode("utf-8", "replace")
+            if size + len(raw) > CUT_BYTES:
+                tell()
+                size = 0
+            part.append((i, raw))
+            size += len(raw)
+        tell()
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return docs.withColumn("_found", look(F.col(text))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
@@ -201,5 +208,5 @@ def held_out(doc_id: str = "doc_id"):
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     """Every document's predicted language and its score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    net = fit(docs.where(~held_out()), order="doc_id")
+    net = fit(docs.where(~held_out()))
     return predict(docs.select("doc_id", "text", held_out().alias("held_out")), net).select("doc_id", "held_out", "lang_pred", "score")

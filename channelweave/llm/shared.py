@@ -1,35 +1,33 @@
 """What the training-data operators share: tables written to the cluster's shared
-folder, Arrow batch sizes, and connected components of a link table."""
+folder, slices of Arrow batches, and connected components of a link table."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch for text columns: long texts must not add up in a worker.
-TEXT_BATCH_ROWS = 512
+#: Rows of a slice of texts that a worker takes apart at a time.
+SLICE_ROWS = 512
 #: Rounds of star contraction after which an endless loop is assumed.
 MAX_ROUNDS = 60
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see, from ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, one machine) a temporary one is set."""
+    """The folder all executors and the driver see: ``spark.checkpoint.dir``, or, where
+    the session has none, one in the warehouse. The session's settings stay as they are."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="channelweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Small Arrow batches from here on, so that a batch of long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that arrays made of their texts stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -46,16 +44,12 @@ def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def empty_table(df: DataFrame, path: str) -> None:
-    """Give back the disk of a written table that nothing reads any more."""
-    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Have the driver's collectors find finished shuffles, so that Spark's cleaner drops
-    their files now and not at some later time. Costs a fraction of a second."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -64,8 +58,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star contraction (Kiveris et al., 2014). Every
     round is two aggregations with partial sums and two equi-joins whose hot keys AQE
-    can split; links stay in Spark and are written to the shared folder each round.
-    Nulls and self-links are ignored; an empty table gives an empty result."""
+    can split; links stay in Spark and are written to the shared folder each round,
+    where those of the round before are deleted. Nulls and self-links are ignored; an
+    empty table gives an empty result."""
     pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = write_table(pairs, "links")
     state = None
@@ -75,7 +70,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = write_table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old, links = links, write_table(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop_table(old)
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first()
         if now == state or not now[0]:
             roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

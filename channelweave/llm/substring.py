@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from channelweave.llm.shared import empty_table, release, table_path, text_batches, write_table
+from channelweave.llm.shared import drop_table, slices, write_table
 
 WINDOW, PREFIX = 20, 6
 #: Suffixes in a group, about, and occurrences of a prefix beyond which it is salted.
@@ -123,12 +123,10 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     """(id, th, start, n): n consecutive windows from word ``start`` on, all of which
     start earlier too, in a smaller id or in the same id at an earlier word."""
     id_type = rows.schema["id"].dataType.simpleString()
-    spark = rows.sparkSession
-    text_batches(spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Codes()
-        for batch in batches:
+        for batch in slices(batches):
             codes, ends = coded(batch.column("text").to_pylist(), memo)
             _, doc, (at, h) = anchors(codes, ends, window, prefix)
             k = runs(at)
@@ -136,24 +134,21 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
             keys = batch.select(["id", "th"]).take(pa.array(doc[k]))
             yield pa.RecordBatch.from_arrays([*keys.columns, pa.array((at[k] - base).astype(np.int32)), pa.array(h[k])], ["id", "th", "at", "h"])
 
-    path = table_path(spark, "anchors")
-    found = write_table(rows.mapInArrow(find, f"id {id_type}, th long, at int, h long"), "anchors", path)
+    found = write_table(rows.mapInArrow(find, f"id {id_type}, th long, at int, h long"), "anchors")
     counts = write_table(found.groupBy("h").count().where("count > 1"), "prefixes")
-    release(spark)
     total = counts.agg(F.sum("count")).first()[0] or 0
     salts = F.ceil(F.col("count") / prefix_rows).cast("int")
     salt = F.when(salts > 1, F.pmod(F.xxhash64("id", "th"), salts)).otherwise(-1).cast("int")
     kept = found.join(counts, "h").select("id", "th", F.struct("at", salt.alias("salt")).alias("anchor"))
     # no more rows than a text has words
     kept = write_table(kept.groupBy("id", "th").agg(F.sort_array(F.collect_set("anchor")).alias("anchors")), "kept")
-    empty_table(found, path)
-    release(spark)
+    drop_table(found)
     texts = rows.alias("d").join(kept.alias("k"), same_doc("d", "k")).select("d.id", "d.th", "d.text", "k.anchors")
     groups = max(1, -(-total // GROUP_ROWS))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Codes()
-        for batch in batches:
+        for batch in slices(batches):
             codes, ends = coded(batch.column("text").to_pylist(), memo)
             base = np.r_[0, ends]
             starts, doc, (at, h) = anchors(codes, ends, window, prefix)
@@ -220,7 +215,6 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     cuts = texts.mapInArrow(suffixes, f"{kind}, ahead int, h long, salt int, codes binary")
     grown = cuts.groupBy(F.pmod("h", F.lit(groups)).alias("group"), "salt").applyInArrow(tree, f"{kind}, n int, w1 long, w2 long")
     grown = write_table(grown, "repeats")
-    release(spark)
     # n is 0 for the first of its kind under one salt of a salted prefix
     firsts, key = grown.where("n = 0"), F.struct(F.col("id").isNotNull(), "id", "start")
     least = firsts.groupBy("w1", "w2").agg(F.min(key).alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")

@@ -153,7 +153,6 @@ def read_archives(spark, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # whole files
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORD)
 
 

@@ -6,7 +6,7 @@ import corpus_pipeline as cp
 import pytest
 
 from tests.llm.test_decontaminate import brute, words
-from tests.llm.test_simhash import components, slow_fingerprint
+from tests.llm.test_similar import brute as similar
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +36,8 @@ def test_language(stages):
 
 
 def test_near_duplicates(stages):
-    rows = [(r.doc_id, slow_fingerprint(r.text)) for r in stages[1].collect()]
-    want = {c for c in components(rows).values()}
+    """One document of each group that pairs with a Jaccard similarity of 0.8 make."""
+    want = set(similar([(r.doc_id, r.text) for r in stages[1].collect()]).values())
     assert Counter(r.doc_id for r in stages[2].collect()) == Counter(want)
 
 

@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline as cp
 import pytest
 
-from channelweave.llm.similar import similar_documents
+from channelweave.llm import simhash
+from channelweave.llm.simhash import similar_documents
 
 SCHEMA = "doc_id long, text string"
 
@@ -50,7 +53,9 @@ def planted():
     return [*rows, (900, None), (901, ""), (902, "One two"), (903, "one  two"), (904, "one three")]
 
 
-def test_same_as_all_pairs(spark):
+@pytest.mark.parametrize("rows_of_a_word", [1 << 18, 10])
+def test_same_as_all_pairs(spark, monkeypatch, rows_of_a_word):
+    monkeypatch.setattr(simhash, "WORD_ROWS", rows_of_a_word)
     rows = planted()
     got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)
@@ -74,3 +79,42 @@ def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "A b c d e f"), (None, None)], SCHEMA)
     assert sorted(((r.doc_id, r.component_id) for r in similar_documents(docs).collect()), key=str) == [(1, 1), (1, 1), (None, 1), (None, None)]
     assert similar_documents(docs.where("doc_id = 2")).count() == 0
+
+
+def test_repeated_ids_in_the_stage(spark, sf_dir):
+    """Of one id with two texts both groups keep a row, of one group one row."""
+    a, b = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    rows = [(1, a, "x"), (1, a + " more", "x"), (1, b, "x"), (2, b, "x"), (1, b, "a"), (1, b, "a"), (3, None, "x"), (3, "", "x"), (None, "alone", "x")]
+    got = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA + ", extra string"), sf_dir).collect()
+    assert len(got) == 4 and {(r.doc_id, r.extra) for r in got if r.text == b} == {(1, "a")}
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "3", "None"]
+
+
+def test_recall_at_the_least_similarity():
+    """Pairs of sets with a Jaccard similarity of 0.8 are proposed by nearly all tries."""
+    rng = np.random.default_rng(3)
+    found = 0
+    for _ in range(300):
+        both, one, other = np.split(rng.integers(0, 1 << 63, 360, np.uint64), [288, 324])
+        prints = [np.frombuffer(simhash.wide_fingerprint(np.sort(np.r_[both, x])), np.uint64) for x in (one, other)]
+        apart = np.bitwise_count(prints[0] ^ prints[1]).sum()
+        words = np.bitwise_count((prints[0] ^ prints[1]).view(np.uint32))
+        found += apart <= simhash.bit_budget(0.8) and words.min() <= simhash.WORD_BUDGET
+    assert found >= 0.96 * 300
+
+
+def test_dense_group_is_not_its_square(spark):
+    """Many near copies of one text: the forest has about a row for each."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(1500):
+        words = list(base)
+        words[rng.randrange(400)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [simhash.shingle_set(t) for _, t in rows]
+    prints = [(i, len(h), bytearray(simhash.wide_fingerprint(h)), i) for i, h in enumerate(sets)]
+    pairs = simhash.candidates(spark.createDataFrame(prints, "key long, n int, print binary, part long"), 0.8, True).count()
+    assert pairs < 1500 * simhash.WORDS
+    assert {r.component_id for r in similar_documents(docs).collect()} == {0}
