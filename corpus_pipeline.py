@@ -17,7 +17,7 @@ from channelweave.llm.langid import UNKNOWN, fit, held_out, predict
 from channelweave.llm.mixing import mix_documents
 from channelweave.llm.sharding import assign_shards
 from channelweave.llm.shared import shared_dir
-from channelweave.llm.similar import similar_documents
+from channelweave.llm.simhash import similar_documents
 
 #: A document goes if the network gives no language at least this probability.
 LEAST_SCORE = 0.3
@@ -29,16 +29,22 @@ SHINGLE, SIMILARITY = 5, 0.8
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a learned language; null texts and texts without letters go."""
-    found = predict(docs, fit(docs.where(~held_out()), order="doc_id"))
+    found = predict(docs, fit(docs.where(~held_out())))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; of rows
-    that repeat this id, one."""
-    kept = similar_documents(docs, shingle=SHINGLE, least=SIMILARITY).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id"))).select(*docs.columns)
-    return rows.dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates one document stays, that with the smallest id; of
+    several texts under this id that with the least hash, and of rows that repeat both
+    the least by all columns. Null and empty texts are one group. Empty in, empty out."""
+    found = similar_documents(docs.select("doc_id", "text"), shingle=SHINGLE, least=SIMILARITY)
+    ahead = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    kept = ahead.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash", "times"), "text_hash").alias("k"))
+    same = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("text") == F.col("k.text_hash"))
+    rows = docs.join(kept.select("k"), same).select(*docs.columns, F.col("k.times").alias("_times"))
+    once = rows.where("_times = 1").select(*docs.columns)
+    often = rows.where("_times > 1").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return once.unionByName(often.select("r.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
