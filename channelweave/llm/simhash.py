@@ -13,9 +13,9 @@ is one leaf. A task reports links as stars (each fingerprint with the smallest o
 its local component), so a dense group costs a row per fingerprint, not per pair.
 
 Texts whose shingle sets overlap by 0.8 differ in about a seventh of their bits, too
-many for a budget on 64. ``similar_documents`` therefore takes fingerprints of 512 bits,
+many for a budget on 64. ``similar_documents`` therefore takes fingerprints of 384 bits,
 as ``WORDS`` words with a trie each: a pair is proposed where it differs in at most
-``WORD_BUDGET`` of a word's 32 bits and in no more bits of the whole than the similarity
+``WORD_BUDGET`` of a word's 24 bits and in no more bits of the whole than the similarity
 allows, and is verified on the shingle sets."""
 
 from __future__ import annotations
@@ -39,13 +39,11 @@ TRIE_ROWS = 8192
 #: it they are salted, and every two salts meet in a task.
 CELL_ROWS = 2 * TRIE_ROWS
 #: Node pairs walked at a time: bounds a task's memory whatever the data.
-FRONTIER = 1 << 19
+FRONTIER = 1 << 17
 #: XXH64 seed, as in Spark's xxhash64.
 SEED = 42
 #: Words of a wide fingerprint, bits of a word, and a word's budget of differing bits.
-WORDS, WORD_BITS, WORD_BUDGET = 16, 32, 3
-#: Texts up to which a word's trie is one task; beyond it, tries are dealt by blocks.
-WORD_ROWS = 1 << 18
+WORDS, WORD_BITS, WORD_BUDGET = 16, 24, 2
 #: Deviations by which a pair's differing bits may exceed what is expected at the least
 #: similarity, and share of those bits up to which a chain of neighbours is followed.
 SIGMAS, CLOSE = 2.5, 0.5
@@ -145,28 +143,33 @@ def merge_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
+def dealt(rows: DataFrame, width: int, n: int, mark: str) -> DataFrame:
+    """rows (block, cell of ``width`` bits, ...) with lead, i and j, which say what goes
+    to one task: neighbouring cells, or two salts of a crowded one. ``n`` is the number
+    of rows of a block; ``mark`` is hashed for the salts."""
+    top = min(width, max(0, math.ceil(math.log2(max(1, n) / TRIE_ROWS))))
+    # at most 2 ** width cells of each block, whatever the data: small enough to broadcast
+    crowded = rows.groupBy("block", "cell").count().where(F.col("count") > CELL_ROWS)
+    salts = crowded.select("block", "cell", F.ceil(2 * F.col("count") / CELL_ROWS).cast("int").alias("salts"))
+    rows = rows.join(F.broadcast(salts), ["block", "cell"], "left")
+    # a crowded cell's values are dealt to salts, and a task walks the trie of two salts
+    own = F.pmod(F.xxhash64(mark), F.col("salts")).cast("int")
+    others = F.array_remove(F.sequence(F.lit(0), F.col("salts") - 1), F.col("own"))
+    rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
+    lead = F.when(F.col("salts").isNull(), F.shiftright("cell", width - top)).otherwise(F.col("cell") + (1 << width))
+    return rows.withColumns({"lead": lead, "i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("cell", "salts", "own", "other")
+
+
 def fingerprint_links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of the distinct values of
     ``simhash`` within max_bits differing bits."""
     blocks = max_bits + 1
     edge = [BITS * i // blocks for i in range(blocks + 1)]
     width = min(b - a for a, b in zip(edge, edge[1:], strict=False))
-    n = prints.count()
-    top = min(width, max(0, int(np.ceil(np.log2(max(1, n) / TRIE_ROWS)))))
     turned = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.col("simhash").alias("bits")) for i in range(blocks)))).alias("t")
     # the subtree: the bits of the block that comes first in this trie
     cell = F.coalesce(*(F.when(F.col("block") == i, F.shiftrightunsigned("bits", BITS - edge[i] - width).bitwiseAND((1 << width) - 1)) for i in range(blocks)))
-    rows = prints.select(turned).select("t.*").withColumn("cell", cell)
-    # at most blocks * 2 ** width cells, whatever the data: small enough to broadcast
-    crowded = rows.groupBy("block", "cell").count().where(F.col("count") > CELL_ROWS)
-    salts = crowded.select("block", "cell", F.ceil(2 * F.col("count") / CELL_ROWS).cast("int").alias("salts"))
-    rows = rows.join(F.broadcast(salts), ["block", "cell"], "left")
-    # a crowded cell's values are dealt to salts, and a task walks the trie of two salts
-    own = F.pmod(F.xxhash64("bits"), F.col("salts")).cast("int")
-    others = F.array_remove(F.sequence(F.lit(0), F.col("salts") - 1), F.col("own"))
-    rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
-    lead = F.when(F.col("salts").isNull(), F.shiftright("cell", width - top)).otherwise(F.col("cell") + (1 << width))
-    rows = rows.select("block", "bits", lead.alias("lead"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt(prints.select(turned).select("t.*").withColumn("cell", cell), width, prints.count(), "bits")
 
     def walk(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -325,24 +328,28 @@ def proposals(value: np.ndarray, prints: np.ndarray, sizes: np.ndarray, part: np
 
 def candidates(prints: DataFrame, least: float, forest: bool) -> DataFrame:
     """Distinct pairs (a, b), a < b, of keys whose parts differ, proposed by the tries of
-    all words. ``prints`` has key, n, print and part; texts without words are in none."""
-    rows = prints.where("n > 0")
-    blocks = 1 if rows.count() <= WORD_ROWS else WORD_BUDGET + 1
-    width = WORD_BITS // (WORD_BUDGET + 1) if blocks > 1 else 0
-    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(WORDS * blocks - 1))))
-    hexed = F.hex(F.substring("print", 1, WORDS * WORD_BITS // 8))
-    # a block is the byte of the word that two texts of a task have in common
-    cell = F.substr(hexed, F.floor(F.col("at") / blocks).cast("int") * (WORD_BITS // 4) + (F.col("at") % blocks) * 2 + 1, F.lit(2)) if width else F.lit("")
+    all words. ``prints`` has key, n, print and maybe part (else each key is its own);
+    texts without words are in no trie."""
+    rows, byte = prints.where("n > 0"), 8
+    blocks = WORD_BUDGET + 1
+    n = rows.count()
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(WORDS * blocks - 1))))
+    # a block is a byte of a word: one at least is the same in both texts of a pair
+    rows = rows.withColumn("cell", F.conv(F.hex(F.substr("print", F.col("block") + 1, F.lit(1))), 16, 10).cast("int"))
+    rows = dealt(rows, byte, n, "key")
 
     def walk(table: pa.Table) -> pa.Table:
-        at = table.column("at")[0].as_py()
+        block = table.column("block")[0].as_py()
         key, raw = table.column("key").to_numpy(), np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        word = raw[:, at // blocks * (WORD_BITS // 8) :][:, : WORD_BITS // 8]
-        value = np.roll(word, -(at % blocks), axis=1).copy().view(">u4")[:, 0].astype(np.uint64)
-        u, v = proposals(value, raw.view(np.uint64), table.column("n").to_numpy(), table.column("part").to_numpy(), width, least, forest)
+        at = block // blocks * blocks
+        value = np.zeros(len(key), np.uint64)
+        for k in range(blocks):
+            value = (value << np.uint64(byte)) | raw[:, at + (block + k) % blocks].astype(np.uint64)
+        part = table.column("part").to_numpy() if "part" in table.column_names else key
+        u, v = proposals(value, raw.view(np.uint64), table.column("n").to_numpy(), part, byte, least, forest)
         return pa.table({"a": np.minimum(key[u], key[v]), "b": np.maximum(key[u], key[v])})
 
-    return rows.withColumn("cell", cell).groupBy("at", "cell").applyInArrow(walk, "a long, b long").distinct()
+    return rows.groupBy("block", "lead", "i", "j").applyInArrow(walk, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -380,7 +387,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     prints = write_table(slim.select("id", F.xxhash64("text").alias("text_hash"), sketch("text").alias("s")).select("id", "text_hash", "s.*"), "similar")
     classes = write_table(prints.groupBy("key").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("print").alias("print")), "similar-classes")
-    tested = write_table(candidates(classes.withColumn("part", F.col("key")), least, True), "similar-pairs")
+    tested = write_table(candidates(classes.select("key", "n", "print"), least, True), "similar-pairs")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """Shingle sets of the pairs' keys, read again from one text of each."""

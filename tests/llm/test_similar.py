@@ -53,9 +53,11 @@ def planted():
     return [*rows, (900, None), (901, ""), (902, "One two"), (903, "one  two"), (904, "one three")]
 
 
-@pytest.mark.parametrize("rows_of_a_word", [1 << 18, 10])
-def test_same_as_all_pairs(spark, monkeypatch, rows_of_a_word):
-    monkeypatch.setattr(simhash, "WORD_ROWS", rows_of_a_word)
+@pytest.mark.parametrize("crowd", [False, True])
+def test_same_as_all_pairs(spark, monkeypatch, crowd):
+    if crowd:
+        monkeypatch.setattr(simhash, "TRIE_ROWS", 4)
+        monkeypatch.setattr(simhash, "CELL_ROWS", 2)
     rows = planted()
     got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)
@@ -98,7 +100,7 @@ def test_recall_at_the_least_similarity():
         both, one, other = np.split(rng.integers(0, 1 << 63, 360, np.uint64), [288, 324])
         prints = [np.frombuffer(simhash.wide_fingerprint(np.sort(np.r_[both, x])), np.uint64) for x in (one, other)]
         apart = np.bitwise_count(prints[0] ^ prints[1]).sum()
-        words = np.bitwise_count((prints[0] ^ prints[1]).view(np.uint32))
+        words = np.bitwise_count((prints[0] ^ prints[1]).view(np.uint8)).reshape(simhash.WORDS, -1).sum(1)
         found += apart <= simhash.bit_budget(0.8) and words.min() <= simhash.WORD_BUDGET
     assert found >= 0.96 * 300
 
