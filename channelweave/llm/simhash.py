@@ -16,7 +16,7 @@ Texts whose shingle sets overlap by 0.8 differ in about a seventh of their bits,
 many for a budget on 64. ``similar_documents`` therefore takes fingerprints of 384 bits,
 as ``WORDS`` words with a trie each: a pair is proposed where it differs in at most
 ``WORD_BUDGET`` of a word's 24 bits and in no more bits of the whole than the similarity
-allows, and is verified on the shingle sets."""
+allows. Within what such pairs unite, links are verified on the shingle sets."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from channelweave.llm.shared import connected_components, write_table
+from channelweave.llm.shared import connected_components, slices, write_table
 
 BITS = 64
 #: Fingerprints that one task's tries hold, about.
@@ -47,6 +47,8 @@ WORDS, WORD_BITS, WORD_BUDGET = 16, 24, 2
 #: Deviations by which a pair's differing bits may exceed what is expected at the least
 #: similarity, and share of those bits up to which a chain of neighbours is followed.
 SIGMAS, CLOSE = 2.5, 0.5
+#: Texts and shingles up to which one task verifies a group; larger ones are salted.
+GROUP_TEXTS, GROUP_SHINGLES = 2048, 1 << 22
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -276,15 +278,15 @@ def first_of_kind(x: np.ndarray) -> np.ndarray:
     return first[inverse]
 
 
-def proposals(value: np.ndarray, prints: np.ndarray, sizes: np.ndarray, part: np.ndarray, first: int, least: float, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one trie that are of different parts and may reach the similarity:
-    a forest of the nearest that unites what all of them unite, or all.
+def proposals(value: np.ndarray, prints: np.ndarray, sizes: np.ndarray, first: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one trie that unite what all pairs unite that may reach the
+    similarity: the nearest ones.
 
-    For the forest a chain of close neighbours comes first, and nodes of the trie that it
-    has made one are not walked, so a dense group does not cost its square."""
+    A chain of close neighbours comes first, and nodes of the trie that it has made one
+    are not walked, so a dense group does not cost its square."""
     budget = bit_budget(least)
     order = np.lexsort((prints[:, 1], prints[:, 0], value))
-    label = first_of_kind(part[order])
+    label = np.arange(len(order))
 
     def near(i: np.ndarray, j: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = order[i], order[j]
@@ -293,14 +295,12 @@ def proposals(value: np.ndarray, prints: np.ndarray, sizes: np.ndarray, part: np
         d = np.bitwise_count(prints[a] ^ prints[b]).sum(1, dtype=np.int64)
         return i[d <= most], j[d <= most], d[d <= most]
 
-    chain = np.zeros((2, 0), np.int64)
-    if forest:
-        at = np.arange(len(order) - 1)
-        u, v, _ = near(at, at + 1, CLOSE * budget)
-        chain = order[np.stack([u, v])]
-        label = merge_labels(label, u, v)
-        turn = np.lexsort((label, value[order]))
-        order, label = order[turn], first_of_kind(label[turn])
+    at = np.arange(len(order) - 1)
+    u, v, _ = near(at, at + 1, CLOSE * budget)
+    chain = order[np.stack([u, v])]
+    label = merge_labels(label, u, v)
+    turn = np.lexsort((label, value[order]))
+    order, label = order[turn], first_of_kind(label[turn])
     found, edges, kept = value[order], [np.zeros(0, np.int64)] * 3, 0
     start = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
     end = np.r_[start[1:], len(found)]
@@ -309,7 +309,7 @@ def proposals(value: np.ndarray, prints: np.ndarray, sizes: np.ndarray, part: np
 
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.arange(len(found))
-        # of one value, other parts' rows
+        # of one value, rows that the chain has not united
         yield from ragged(np.r_[run[1:], len(found)][np.searchsorted(run, rows, "right") - 1], end[np.searchsorted(start, rows, "right") - 1])
         for u, v in trie_links(found[start], first, WORD_BUDGET, WORD_BITS, group):
             for k, i in ragged(start[u], end[u]):
@@ -318,18 +318,54 @@ def proposals(value: np.ndarray, prints: np.ndarray, sizes: np.ndarray, part: np
 
     for i, j in pairs():
         edges = [np.concatenate(x) for x in zip(edges, near(i, j, budget), strict=True)]
-        if forest and len(edges[0]) > 2 * kept + FRONTIER:
+        if len(edges[0]) > 2 * kept + FRONTIER:
             tree = spanning(label, *edges)
             edges, kept = [x[tree] for x in edges], len(tree)
-    tree = spanning(label, *edges) if forest else slice(None)
+    tree = spanning(label, *edges)
     out = np.concatenate([chain, order[np.stack([edges[0][tree], edges[1][tree]])]], axis=1)
     return out[0], out[1]
 
 
-def candidates(prints: DataFrame, least: float, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of keys whose parts differ, proposed by the tries of
-    all words. ``prints`` has key, n, print and maybe part (else each key is its own);
-    texts without words are in no trie."""
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def verified_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that unite what all pairs with at least this Jaccard similarity
+    unite.
+
+    Of the pairs that fingerprints allow, forests of the nearest are verified until every
+    pair is of one component or has failed; all others have failed on their bits."""
+    prints = np.frombuffer(b"".join(map(wide_fingerprint, sets)), np.uint64).reshape(len(sets), -1)
+    sizes, budget = np.array([len(x) for x in sets]), bit_budget(least)
+    label, links = np.arange(len(sets)), [np.zeros((2, 0), np.int64)]
+    for at in range(0, len(sets), 512):
+        d = np.zeros((len(sets[at : at + 512]), len(sets) - at), np.uint16)
+        for k in range(prints.shape[1]):
+            d += np.bitwise_count(prints[at : at + 512, k][:, None] ^ prints[at:, k][None])
+        i, j = np.nonzero(d <= budget)
+        d = d[i, j].astype(np.int64)
+        i, j = i + at, j + at
+        ok = (i < j) & (np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]) - 1e-9)
+        i, j, d = i[ok], j[ok], d[ok]
+        while len(i):
+            tree = spanning(label, i, j, d)
+            good = np.array([jaccard(sets[a], sets[b]) >= least - 1e-9 for a, b in zip(i[tree], j[tree], strict=True)], bool)
+            links.append(np.stack([i[tree][good], j[tree][good]]))
+            label = merge_labels(label, *links[-1])
+            rest = np.ones(len(i), bool)
+            rest[tree] = False
+            rest &= label[i] != label[j]
+            i, j, d = i[rest], j[rest], d[rest]
+    out = np.concatenate(links, axis=1)
+    return out[0], out[1]
+
+
+def candidates(prints: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of keys that unite what all pairs unite that the
+    tries of all words propose. ``prints`` has key, n and print; texts without words are
+    in no trie."""
     rows, byte = prints.where("n > 0"), 8
     blocks = WORD_BUDGET + 1
     n = rows.count()
@@ -345,19 +381,33 @@ def candidates(prints: DataFrame, least: float, forest: bool) -> DataFrame:
         value = np.zeros(len(key), np.uint64)
         for k in range(blocks):
             value = (value << np.uint64(byte)) | raw[:, at + (block + k) % blocks].astype(np.uint64)
-        part = table.column("part").to_numpy() if "part" in table.column_names else key
-        u, v = proposals(value, raw.view(np.uint64), table.column("n").to_numpy(), part, byte, least, forest)
+        u, v = proposals(value, raw.view(np.uint64), table.column("n").to_numpy(), byte, least)
         return pa.table({"a": np.minimum(key[u], key[v]), "b": np.maximum(key[u], key[v])})
 
     return rows.groupBy("block", "lead", "i", "j").applyInArrow(walk, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) with ``linked``: their sets' Jaccard similarity reaches ``least``."""
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("hashes").alias(f"{c}_set"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    return both.select("a", "b", (common >= least * (F.size("a_set") + F.size("b_set") - common) - 1e-9).alias("linked"))
+def united(sets: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b) between the sets (component, key, hashes) of one component
+    that unite what all its links unite. A component of too many texts or shingles is
+    dealt to salts, and every two salts meet in a task."""
+    sizes = sets.groupBy("component").agg(F.count("*").alias("texts"), F.sum(F.size("hashes")).alias("shingles"))
+    salts = F.greatest(F.ceil(2 * F.col("texts") / GROUP_TEXTS), F.ceil(2 * F.col("shingles") / GROUP_SHINGLES)).cast("int")
+    over = sizes.where((F.col("texts") > GROUP_TEXTS) | (F.col("shingles") > GROUP_SHINGLES)).select("component", salts.alias("salts"))
+    rows = sets.join(over, "component", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"), F.lit(0)))
+    others = F.coalesce(F.array_remove(F.sequence(F.lit(0), F.col("salts") - 1), F.col("own")), F.array(F.lit(0)))
+    rows = rows.withColumn("other", F.explode(others)).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    rows = rows.select("component", "i", "j", "key", "hashes")
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, lists = table.column("key").to_numpy(), table.column("hashes").chunk(0)
+        ends = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy().view(np.uint64)
+        u, v = verified_links([flat[x:y] for x, y in zip(ends, ends[1:], strict=False)], least)
+        return pa.table({"a": np.minimum(key[u], key[v]), "b": np.maximum(key[u], key[v])})
+
+    return rows.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -367,49 +417,38 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     tells groups apart even where ids repeat.
 
     Equal sets are merged first; null and empty texts are copies of each other. Tries of
-    wide fingerprints propose a forest of the nearest pairs, and each is verified on the
-    sets. Where a proposed pair fails, its two parts are compared pair by pair. A pair
-    at 0.8 exactly is proposed with a probability of 0.98, at 0.85 with 0.999. Rows
+    wide fingerprints propose pairs; within what these unite, all pairs whose
+    fingerprints allow it are verified on the sets, unless they are united already. A
+    pair at 0.8 exactly is proposed with a probability of 0.98, at 0.85 with 0.999. Rows
     repeated with the same id share their component; a null id gets a component (null if
     no other id is in it). Other columns are not read. Empty in, empty out."""
 
     @F.pandas_udf("key long, n int, print binary")
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(t, shingle) for t in texts]
-        keys = np.array([set_key(h) for h in found], np.uint64).view(np.int64)
-        return pd.DataFrame({"key": keys, "n": [len(h) for h in found], "print": [wide_fingerprint(h) for h in found]})
-
-    @F.pandas_udf("key long, hashes array<long>")
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"key": np.array([set_key(h) for h in found], np.uint64).view(np.int64), "hashes": [h.view(np.int64) for h in found]})
-
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    prints = write_table(slim.select("id", F.xxhash64("text").alias("text_hash"), sketch("text").alias("s")).select("id", "text_hash", "s.*"), "similar")
-    classes = write_table(prints.groupBy("key").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("print").alias("print")), "similar-classes")
-    tested = write_table(candidates(classes.select("key", "n", "print"), least, True), "similar-pairs")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Shingle sets of the pairs' keys, read again from one text of each."""
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        needed = classes.join(keys, "key").select(F.col("low").alias("key_id")).distinct()
-        texts = slim.join(needed, F.col("id").eqNullSafe(F.col("key_id"))).select(whole("text").alias("s")).select("s.*")
-        # an id may have other texts too
-        return write_table(texts.join(keys, "key", "left_semi").dropDuplicates(["key"]), "similar-sets")
-
-    told = write_table(verified(tested, sets_of(tested), least), "similar-told")
-    links = told.where("linked").select("a", "b")
-    failed = told.where("NOT linked")
-    if not failed.isEmpty():
-        parts = write_table(connected_components(links).withColumnRenamed("node", "key"), "similar-parts")
-        placed = write_table(classes.join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")), "similar-placed")
-        ends = failed.select(F.col("a").alias("key")).union(failed.select("b")).distinct()
-        open_ = placed.join(ends, "key").select("part").distinct()
-        rest = candidates(placed.join(open_, "part").select("key", "n", "print", "part"), least, False)
-        rest = write_table(rest.join(failed, ["a", "b"], "left_anti"), "similar-rest")
-        more = write_table(verified(rest, sets_of(rest), least), "similar-more")
-        links = links.unionByName(more.where("linked").select("a", "b"))
-    parts = write_table(connected_components(links).withColumnRenamed("node", "key"), "similar-ends")
+        keys, sizes, prints = [], [], []
+        for t in texts:
+            found = shingle_set(t, shingle)
+            keys.append(set_key(found))
+            sizes.append(len(found))
+            prints.append(wide_fingerprint(found))
+        return pd.DataFrame({"key": np.array(keys, np.uint64).view(np.int64), "n": sizes, "print": prints})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
+            keys = np.array([set_key(h) for h in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], ["key", "hashes"])
+
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    prints = write_table(slim.select("id", "text_hash", sketch("text").alias("s")).select("id", "text_hash", "s.*"), "similar")
+    first = F.min(F.struct("id", "text_hash"))
+    classes = write_table(prints.groupBy("key").agg(first.alias("first"), F.min("id").alias("low"), F.first("n").alias("n"), F.first("print").alias("print")), "similar-classes")
+    groups = write_table(connected_components(write_table(candidates(classes.select("key", "n", "print"), least), "similar-pairs")).withColumnRenamed("node", "key"), "similar-groups")
+    # shingle sets of the grouped texts, read again from one text of each
+    needed = write_table(classes.join(groups, "key").select("first.id", "first.text_hash"), "similar-needed").alias("k")
+    texts = slim.alias("t").join(needed, F.col("t.id").eqNullSafe(F.col("k.id")) & (F.col("t.text_hash") == F.col("k.text_hash"))).select("t.text")
+    sets = write_table(texts.mapInArrow(whole, "key long, hashes array<long>"), "similar-sets").dropDuplicates(["key"]).join(groups, "key")
+    parts = write_table(connected_components(write_table(united(sets, least), "similar-links")).withColumnRenamed("node", "key"), "similar-parts")
     grouped = classes.join(parts, "key", "left").select("key", "low", F.coalesce("component", "key").alias("component"))
     lows = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     reached = grouped.join(lows, "component").select("key", "component", "component_id")
