@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,15 +44,14 @@ def slug(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
-def slug_name(label: str) -> str:
-    return re.sub("[^a-z0-9]+", "_", label.lower()).strip("_")
-
+def unique_slug(name: str, key: str) -> Column:
+    """The slug of a label, with the id behind it where several ids share the slug or a
+    suffixed name would equal another label's: a window over a table of labels."""
+    from pyspark.sql import Window
 
-def unique_slugs(labels: dict) -> dict:
-    """id -> column name; names that several ids share end in the id."""
-    names = {k: slug_name(str(v)) for k, v in labels.items()}
-    shared = [n for n in names.values() if list(names.values()).count(n) > 1]
-    return {k: f"{n}_{k}" if n in shared else n for k, n in names.items()}
+    plain = slug(F.col(name))
+    shared = F.count("*").over(Window.partitionBy(plain)) > 1
+    return F.when(shared | plain.rlike("_[0-9]+$"), F.concat(plain, F.lit("_"), F.col(key).cast("string"))).otherwise(plain)
 
 
 def xlnx(p: Column) -> Column:

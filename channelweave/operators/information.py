@@ -77,11 +77,11 @@ def average_ranks(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
     long = rows.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select(key, "x.*").where("value IS NOT NULL")
     by_value = long.groupBy("column", "value").agg(F.count("*").alias("c"))
     cuts = by_value.groupBy("column").agg(F.percentile_approx("value", F.array(*(F.lit(i / 64) for i in range(1, 64))), F.lit(1000)).alias("cuts"))
-    placed = by_value.join(F.broadcast(cuts), "column").withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("value")))).drop("cuts")
+    placed = by_value.join(cuts, "column").withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("value")))).drop("cuts")
     sums = placed.groupBy("column", "part").agg(F.sum("c").alias("m"))
     before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("column", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy("column")).alias("total"))
     before = Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("less", F.coalesce(F.sum("c").over(before), F.lit(0))).join(F.broadcast(base), ["column", "part"])
+    ranked = placed.withColumn("less", F.coalesce(F.sum("c").over(before), F.lit(0))).join(base, ["column", "part"])
     u = (F.col("base") + F.col("less") + (F.col("c") + 1) / F.lit(2.0)) / (F.col("total") + 1)
     return long.join(ranked.select("column", "value", u.alias("u")), ["column", "value"]).select(key, "column", "value", "u")

@@ -51,7 +51,7 @@ def relabel_by_size(rows: DataFrame, cluster: str, into: str = "level") -> DataF
     is ranked, and joined back."""
     sizes = rows.groupBy(cluster).agg(F.count("*").alias("_n"))
     ranked = sizes.withColumn(into, (F.row_number().over(Window.orderBy(F.desc("_n"), F.asc(cluster))) - 1).cast("int"))
-    return rows.join(F.broadcast(ranked.drop("_n")), cluster, "left")  # a row per cluster
+    return rows.join(ranked.drop("_n"), cluster, "left")
 
 
 def kmeans_levels(rows: DataFrame, columns: list[str], k: int, seed: int = 0, n_init: int = 10, max_iter: int = 300, into: str = "level") -> tuple[DataFrame, float]:
@@ -66,20 +66,18 @@ def kmeans_levels(rows: DataFrame, columns: list[str], k: int, seed: int = 0, n_
     return relabel_by_size(best.transform(x), "_cluster", into).drop("_x", "_cluster"), float(best.summary.trainingCost)
 
 
-def rare_map(counts: dict[int, int], least: float = 0.02) -> dict[int, int]:
-    """level -> new level: levels below the share go to the nearest one that stays (the
-    lower of two), at least two stay, and what stays is numbered from 0."""
-    total = sum(counts.values())
-    stay = sorted(u for u, n in counts.items() if n >= least * total)
-    if len(stay) < min(2, len(counts)):
-        stay = sorted(sorted(counts, key=lambda u: (-counts[u], u))[: min(2, len(counts))])
-    number = {u: i for i, u in enumerate(stay)}
-    return {u: number[min(stay, key=lambda s: (abs(s - u), s))] for u in counts}
+def rare_levels(level: str, n: str, share: float) -> Column:
+    """An aggregate over a table of counts: a map from each level to its new one.
 
-
-def level_counts(rows: DataFrame, level: str) -> dict[int, int]:
-    """A count for each level; levels are few."""
-    return {r[0]: r[1] for r in rows.groupBy(level).count().collect()}
+    Levels with at least this share stay, or else the two most frequent; the others join
+    the nearest that stays, the lower of two. What stays is numbered by its order."""
+    cells = F.collect_list(F.struct(F.col(level).alias("at"), F.col(n).alias("n")))
+    total = F.aggregate(cells, F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    frequent = F.filter(cells, lambda c: c["n"] >= total * F.lit(share))
+    first_two = F.slice(F.array_sort(cells, lambda x, y: F.when(x["n"] != y["n"], F.sign(y["n"] - x["n"])).otherwise(F.sign(x["at"] - y["at"])).cast("int")), 1, 2)
+    stays = F.array_sort(F.transform(F.when(F.size(frequent) < F.least(F.lit(2), F.size(cells)), first_two).otherwise(frequent), lambda c: c["at"]))
+    nearest = lambda c: F.array_min(F.transform(stays, lambda u: F.struct(F.abs(u - c["at"]).alias("d"), u.alias("u"))))["u"]
+    return F.map_from_entries(F.transform(cells, lambda c: F.struct(c["at"], (F.array_position(stays, nearest(c)) - 1).cast("int"))))
 
 
 def mapped(level: str, mapping: dict[int, int]) -> Column:
@@ -88,28 +86,29 @@ def mapped(level: str, mapping: dict[int, int]) -> Column:
 
 
 def collapse_rare(rows: DataFrame, level: str, least: float = 0.02, into: str | None = None) -> DataFrame:
-    """rows with rare levels merged into their neighbours."""
-    return rows.withColumn(into or level, mapped(level, rare_map(level_counts(rows, level), least)))
+    """rows with rare levels merged into their neighbours. One count of the rows."""
+    counts = rows.where(F.col(level).isNotNull()).groupBy(level).agg(F.count("*").alias("n"))
+    return rows.withColumn(into or level, mapped(level, counts.agg(rare_levels(level, "n", least)).first()[0]))
 
 
 def collapse_for_occupancy(rows: DataFrame, v: str, s: str, y: str, min_cell: int = 20, shares: tuple[float, ...] = SHARES) -> tuple[DataFrame, dict]:
-    """Merge rare levels of v and s, with a larger share each time, until every cell of
-    the table v x s x y has ``min_cell`` rows or only two levels of each are left.
-
-    The data are read once, for the table of counts; the rest is done on it."""
-    cells = {(r[0], r[1], r[2]): r[3] for r in rows.where(f"{v} IS NOT NULL AND {s} IS NOT NULL AND {y} IS NOT NULL").groupBy(v, s, y).count().collect()}
-    side = lambda i: {u: sum(n for c, n in cells.items() if c[i] == u) for u in {c[i] for c in cells}}
-    counts, ys = (side(0), side(1)), {c[2] for c in cells}
-    maps, least, share, shape = ({}, {}), 0, None, (0, 0)
-    for share in shares:
-        maps = rare_map(counts[0], share), rare_map(counts[1], share)
-        table: dict = {}
-        for (a, b, c), n in cells.items():
-            key = maps[0][a], maps[1][b], c
-            table[key] = table.get(key, 0) + n
-        shape = len(set(maps[0].values())), len(set(maps[1].values()))
-        least = min((table.get((a, b, c), 0) for a in range(shape[0]) for b in range(shape[1]) for c in ys), default=0)
-        if least >= min_cell or max(shape) <= 2:
-            break
-    out = rows.withColumn(v, mapped(v, maps[0])).withColumn(s, mapped(s, maps[1]))
-    return out, {"min_share": share, "min_cell": least, "v_map": maps[0], "s_map": maps[1], "levels": list(shape)}
+    """Merge rare levels of v and s by the first of the shares under which every cell of
+    the table v x s x y has ``min_cell`` rows or two levels of each are left, else the last.
+
+    Rows are counted once; all shares are tried on the counts, in one aggregation."""
+    known = rows.where(F.col(v).isNotNull() & F.col(s).isNotNull() & F.col(y).isNotNull())
+    cells = known.groupBy(F.col(v).alias("v"), F.col(s).alias("s"), F.col(y).alias("y")).agg(F.count("*").alias("n")).persist()
+    maps = {}
+    for side in ("v", "s"):
+        found = cells.groupBy(side).agg(F.sum("n").alias("n")).agg(*(rare_levels(side, "n", x).alias(f"m{i}") for i, x in enumerate(shares))).first()
+        maps[side] = [dict(m or {}) for m in found]
+    tried = F.explode(F.array(*(F.struct(F.lit(i).alias("step"), mapped("v", maps["v"][i]).alias("v"), mapped("s", maps["s"][i]).alias("s")) for i in range(len(shares)))))
+    merged = cells.select(tried.alias("t"), "y", "n").groupBy("t.step", "t.v", "t.s", "y").agg(F.sum("n").alias("n"))
+    told = merged.groupBy("step").agg(*(F.count_distinct(c).alias(f"n_{c}") for c in ("v", "s", "y")), F.count("*").alias("cells"), F.min("n").alias("least"))
+    least = F.when(F.col("cells") == F.col("n_v") * F.col("n_s") * F.col("n_y"), F.col("least")).otherwise(0)
+    enough = (least >= min_cell) | (F.greatest("n_v", "n_s") <= 2)
+    best = told.select("step", "n_v", "n_s", least.alias("least"), enough.alias("enough")).orderBy(F.desc("enough"), F.when(F.col("enough"), F.col("step")).otherwise(-F.col("step"))).first()
+    cells.unpersist()
+    i, shape, smallest = (best["step"], [best["n_v"], best["n_s"]], best["least"]) if best else (len(shares) - 1, [0, 0], 0)
+    out = rows.withColumn(v, mapped(v, maps["v"][i])).withColumn(s, mapped(s, maps["s"][i]))
+    return out, {"min_share": shares[i], "min_cell": smallest, "v_map": maps["v"][i], "s_map": maps["s"][i], "levels": shape}

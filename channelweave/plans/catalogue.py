@@ -12,8 +12,10 @@ from channelweave.functions.columns import binary_entropy, finite, hours_between
 from channelweave.operators import channels, cohort, information, quantize, resolve, targets
 from channelweave.operators.windowed import first_last, offset_window, window_join
 from channelweave.plans import pid, report, resample, studies
+from channelweave.plans.constants import Study
 from channelweave.sources.tables import table
 
+STUDY = Study()
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -342,8 +344,10 @@ def nearest_centroid_assign(spark, d):
 
 @query()
 def kmeans_levels(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)))
-    found, _ = quantize.kmeans_levels(rows, [f"x{i}" for i in range(16)], 5, n_init=2)
+    rows = table(spark, d, "embeddings")
+    n = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    rows = rows.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(n)))
+    found, _ = quantize.kmeans_levels(rows, [f"x{i}" for i in range(n)], 5)
     return found.select("vec_id", "level")
 
 
@@ -446,26 +450,36 @@ def copula_source(spark, d):
 
 @query()
 def gcmi_atoms(spark, d):
-    found = pid.gaussian_pid(copula_source(spark, d), "custkey", _VALUES, _TIMES, boots=50)
+    found = pid.gaussian_pid(copula_source(spark, d), "custkey", _VALUES, _TIMES, boots=STUDY.gaussian_bootstrap_draws)
     return spark.createDataFrame([found])
 
 
+def line_moments(spark, d):
+    """Class moments of line items, returned or not, about the columns' rounded means (so
+    that squares of large numbers do not cancel; covariances do not change)."""
+    rows = table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("key"), (F.col("l_returnflag") == "R").cast("int").alias("y"), F.array(*(F.col(c).cast("double") for c in _Z)).alias("x"))
+    return pid.moments(rows, "key", len(_Z), 0, 0, 0)["all", 0]
+
+
 @query(f"""SELECT c_custkey, round((rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) / (count(*) OVER () + 1), 9) AS u FROM (SELECT c_custkey, floor(c_acctbal / 10) AS b FROM customer)""")
 def copula_rank(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", F.floor(F.col("c_acctbal") / 10).alias("b"))
     return information.average_ranks(rows, ["b"], "c_custkey").select("c_custkey", F.round("u", 9).alias("u"))
 
 
-@query("SELECT l_returnflag, count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS m_{c}" for c in _Z) + " FROM lineitem GROUP BY 1")
+@query("SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, count(*) AS n, " + ", ".join(f"round(avg({c}), 6) AS m_{c}" for c in _Z) + " FROM lineitem GROUP BY 1")
 def pooled_class_means(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(f"m_{c}") for c in _Z))
+    m = line_moments(spark, d)
+    rows = [(c, int(m.n[c]), *(float(x) for x in m.total[c] / m.n[c])) for c in (0, 1)]
+    found = spark.createDataFrame(rows, "y int, n long, " + ", ".join(f"m_{c} double" for c in _Z))
+    return found.select("y", "n", *(F.round(f"m_{c}", 6).alias(f"m_{c}") for c in _Z))
 
 
-@query("SELECT " + ", ".join(f"round(sum(c_{a}_{b}) / (sum(n) - 3), 6) AS cov_{a}_{b}" for a in range(3) for b in range(a, 3)) + " FROM (SELECT count(*) AS n, " + ", ".join(f"covar_pop({_Z[a]}, {_Z[b]}) * count(*) AS c_{a}_{b}" for a in range(3) for b in range(a, 3)) + " FROM lineitem GROUP BY l_returnflag)")
+@query("SELECT " + ", ".join(f"round(sum(c_{a}_{b}) / (sum(n) - 2), 3) AS cov_{a}_{b}" for a in range(3) for b in range(a, 3)) + " FROM (SELECT count(*) AS n, " + ", ".join(f"covar_pop({_Z[a]}, {_Z[b]}) * count(*) AS c_{a}_{b}" for a in range(3) for b in range(a, 3)) + " FROM lineitem GROUP BY l_returnflag = 'R')")
 def pooled_cov(spark, d):
-    pairs = [(a, b) for a in range(3) for b in range(a, 3)]
-    by = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), *((F.covar_pop(_Z[a], _Z[b]) * F.count("*")).alias(f"c{a}{b}") for a, b in pairs))
-    return by.agg(*(F.round(F.sum(f"c{a}{b}") / (F.sum("n") - 3), 6).alias(f"cov_{a}_{b}") for a, b in pairs))
+    cov = line_moments(spark, d).pooled()
+    row = [(f"cov_{a}_{b}", float(cov[a, b])) for a in range(3) for b in range(a, 3)]
+    return spark.createDataFrame([tuple(x for _, x in row)], ", ".join(f"{n} double" for n, _ in row)).select(*(F.round(n, 3).alias(n) for n, _ in row))
 
 
 @query(f"WITH {_MI} SELECT site, round(least(i_val, i_str), 9) + 0.0 AS red, round(i_val - least(i_val, i_str), 9) + 0.0 AS u_val, round(i_str - least(i_val, i_str), 9) + 0.0 AS u_str, round(i_joint - i_val - i_str + least(i_val, i_str), 9) + 0.0 AS syn FROM mi")
@@ -502,17 +516,17 @@ def cond_null_margins(spark, d):
 
 @query()
 def perm_null_atoms(spark, d):
-    draws = resample.null_draws(status_counts(spark, d), ["l_linestatus"], draws=50)
+    draws = resample.null_draws(status_counts(spark, d), ["l_linestatus"], draws=STUDY.calibration_permutations)
     return draws.select("l_linestatus", "draw", *(F.round(a, 9).alias(a) for a in studies.ATOMS), F.round("i_joint", 9).alias("i_joint"))
 
 
 @query()
 def joint_gate(spark, d):
     c = status_counts(spark, d)
-    return resample.joint_gate(c, ["l_linestatus"], information.mutual_information(c, ["l_linestatus"]), 400)
+    return resample.joint_gate(c, ["l_linestatus"], information.mutual_information(c, ["l_linestatus"]), STUDY.permutations)
 
 
-_DRAWS = "SELECT event_type, CAST(event_id % 211 AS INTEGER) AS draw, value AS x FROM events WHERE event_id % 5 <> 0"
+_DRAWS = "SELECT event_type, CAST(event_id % 211 AS INTEGER) AS draw, value AS x FROM events"
 
 
 @query(f"""WITH d AS ({_DRAWS}), o AS (SELECT event_type, max(value) * 0.8 AS obs FROM events GROUP BY 1), j AS (SELECT d.event_type, CASE WHEN draw % 10 <> 0 THEN x END AS x, obs FROM d JOIN o USING (event_type))
@@ -521,7 +535,7 @@ _DRAWS = "SELECT event_type, CAST(event_id % 211 AS INTEGER) AS draw, value AS x
 def null_pvalue(spark, d):
     events = table(spark, d, "events")
     x = F.when(F.col("event_id") % 211 % 10 != 0, F.col("value")).otherwise(float("nan"))
-    draws = events.where("event_id % 5 <> 0").select("event_type", x.alias("x"))
+    draws = events.select("event_type", x.alias("x"))
     observed = events.groupBy("event_type").agg((F.max("value") * 0.8).alias("obs"))
     got = resample.p_value(draws, observed, ["event_type"], "x", "obs")
     return got.select("event_type", *(F.round(c, 6).alias(c) for c in ("observed", "null_mean", "null_p95", "null_p975", "debiased")), F.round("p", 9).alias("p"), "gate_pass", "n_used", "n_dropped")
@@ -530,7 +544,7 @@ def null_pvalue(spark, d):
 @query()
 def bootstrap_ci(spark, d):
     rows = quantize.zscore(quantize.zscore(copula_source(spark, d), _VALUES), _TIMES)
-    draws = resample.bootstrap(rows, "custkey", [f"{c}_z" for c in _VALUES], [f"{c}_z" for c in _TIMES], ["y"], k=3, reps=20)
+    draws = resample.bootstrap(rows, "custkey", [f"{c}_z" for c in _VALUES], [f"{c}_z" for c in _TIMES], ["y"], k=3, reps=200, method="rows")
     return resample.interval(draws, ["target", "measure"], list(studies.ATOMS))
 
 
@@ -585,15 +599,60 @@ def size_matched_draws(spark, d):
     return resample.resample_without_replacement(levels(spark, d), ["site"], 50, 7, "key").groupBy("site").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_MI}, h AS (SELECT unnest(['broja', 'ccs']) AS measure) SELECT site, 'y' AS target, measure, n, round(i_joint, 9) + 0.0 AS i_joint, round(i_joint_mm, 9) + 0.0 AS i_joint_mm FROM mi, h""")
+def headline_cells(spark, d):
+    got = studies.headline(levels(spark, d), ["y"], ["site"], STUDY.measures)
+    return got.select("site", "target", "measure", "n", tidy(F.col("i_joint"), 9).alias("i_joint"), tidy(F.col("i_joint_mm"), 9).alias("i_joint_mm"))
+
+
+@query(f"""WITH {_JOINT}, w AS (SELECT site, sum(n) AS n, sum(CASE WHEN y = 1 THEN n END) AS n1 FROM jc GROUP BY site),
+  p AS (SELECT site % 5 AS region, 100.0 * sum(n1) / sum(n) AS pooled, avg(100.0 * n1 / n) AS within, max(100.0 * n1 / n) + 3 AS other FROM w GROUP BY 1)
+  SELECT region, round(pooled, 6) AS pooled, round(within, 6) AS within, round(other, 6) AS other, round(other - pooled, 6) AS gap, CASE WHEN abs(other - pooled) >= 2 THEN round((within - pooled) / (other - pooled), 6) + 0.0 END AS closed FROM p""")
+def gap_closed(spark, d):
+    sites = counts_by_site(spark, d).groupBy("site").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y") == 1, F.col("n"))).alias("n1")).withColumn("region", F.col("site") % 5)
+    share = F.lit(100.0) * F.col("n1") / F.col("n")
+    pooled = sites.groupBy("region").agg((F.lit(100.0) * F.sum("n1") / F.sum("n")).alias("x"))
+    got = studies.gap_closed(pooled, sites.groupBy("region").agg(F.avg(share).alias("x")), sites.groupBy("region").agg((F.max(share) + 3).alias("x")), ["region"], "x", STUDY.least_gap)
+    return got.select("region", *(tidy(F.col(c)).alias(c) for c in ("pooled", "within", "other", "gap", "closed")))
+
+
+@query("""WITH o AS (SELECT event_type, user_id % 5 AS seed, avg(value) AS x FROM events GROUP BY ALL), a AS (SELECT event_type, avg(x) AS m, stddev_samp(x) AS s, arg_min(x, seed) AS f FROM o GROUP BY 1),
+  n AS (SELECT event_type, avg(value) AS m, quantile_cont(value, 0.95) AS q, max(value) AS x, count(value) AS k, count(*) - count(value) AS g FROM events GROUP BY 1)
+  SELECT event_type, round(a.m, 6) AS obs_mean, round(a.s, 6) AS obs_sd, round(a.f, 6) AS obs_first, round(n.m, 6) AS null_mean, round(n.q, 6) AS null_p95, round(n.x, 6) AS null_max, n.k AS n_ok, n.g AS n_dropped, round(a.m - n.m, 6) + 0.0 AS debiased FROM a JOIN n USING (event_type)""")
+def null_calibration(spark, d):
+    events = table(spark, d, "events")
+    seen = events.groupBy("event_type", (F.col("user_id") % 5).alias("seed")).agg(F.avg("value").alias("value"))
+    got = resample.calibration(seen, events.select("event_type", "value"), ["event_type"], "value")
+    return got.select("event_type", *(tidy(F.col(c)).alias(c) for c in ("obs_mean", "obs_sd", "obs_first", "null_mean", "null_p95", "null_max")), "n_ok", "n_dropped", tidy(F.col("debiased")).alias("debiased"))
+
+
+@query("""WITH c AS (SELECT l_partkey % 7 AS k, l_linestatus AS a, avg(l_discount) AS m FROM lineitem GROUP BY ALL), s AS (SELECT k, max(CASE WHEN a = 'F' THEN m END) * 1000 AS fixed_syn, max(CASE WHEN a = 'O' THEN m END) * 1000 AS collapse_syn FROM c GROUP BY k)
+  SELECT k, round(fixed_syn, 6) AS fixed_syn, round(collapse_syn, 6) AS collapse_syn, round(collapse_syn - fixed_syn, 6) + 0.0 AS shift, abs(collapse_syn - fixed_syn) > 1 AS shifted,
+  coalesce(k = (SELECT min(k) FROM s WHERE abs(collapse_syn - fixed_syn) > 1), false) AS first_shift FROM s""")
+def collapse_shift(spark, d):
+    arms = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 7).alias("k"), F.when(F.col("l_linestatus") == "F", "fixed").otherwise("collapse").alias("arm"))
+    spread = arms.agg((F.avg("l_discount") * 1000).alias("syn_mean"), F.stddev_pop("l_discount").alias("worst_sd"))
+    got = studies.collapse_verdict(spread)
+    return got.select("k", *(tidy(F.col(c)).alias(c) for c in ("fixed_syn", "collapse_syn", "shift")), "shifted", "first_shift")
+
+
 @query()
 def within_site_atoms(spark, d):
-    got = studies.within_sites(levels(spark, d), "site", "key", least=100, draws=2)
+    got = studies.within_sites(levels(spark, d), "site", "key", least=100, draws=len(STUDY.seeds))
     return got.select("site", "n", *(F.round(f"{k}_{a}", 6).alias(f"{k}_{a}") for k in ("in", "rand") for a in studies.ATOMS))
 
 
 @query()
 def dose_response(spark, d):
-    return studies.dose_response(levels(spark, d), "site", "key", [1, 2, 4, 8], 800, draws=3)
+    return studies.dose_response(levels(spark, d), "site", "key", list(STUDY.pooled_sites), STUDY.pooled_rows, STUDY.pooled_draws)
+
+
+@query(f"""WITH {LEVELS}, z AS (SELECT site, count(*) AS c FROM lv WHERE v IS NOT NULL AND s IS NOT NULL AND y IS NOT NULL GROUP BY site), m AS (SELECT CAST(unnest({list(STUDY.pooled_sites)}) AS INTEGER) AS m),
+  ok AS (SELECT m FROM z, m GROUP BY m HAVING count(*) FILTER (WHERE c >= {STUDY.pooled_rows} // m) >= m)
+  SELECT m, CAST(unnest(range({STUDY.pooled_draws})) AS INTEGER) AS draw, m AS n_sites, CAST(m * ({STUDY.pooled_rows} // m) AS BIGINT) AS n FROM ok""")
+def dose_set_sizes(spark, d):
+    picked = studies.dose_sets(counts_by_site(spark, d), "site", list(STUDY.pooled_sites), STUDY.pooled_rows, STUDY.pooled_draws)
+    return picked.groupBy("m", "draw").agg(F.count_distinct("site").cast("int").alias("n_sites"), F.sum("n").alias("n"))
 
 
 _TREND = "SELECT l_returnflag AS target, CAST(power(2, l_linenumber) AS DOUBLE) AS m, avg(l_extendedprice) AS u_str FROM lineitem GROUP BY l_returnflag, l_linenumber"
@@ -616,25 +675,38 @@ def spearman_rho(spark, d):
     return studies.trend(trend_rows(spark, d), ["target"], "m", "u_str").select("target", tidy(F.col("rho")).alias("rho"))
 
 
+@query(f"""WITH t AS ({_TREND}), c AS (SELECT * FROM t, (SELECT CAST(unnest([2, 4, 8, 16]) AS INTEGER) AS start) WHERE m >= start)
+  SELECT target, start, count(*) AS n_points, round(regr_slope(u_str, log2(m)), 6) AS slope, regr_slope(u_str, log2(m)) < 0 AS falling FROM c GROUP BY ALL HAVING count(DISTINCT m) >= 3""")
+def truncated_trend_slopes(spark, d):
+    cut = studies.truncated_trends(trend_rows(spark, d), ["target"], "m", "u_str", [2, 4, 8, 16])
+    return cut.select("target", "start", "n_points", F.round("slope", 6).alias("slope"), "falling")
+
+
 @query()
 def truncated_trend_verdict(spark, d):
     cut = studies.truncated_trends(trend_rows(spark, d), ["target"], "m", "u_str", [2, 4, 8, 16])
     return studies.trend_verdict(cut, ["target"])
 
 
-_ANOVA = "SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem"
-
-
-@query(f"""WITH r AS (SELECT l_returnflag AS a, l_linestatus AS b, l_extendedprice AS x FROM ({_ANOVA}) WHERE i <= 200), g AS (SELECT avg(x) AS g FROM r), ma AS (SELECT a, avg(x) AS m FROM r GROUP BY a), mb AS (SELECT b, avg(x) AS m FROM r GROUP BY b),
+@query("""WITH r AS (SELECT l_returnflag AS a, l_linestatus AS b, l_extendedprice AS x FROM lineitem), g AS (SELECT avg(x) AS g FROM r), ma AS (SELECT a, avg(x) AS m FROM r GROUP BY a), mb AS (SELECT b, avg(x) AS m FROM r GROUP BY b),
   mc AS (SELECT a, b, avg(x) AS m FROM r GROUP BY a, b), s AS (SELECT sum((ma.m - g) ** 2) AS s0, sum((mb.m - g) ** 2) AS s1, sum((mc.m - ma.m - mb.m + g) ** 2) AS s2, sum((x - mc.m) ** 2) AS s3
   FROM r JOIN ma USING (a) JOIN mb USING (b) JOIN mc USING (a, b), g)
   SELECT source, round(ss / 1e6, 3) AS ss_m, round(100 * ss / (s0 + s1 + s2 + s3), 6) AS pct FROM s, LATERAL (VALUES ('l_returnflag', s0), ('l_linestatus', s1), ('interaction', s2), ('residual', s3)) v(source, ss)""")
 def two_way_anova_ss(spark, d):
-    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice", F.expr("row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)").alias("i"))
-    got = studies.two_way_anova(rows.where("i <= 200"), "l_returnflag", "l_linestatus", "l_extendedprice")  # a balanced design takes as many of each cell
+    got = studies.two_way_anova(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice")
     return got.select("source", F.round(F.col("ss") / 1e6, 3).alias("ss_m"), F.round("pct", 6).alias("pct"))
 
 
+@query("""WITH r AS (SELECT l_returnflag AS a, l_linestatus AS b, l_extendedprice AS x FROM lineitem), g AS (SELECT avg(x) AS g FROM r), ma AS (SELECT a, avg(x) AS m FROM r GROUP BY a), mb AS (SELECT b, avg(x) AS m FROM r GROUP BY b),
+  mc AS (SELECT a, b, avg(x) AS m, count(*) AS n FROM r GROUP BY a, b), s AS (SELECT sum((ma.m - g) ** 2) AS s0, sum((mb.m - g) ** 2) AS s1, sum((mc.m - ma.m - mb.m + g) ** 2) AS s2, sum((x - mc.m) ** 2) AS s3, count(*) AS n
+  FROM r JOIN ma USING (a) JOIN mb USING (b) JOIN mc USING (a, b), g), k AS (SELECT (SELECT count(*) FROM ma) AS na, (SELECT count(*) FROM mb) AS nb, (SELECT min(n) = max(n) FROM mc) AS balanced)
+  SELECT source, CAST(df AS BIGINT) AS df, CASE WHEN source <> 'residual' THEN round(ss / df / (s3 / (n - na * nb)), 6) END AS f, balanced
+  FROM s, k, LATERAL (VALUES ('l_returnflag', s0, na - 1), ('l_linestatus', s1, nb - 1), ('interaction', s2, (na - 1) * (nb - 1)), ('residual', s3, n - na * nb)) v(source, ss, df)""")
+def two_way_anova_f(spark, d):
+    got = studies.two_way_anova(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice")
+    return got.select("source", "df", F.round("f", 6).alias("f"), "balanced")
+
+
 @query()
 def two_way_anova_tests(spark, d):
     got = studies.two_way_anova(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice")

@@ -44,10 +44,11 @@ def study_page(keys: list[str], headline: DataFrame, gate: DataFrame, intervals:
     """The canonical numbers in seven sections, from result tables of a few rows each.
 
     ``headline`` and the tables joined to it have a row for each of ``keys``; an atom's
-    net value is its estimate less the null's mean, and it is clear of the null if its
+    net value is its estimate less the null's mean (all in nats; the share of the joint
+    information stands beside them in percent), and it is clear of the null if its
     interval's lower end lies above the null's 95th percentile."""
     cells = join_results(keys, headline, boot=intervals, null=calibration)
-    net = [F.round(F.col("u_str_pct"), 2).alias("estimate"), "boot_u_str_low", "boot_u_str_high", "null_null_mean", F.round(F.col("u_str") - F.col("null_null_mean"), 6).alias("net"), (F.col("boot_u_str_low") > F.col("null_null_p95")).alias("clear")]
+    net = [F.round("u_str", 6).alias("estimate"), F.round("u_str_pct", 2).alias("percent"), "boot_u_str_low", "boot_u_str_high", "null_null_mean", F.round(F.col("u_str") - F.col("null_null_mean"), 6).alias("net"), (F.col("boot_u_str_low") > F.col("null_null_p95")).alias("clear")]
     verdict = cells.select(*keys, *net)
     summary = verdict.agg(F.count("*").alias("cells"), F.count_if("clear").alias("clear"), F.bool_and("clear").alias("all_clear"), F.bool_or("clear").alias("any_clear"))
     return markdown(

@@ -16,16 +16,35 @@ from channelweave.operators.information import dense
 
 BATCH = 25
 DRAW = "draw int, red double, u_val double, u_str double, syn double, i_joint double, converged boolean"
-#: Bytes of features up to which a whole resample fits a task (see ``bootstrap``).
+#: Bytes of features that a whole resample in one task may have (see ``bootstrap``).
 TASK_BYTES = 256 << 20
 
 
+def drawn_cells(cells: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each cell are among n rows drawn without replacement.
+
+    numpy's draw ends at 1e9 rows. Beyond it every row is taken by chance n / total, and
+    what is too much or missing, about the root of n, is drawn evenly from the rows
+    taken or left: given their number, rows taken by chance are an even draw too."""
+    cells, total = cells.astype(np.int64), int(cells.sum())
+    if total < 1_000_000_000:
+        return rng.multivariate_hypergeometric(cells, n, method="marginals")
+    got = rng.binomial(cells, n / total)
+    over = int(got.sum()) - n
+    pool = got if over > 0 else cells - got
+    places = np.zeros(0, np.int64)
+    while len(places) < abs(over):
+        places = np.unique(np.r_[places, rng.integers(0, int(pool.sum()), abs(over) - len(places))])
+    shift = np.bincount(np.searchsorted(np.cumsum(pool), places, "right"), minlength=len(cells))
+    return got - shift if over > 0 else got + shift
+
+
 def permuted_table(table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Labels permuted over all rows: (v,s) counts and the labels' totals stay."""
     cells = table.sum(2).astype(np.int64).ravel()
     out, left = np.zeros((len(cells), table.shape[2])), cells.copy()
     for c in range(table.shape[2] - 1):
-        out[:, c] = rng.multivariate_hypergeometric(left, int(table[..., c].sum()), method="marginals")
+        out[:, c] = drawn_cells(left, int(table[..., c].sum()), rng)
         left = left - out[:, c].astype(np.int64)
     out[:, -1] = left
     return out.reshape(table.shape)
@@ -158,20 +177,28 @@ def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, n_init: int = 3, roun
     return np.argsort(order)[label]
 
 
-def bootstrap(rows: DataFrame, key: str, values: list[str], times: list[str], targets: list[str], k: int, reps: int, measures: tuple[str, ...] = ("broja", "ccs"), seed: int = 0) -> DataFrame:
+def bootstrap(
+    rows: DataFrame, key: str, values: list[str], times: list[str], targets: list[str], k: int, reps: int, measures: tuple[str, ...] = ("broja", "ccs"), seed: int = 0, method: str = "poisson"
+) -> DataFrame:
     """Nested bootstrap: each replicate draws rows with replacement, fits both codebooks
     anew, and decomposes every target: (rep, target, measure, atoms, converged).
 
-    values and times are standardised columns. A replicate is one task over the whole
-    matrix, which is broadcast if it is at most ``TASK_BYTES``. A larger matrix stays
-    distributed: rows get Poisson weights and MLlib fits the codebooks."""
+    values and times are standardised columns. The method is the caller's choice and is
+    the same for every size. "poisson": rows stay distributed, get Poisson weights by
+    their key, and MLlib fits the codebooks. "rows": exactly as many rows as there are,
+    each replicate a task over the whole matrix, which is broadcast; more than
+    ``TASK_BYTES`` of it is an error."""
+    if method not in ("poisson", "rows"):
+        raise ValueError(f"no method {method!r}")
     repeated = rows.groupBy(key).count().where("count > 1")
     if not repeated.isEmpty():
         raise ValueError("keys are not unique")
     spark, n = rows.sparkSession, rows.count()
     schema = "rep int, target string, measure string, red double, u_val double, u_str double, syn double, converged boolean"
-    if n * 8 * (len(values) + len(times) + len(targets)) > TASK_BYTES:
+    if method == "poisson":
         return poisson_bootstrap(rows, key, values, times, targets, k, reps, measures, seed)
+    if n * 8 * (len(values) + len(times) + len(targets)) > TASK_BYTES:
+        raise ValueError("the matrix is too large for a task: use the method poisson")
     frame = rows.orderBy(key).select(*values, *times, *targets).toPandas()
     shared = spark.sparkContext.broadcast((frame[values].to_numpy(float), frame[times].to_numpy(float), frame[targets].to_numpy(float)))
 
@@ -226,8 +253,26 @@ def poisson_bootstrap(rows: DataFrame, key: str, values: list[str], times: list[
     return out
 
 
-def resample_without_replacement(rows: DataFrame, keys: list[str], n: Column | int, seed: int, by: str) -> DataFrame:
+def sampled_counts(counts: DataFrame, keys: list[str], n: str, seed: str) -> DataFrame:
+    """keys, v, s, y, n of rows drawn without replacement from each key's count table
+    (keys, v, s, y, count): exactly as many as column ``n`` says, or all there are.
+
+    Drawn in count space: no row moves. Column ``seed`` (long) seeds the key's draw, so
+    draws of different seeds are independent and reruns agree."""
+    levels = [*((k, counts.schema[k].dataType.simpleString()) for k in keys), *((c, counts.schema[c].dataType.simpleString()) for c in ("v", "s", "y"))]
+
+    def draw(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["v", "s", "y"])
+        have = cell["count"].to_numpy(np.int64)
+        got = drawn_cells(have, min(int(cell[n].iloc[0]), int(have.sum())), np.random.default_rng(int(cell[seed].iloc[0]) & (2**63 - 1)))
+        return cell[[c for c, _ in levels]].assign(n=got)[got > 0]
+
+    return counts.groupBy(*keys).applyInPandas(draw, ", ".join(f"`{c}` {t}" for c, t in levels) + ", n long")
+
+
+def resample_without_replacement(rows: DataFrame, keys: list[str], n: Column | int, seed: Column | int, by: str) -> DataFrame:
     """n rows of each key: those with the smallest seeded hashes of ``by``. Spark keeps
-    only each task's n smallest before the shuffle, where n is a number."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), by), by))
+    only each task's n smallest before the shuffle, where n is a number. Keys that are to
+    be drawn anew need another ``seed`` each: a column that tells the draws apart."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(seed if isinstance(seed, Column) else F.lit(seed), by), by))
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")

@@ -14,7 +14,6 @@ from channelweave.functions.special import f_survival, t_two_sided
 from channelweave.operators.information import joint_counts, mutual_information
 from channelweave.operators.quantize import collapse_for_occupancy, kmeans_levels
 from channelweave.plans.pid import decompose
-from channelweave.plans.resample import resample_without_replacement
 
 
 def codebook(rows: DataFrame, key: str, values: list[str], times: list[str], k: int, seed: int, n_init: int = 10, targets: tuple[str, ...] = ()) -> DataFrame:
@@ -44,9 +43,10 @@ def k_sweep(rows: DataFrame, key: str, values: list[str], times: list[str], y: s
     """Decompositions over numbers of levels and seeds, with levels as fitted and with
     rare ones collapsed (arm); one solve for each, all in one plan."""
     counts = None
+    rows = rows.select(key, y, *values, *times).persist()
     for k in ks:
         for seed in seeds:
-            levels = codebook(rows.select(key, y, *values, *times), key, values, times, k, seed, n_init, (y,)).withColumnRenamed(y, "y").persist()
+            levels = codebook(rows, key, values, times, k, seed, n_init, (y,)).withColumnRenamed(y, "y").persist()
             collapsed, _ = collapse_for_occupancy(levels, "v", "s", "y")
             for arm, data in (("fixed", levels), ("collapse", collapsed)):
                 cells = data.withColumns({"k": F.lit(k), "seed": F.lit(seed), "arm": F.lit(arm)})
@@ -54,6 +54,7 @@ def k_sweep(rows: DataFrame, key: str, values: list[str], times: list[str], y: s
                 part = part.sparkSession.createDataFrame(part.collect(), part.schema)  # at most 2 k^2 rows
                 counts = part if counts is None else counts.unionByName(part)
             levels.unpersist()
+    rows.unpersist()
     return decompose(counts, ["k", "seed", "arm"], measure)
 
 
@@ -68,10 +69,17 @@ def sweep_spread(sweep: DataFrame) -> DataFrame:
 
 
 def collapse_verdict(spread: DataFrame) -> DataFrame:
-    """Fixed against collapsed levels by k: shift of synergy, and which spreads more."""
+    """Fixed against collapsed levels by k: shift of synergy (over 1 counts), which spreads
+    more, the first k that shifts, and the k at which the fixed levels spread least."""
+    from pyspark.sql import Window
+
+    every = Window.partitionBy(F.lit(0))  # a row for each k
     wide = spread.groupBy("k").pivot("arm", ["fixed", "collapse"]).agg(F.first("syn_mean").alias("syn"), F.first("worst_sd").alias("sd"))
     shift = F.col("collapse_syn") - F.col("fixed_syn")
-    return wide.select("k", "fixed_syn", "collapse_syn", shift.alias("shift"), (F.abs(shift) > 1).alias("shifted"), (F.col("collapse_sd") > F.col("fixed_sd")).alias("spreads_more"))
+    wide = wide.select("k", "fixed_syn", "collapse_syn", "fixed_sd", shift.alias("shift"), (F.abs(shift) > 1).alias("shifted"), (F.col("collapse_sd") > F.col("fixed_sd")).alias("spreads_more"))
+    first = F.min(F.when(F.col("shifted"), F.col("k"))).over(every)
+    least = F.min(F.struct("fixed_sd", "k")).over(every)["k"]
+    return wide.withColumns({"first_shift": F.coalesce(F.col("k") == first, F.lit(False)), "least_spread": F.col("k") == least}).drop("fixed_sd")
 
 
 def eligible_sites(rows: DataFrame, site: str, ms: list[int], total: int, by: list[str]) -> DataFrame:
@@ -83,32 +91,22 @@ def eligible_sites(rows: DataFrame, site: str, ms: list[int], total: int, by: li
 
 
 def within_sites(levels: DataFrame, site: str, key: str, least: int, draws: int = 5, seed: int = 0, measure: str = "broja") -> DataFrame:
-    """Each large site's decomposition, and the mean of ``draws`` random sets of rows of
-    the same size: site, n, in_<atom>, rand_<atom> (percent of the joint).
-
-    A draw deals every row to one set per large site by ranges of a hash, in proportion
-    to the sites' sizes; sets of one draw are disjoint and sizes match on average."""
-    known = levels.where("v IS NOT NULL AND s IS NOT NULL AND y IS NOT NULL")
-    sizes = known.groupBy(site).count().where(F.col("count") >= least).orderBy(site).collect()
-    if not sizes:
-        shape = ", ".join([f"{levels.schema[site].name} {levels.schema[site].dataType.simpleString()}", "n long", *(f"in_{a} double" for a in ATOMS), *(f"rand_{a} double" for a in ATOMS)])
-        return levels.sparkSession.createDataFrame([], shape)
-    total = known.count()
-    inside = joint_counts(known, [site]).join(F.broadcast(levels.sparkSession.createDataFrame([(r[0],) for r in sizes], f"{site} {levels.schema[site].dataType.simpleString()}")), site)
-    own = decompose(inside, [site], measure).select(site, "n", *(F.col(f"{a}_pct").alias(f"in_{a}") for a in ATOMS))
-    ends, at = [], 0
-    for r in sizes:
-        ends.append((r[0], at / total, (at + r[1]) / total))
-        at += r[1]
-    random = None
-    for d in range(draws):
-        u = F.pmod(F.xxhash64(F.lit(seed), F.lit(d), key), F.lit(1 << 52)) / F.lit(float(1 << 52))
-        pick = F.lit(None).cast(levels.schema[site].dataType)
-        for name, low, high in reversed(ends):
-            pick = F.when((u >= low) & (u < high), F.lit(name)).otherwise(pick)
-        part = known.withColumn(site, pick).where(F.col(site).isNotNull()).withColumn("draw", F.lit(d))
-        random = part if random is None else random.unionByName(part)
-    drawn = decompose(joint_counts(random, [site, "draw"]), [site, "draw"], measure)
+    """Each large site's decomposition, and the mean of ``draws`` random sets of exactly
+    as many rows of all sites: site, n, in_<atom>, rand_<atom> (percent of the joint).
+
+    The rows are counted once; sets are drawn from the table of counts, each with its
+    own seed, so sets of a site and a draw are independent of all others. ``key`` is
+    not needed for it and kept for callers."""
+    from channelweave.plans.resample import sampled_counts
+
+    counts = joint_counts(levels, [site]).persist()
+    sizes = counts.groupBy(site).agg(F.sum("n").alias("size")).where(F.col("size") >= least)
+    own = decompose(counts.join(sizes.select(site), site), [site], measure).select(site, "n", *(F.col(f"{a}_pct").alias(f"in_{a}") for a in ATOMS))
+    pooled = counts.groupBy("v", "s", "y").agg(F.sum("n").alias("count"))
+    design = sizes.select(site, "size", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("_seed", F.xxhash64(F.lit(seed), F.col(site), "draw"))
+    # every set is drawn from the same few cells: sites x draws x cells rows, whatever the data
+    random = sampled_counts(design.crossJoin(pooled), [site, "draw"], "size", "_seed")
+    drawn = decompose(random, [site, "draw"], measure)
     mean = drawn.groupBy(site).agg(*(F.avg(F.when(~F.isnan(f"{a}_pct"), F.col(f"{a}_pct"))).alias(f"rand_{a}") for a in ATOMS))
     return own.join(mean, site, "left")
 
@@ -133,31 +131,35 @@ def gap_closed(pooled: DataFrame, within: DataFrame, other: DataFrame, by: list[
     return a.withColumn("gap", gap).withColumn("closed", F.when(F.abs(gap) >= least, (F.col("within") - F.col("pooled")) / gap))
 
 
+def dose_sets(counts: DataFrame, site: str, ms: list[int], total: int, draws: int, seed: int = 0, target: str = "y") -> DataFrame:
+    """m, draw, site, v, s, y, n: for each m and draw, m large enough sites and of each
+    exactly total // m rows, drawn from ``counts`` (site, v, s, y, n). A m without m such
+    sites is skipped.
+
+    Sites are ranked by a hash of target, m, draw and site, and rows drawn in count
+    space with a seed from the same, so no two draws share either."""
+    from pyspark.sql import Window
+
+    from channelweave.plans.resample import sampled_counts
+
+    sizes = counts.groupBy(site).agg(F.sum("n").alias("size")).where(F.col(site).isNotNull())
+    grid = [F.struct(F.lit(m).alias("m"), F.lit(d).alias("draw"), F.lit(total // m).alias("take")) for m in ms for d in range(draws)]
+    able = sizes.select(site, "size", F.explode(F.array(*grid)).alias("g")).select(site, "size", "g.*").where("size >= take AND take > 0")
+    mark = F.xxhash64(F.lit(f"{seed}|{target}"), "m", "draw", F.col(site))
+    each = Window.partitionBy("m", "draw")
+    able = able.withColumns({"_seed": mark, "_n": F.count("*").over(each), "_rank": F.row_number().over(each.orderBy(mark, F.col(site)))})
+    design = able.where("_n >= m AND _rank <= m").select(site, "m", "draw", "take", "_seed")
+    return sampled_counts(counts.withColumnRenamed("n", "count").join(design, site), ["m", "draw", site], "take", "_seed")
+
+
 def dose_response(levels: DataFrame, site: str, key: str, ms: list[int], total: int, draws: int, seed: int = 0, target: str = "y", measure: str = "broja") -> DataFrame:
     """m sites with total // m rows each, drawn anew ``draws`` times: target, m, draw, n,
-    n_sites, atoms in percent. A m without m large enough sites is skipped.
-
-    Sites (few) are chosen on the driver with a seed from target, m and draw; rows of
-    the chosen ones by seeded hashes, all draws in one plan."""
-    import zlib
-
-    import numpy as np
-
-    sizes = sorted((r[0], r[1]) for r in levels.groupBy(site).count().where(F.col(site).isNotNull()).collect())
-    design = []
-    for m in ms:
-        large = [s for s, n in sizes if n >= total // m]
-        for d in range(draws) if len(large) >= m else ():
-            rng = np.random.default_rng(zlib.crc32(f"{target}|{m}|{d}".encode()))
-            design += [(m, d, large[i]) for i in sorted(rng.choice(len(large), m, replace=False))]
-    kind = levels.schema[site].dataType.simpleString()
-    chosen = F.broadcast(levels.sparkSession.createDataFrame(design, f"m int, draw int, {site} {kind}"))  # sites are few
-    rows = levels.join(chosen, site)
-    most = max((total // m for m in ms), default=1)
-    rank_key = F.struct("m", "draw")
-    picked = resample_without_replacement(rows.withColumn("_md", rank_key), ["_md", site], F.floor(F.lit(total) / F.col("m")), seed, key) if most else rows
+    n_sites, atoms in percent. Rows are counted once (see ``dose_sets``); ``key`` is not
+    needed for it and kept for callers."""
+    picked = dose_sets(joint_counts(levels, [site]), site, ms, total, draws, seed, target)
     sites = picked.groupBy("m", "draw").agg(F.count_distinct(site).alias("n_sites"))
-    found = decompose(joint_counts(picked, ["m", "draw"]), ["m", "draw"], measure)
+    counts = picked.groupBy("m", "draw", "v", "s", "y").agg(F.sum("n").alias("n"))
+    found = decompose(counts, ["m", "draw"], measure)
     return found.join(sites, ["m", "draw"]).select(F.lit(target).alias("target"), "m", "draw", "n", "n_sites", *(F.col(f"{a}_pct").alias(a) for a in ATOMS))
 
 

@@ -43,13 +43,24 @@ def replace_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def fingerprint_of(df: DataFrame) -> str:
+    """A digest of what a frame computes (its canonical plan and schema) and of the files
+    that it reads (path, length and time of each)."""
+    files = df.inputFiles()
+    read = []
+    if files:
+        about = df.sparkSession.read.format("binaryFile").load(files).select("path", "length", F.col("modificationTime").cast("double").alias("time"))
+        read = sorted(map(tuple, about.toLocalIterator()))
+    return hashlib.sha256(repr((df.semanticHash(), df.schema.json(), sorted(files), read)).encode()).hexdigest()[:16]
+
+
 def cached(df: DataFrame, folder: str, name: str, refresh: bool = False) -> DataFrame:
     """The frame from Parquet if it was written before, else written now.
 
-    The plan is part of the key, so another query under the same name is not mistaken
-    for it; changed source files need ``refresh``."""
-    plan = re.sub(r"#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().optimizedPlan().toString())
-    path = f"{folder}/{name}-{hashlib.sha256(plan.encode()).hexdigest()[:16]}"
+    Plan and input files are part of the key: another query, another table of the same
+    schema, or files that have changed are not mistaken for it. Changes in sources that
+    are not files need ``refresh``."""
+    path = f"{folder}/{name}-{fingerprint_of(df)}"
     spark = df.sparkSession
     if not refresh:
         try:

@@ -121,7 +121,7 @@ def test_bootstrap_and_poisson(spark):
     rng = np.random.default_rng(0)
     data = [(i, float(rng.normal() + 4 * (i % 2)), float(rng.normal()), i % 2, None if i % 9 == 0 else int(rng.random() < 0.5)) for i in range(300)]
     df = spark.createDataFrame(data, "key long, a double, b double, y int, other int")
-    got = resample.bootstrap(df, "key", ["a"], ["b"], ["y", "other"], k=2, reps=6)
+    got = resample.bootstrap(df, "key", ["a"], ["b"], ["y", "other"], k=2, reps=6, method="rows")
     assert got.count() == 6 * 2 * 2
     ci = {(r.target, r.measure): r for r in resample.interval(got, ["target", "measure"], ["u_val"]).collect()}
     assert ci["y", "broja"].u_val_low > 0.2 > ci["other", "broja"].u_val_high
@@ -131,6 +131,17 @@ def test_bootstrap_and_poisson(spark):
         resample.bootstrap(df.unionByName(df), "key", ["a"], ["b"], ["y"], 2, 2)
 
 
+def test_draws_beyond_numpys_limit():
+    rng = np.random.default_rng(1)
+    cells = np.array([3_000_000_000, 5, 2_000_000_000, 0])
+    for n in (0, 4_999_999_990, 1_000_000, 2_500_000_000):
+        got = resample.drawn_cells(cells, n, rng)
+        assert got.sum() == n and (got >= 0).all() and (got <= cells).all()
+        assert abs(got[0] - 0.6 * n) < 6 * (0.24 * max(n, 1)) ** 0.5 + 10
+    table = np.array([[[2e9, 1e9], [5e8, 5e8]]])
+    assert (resample.permuted_table(table, rng).sum(2) == table.sum(2)).all()
+
+
 def test_quantize(spark):
     df = spark.createDataFrame([(i, float(x), -999.0 if i % 3 == 0 else float(i), 5.0, -999.0) for i, x in enumerate((1, 2, 3, 4, 100, 101))], "id long, a double, t double, c double, none double")
     z = {r.id: r for r in quantize.zscore(df, ["a", "c"]).collect()}
@@ -139,7 +150,8 @@ def test_quantize(spark):
     assert t[0].t_z == 0.0 and t[0].t_real == 0.0 and t[1].t_real == 1.0 and t[1].none_z == 0.0
     levels, cost = quantize.kmeans_levels(df, ["a"], 2, n_init=2)
     assert {r.id: r.level for r in levels.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1} and abs(cost - 5.5) < 1e-6
-    assert quantize.rare_map({0: 50, 1: 1, 2: 49}) == {0: 0, 1: 0, 2: 1} and quantize.rare_map({0: 1, 5: 1, 9: 1}, 0.9) == {0: 0, 5: 1, 9: 1}
+    new = lambda counts, share: spark.createDataFrame(list(counts.items()), "u int, n long").agg(quantize.rare_levels("u", "n", share)).first()[0]
+    assert new({0: 50, 1: 1, 2: 49}, 0.02) == {0: 0, 1: 0, 2: 1} and new({0: 1, 5: 1, 9: 1}, 0.9) == {0: 0, 5: 1, 9: 1}
 
 
 def test_collapse_for_occupancy(spark):
@@ -174,6 +186,12 @@ def test_studies(spark, rows):
     assert {r.start for r in cut.collect()} == {1, 4} and studies.trend_verdict(cut, ["target"]).first().verdict == "robust"
     within = studies.within_sites(rows.withColumn("site", F.col("key") % 3), "site", "key", 500, draws=2)
     assert within.count() == 3 and studies.pooling_effect(within.withColumn("t", F.lit("t")), ["t"], "site").first().n_sites == 3
+    counts = info.joint_counts(rows.where("y IS NOT NULL").withColumn("site", F.col("key") % 4), ["site"])
+    sets = {}
+    for r in studies.dose_sets(counts, "site", [4], 600, 5).collect():
+        sets.setdefault(r.draw, set()).add((r.site, r.v, r.s, r.y, r.n))
+    again = {(r.draw, r.site, r.v, r.s, r.y, r.n) for r in studies.dose_sets(counts.repartition(5), "site", [4], 600, 5).collect()}
+    assert len({frozenset(x) for x in sets.values()}) == 5 and again == {(k, *x) for k, v in sets.items() for x in v}
     dose = studies.dose_response(rows.where("y IS NOT NULL").withColumn("site", F.col("key") % 4), "site", "key", [1, 2, 4, 8], 600, 2).collect()
     assert {(r.m, r.draw): (r.n, r.n_sites) for r in dose} == {(m, d): (600 // m * m, m) for m in (1, 2, 4) for d in (0, 1)}
 

@@ -24,8 +24,12 @@ def test_cached(spark, tmp_path):
     spark.range(3).write.parquet(source)
     assert tables.cached(spark.read.parquet(source), str(tmp_path), "t").count() == 3
     spark.range(4).write.mode("overwrite").parquet(source)
-    assert tables.cached(spark.read.parquet(source), str(tmp_path), "t").count() == 3
+    assert tables.cached(spark.read.parquet(source), str(tmp_path), "t").count() == 4  # the file has changed
     assert tables.cached(spark.read.parquet(source), str(tmp_path), "t", refresh=True).count() == 4
+    spark.range(6).write.parquet(f"{source}-2")
+    assert tables.cached(spark.read.parquet(f"{source}-2"), str(tmp_path), "t").count() == 6  # same schema, another path
+    wide = [spark.range(2).select(*(F.lit(i).alias(f"c{i}") for i in range(40)), F.lit(x).alias("last")) for x in (1, 2)]
+    assert [tables.cached(w, str(tmp_path), "w").first()["last"] for w in wide] == [1, 2]
     assert tables.cached(spark.range(5), str(tmp_path), "t").count() == 5  # another plan, same name
 
 
