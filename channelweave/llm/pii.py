@@ -1,10 +1,11 @@
 """PII surrogates, with DataFrame operations only: what is found in the texts is replaced
 by keyed values of the same type, gender, script and format.
 
-A found entity is taken apart into units (a phone number's digits, a given name, a
-surname), each with a canonical form; every unit of the corpus gets one surrogate, so
-what refers to the same thing still does. Candidates come from a keyed hash and are
-checked: two units of a kind never share one, and none is a unit that was found."""
+A found entity is taken apart into units (a phone number's digits, a mailbox, a domain, a
+given name, a surname), each with a canonical form; every unit of the corpus gets one
+surrogate, so what refers to the same thing still does. A name is one unit whatever title
+it follows; its gender is settled over the corpus. Candidates come from a keyed hash and
+are checked: two units of a kind never share one, and none is a unit that was found."""
 
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from channelweave.llm.shared import write_table
+from channelweave.llm.shared import drop_table, write_table
 
 #: Candidates tried for a unit; the spaces of all kinds are wide.
 ATTEMPTS = 40
@@ -43,7 +44,7 @@ _LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9_-]{1,4
 #: starts with what its first character may be, which is cheap to look at.
 KINDS = {
     "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "ip": r"(?=\d)(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
+    "ip": r"(?=\d)(?<![\d.])(?<!(?i:section|chapter|version|release) )(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?=[+(\d])(?:(?<![\d.])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.])\+(?:[ .-]?\(?\d\)?){7,15}(?!\.?\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))",
     "card": r"(?=\d)(?<![\d.,A-Za-z-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z])",
@@ -101,8 +102,9 @@ def iban_rest(c: Column) -> Column:
 
 
 def candidate(key: str) -> Column:
-    """A surrogate of (kind, canon) for the attempt, in canonical form."""
-    canon, kind, attempt = F.col("canon"), F.col("kind"), F.col("attempt")
+    """A surrogate of (kind, canon) for the attempt, in canonical form; ``pool`` is the
+    kind with a name's gender."""
+    canon, kind, pool, attempt = F.col("canon"), F.col("kind"), F.col("pool"), F.col("attempt")
     hashed = lambda *c: F.sha2(F.concat_ws("\x01", F.lit(key), *c), 256)
     d = hashed(kind, canon, attempt.cast("string"))
     card = digits(canon, d)
@@ -116,30 +118,35 @@ def candidate(key: str) -> Column:
     iban = F.concat(F.substr(iban, F.lit(1), F.lit(2)), F.lpad((98 - iban_rest(iban)).cast("string"), 2, "0"), F.substr(iban, F.lit(5)))
     domain = F.substring_index(canon, "@", -1)
     labels = F.slice(F.split(domain, r"\."), 1, F.greatest(F.size(F.split(domain, r"\.")) - 1, F.lit(1)))
-    email = F.concat(scramble(F.substring_index(canon, "@", 1), d), F.lit("@"), scramble(F.array_join(labels, "."), hashed(F.lit("domain"), domain)), F.lit(".example"))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), digits(canon, d)).when(kind == "iban", iban)
+    more = F.substr(hashed(F.lit("more"), kind, canon, attempt.cast("string")), F.lit(1), F.lit(8))
+    # where the space is small, or nothing could be scrambled, it gets longer
+    longer = lambda was: F.when((attempt < 4) & (scramble(was, d) != was), scramble(was, d)).otherwise(F.concat(scramble(was, d), more))
+    box, host = longer(F.substring_index(canon, "@", 1)), F.concat(longer(F.array_join(labels, ".")), F.lit(".example"))
+    out = F.when(kind == "mailbox", box).when(kind == "domain", host).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), digits(canon, d)).when(kind == "iban", iban)
     # a short secret's space could be full, and one without letters has none: those get longer
     ascii_ = F.regexp_replace(canon, r"[^\x00-\x7F]", "x")
     plain = scramble(ascii_, d)
     plain = F.when(F.length(F.regexp_replace(canon, "[^0-9A-Za-z]", "")) < 8, F.concat(plain, F.substr(hashed(F.lit("longer"), kind, canon, attempt.cast("string")), F.lit(1), F.lit(12)))).otherwise(plain)
     hexed = F.translate(plain, "ghijklmnopqrstuvwxyz", "abcdefabcdefabcdefab")
     out = out.when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), hexed).otherwise(plain))
-    for name, pool in GIVEN.items():
+    for name, listed in GIVEN.items():
         consonants, vowels = LETTERS[name.rpartition("_")[2]]
         made = lambda n, c=consonants, v=vowels: F.initcap(F.concat(*(x for i in range(n) for x in (pick(c, part(i)), pick(v, part(i) / len(c))))))
         female = [name.replace("surname", "surname_f")] if "surname" in name else []
-        whole = F.when(attempt < 2, pick(pool, part(0))).when(attempt < 8, made(3)).otherwise(made(6))
-        out = out.when(kind == name, whole)
+        whole = F.when(attempt < 2, pick(listed, part(0))).when(attempt < 8, made(3)).otherwise(made(6))
+        whole = F.lower(whole)
+        out = out.when(pool == name, whole)
         for f in female:  # Slavic surnames of women end in a vowel
-            out = out.when(kind == f, F.concat(whole, F.lit("а")) if "cyrillic" in f else whole)
+            out = out.when(pool == f, F.concat(whole, F.lit("а")) if "cyrillic" in f else whole)
     return out
 
 
 def parts_of(entity: Column) -> Column:
     """The entity's units: structs of pre (text before it, kept), kind, canon, part (the
-    text to replace)."""
+    text to replace) and gender (of a name, by its title). A card or IBAN whose check
+    digits are wrong is none: its only unit has the kind null."""
     kind = reduce(lambda c, k: c.when(entity.rlike(rf"^(?:{KINDS[k]})$"), k), KINDS, F.when(F.lit(False), ""))
-    unit = lambda pre, kind, canon, part: F.struct(pre.alias("pre"), kind.alias("kind"), canon.alias("canon"), part.alias("part"))
+    unit = lambda pre, kind, canon, part, gender=F.lit("u"): F.struct(pre.alias("pre"), kind.alias("kind"), canon.alias("canon"), part.alias("part"), gender.alias("gender"))
     only = lambda c, keep: F.regexp_replace(c, f"[^{keep}]", "")
     none = F.lit("")
     country = F.regexp_extract(entity, r"^\+(?:\d{1,3}(?=[ .(-])|[17]|\d\d)", 0)
@@ -153,19 +160,23 @@ def parts_of(entity: Column) -> Column:
     def name_unit(w: Column, i: Column) -> Column:
         script = F.when(w.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
         last = i == F.size(words) - 2
-        form = F.when((gender == "f") & (script == "cyrillic"), "surname_f_").otherwise("surname_")
         pre = F.when(i == 0, F.concat(words[0], F.lit(" "))).otherwise(" ")
-        return unit(pre, F.when(last, F.concat(form, script)).otherwise(F.concat(F.lit("given_"), gender, F.lit("_"), script)), F.lower(w), w)
+        return unit(pre, F.concat(F.when(last, "surname_").otherwise("given_"), script), F.lower(w), w, gender)
 
     names = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(1))), name_unit)
+    numbers, bank = only(entity, "0-9"), only(entity, "A-Z0-9")
+    valid = F.when(kind == "card", luhn(numbers) == 0).when(kind == "iban", iban_rest(bank) == 1).otherwise(True)
+    domain = F.substring_index(entity, "@", -1)
+    mail = F.array(unit(none, F.lit("mailbox"), F.lower(entity), F.substring_index(entity, "@", 1)), unit(F.lit("@"), F.lit("domain"), F.lower(domain), domain))
     one = F.array(
-        F.when(kind == "phone", unit(country, kind, only(rest, "0-9"), rest))
+        F.when(~valid, unit(none, F.lit(None).cast("string"), entity, entity))
+        .when(kind == "phone", unit(country, kind, only(rest, "0-9"), rest))
         .when(kind == "secret", unit(label, kind, value, value))
-        .when(kind.isin("card", "ssn"), unit(none, kind, only(entity, "0-9"), entity))
-        .when(kind == "iban", unit(none, kind, only(entity, "A-Z0-9"), entity))
+        .when(kind.isin("card", "ssn"), unit(none, kind, numbers, entity))
+        .when(kind == "iban", unit(none, kind, bank, entity))
         .otherwise(unit(none, F.coalesce(kind, F.lit("secret")), F.lower(entity), entity))
     )
-    return F.when(kind == "name", names).otherwise(one)
+    return F.when(kind == "name", names).when(kind == "email", mail).otherwise(one)
 
 
 def in_format(part: Column, kind: Column, new: Column) -> Column:
@@ -177,14 +188,23 @@ def in_format(part: Column, kind: Column, new: Column) -> Column:
         ),
         "",
     )
-    cased = F.when((part == F.upper(part)) & (part != F.lower(part)), F.upper(new)).otherwise(new)
+    name = kind.startswith("given_") | kind.startswith("surname_")
+    cased = F.when((part == F.upper(part)) & (part != F.lower(part)), F.upper(new)).when(name, F.initcap(new)).otherwise(new)
     return F.when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind == "secret", new).otherwise(cased)
 
 
 def surrogates(units: DataFrame, key: str = KEY) -> DataFrame:
     """kind, canon, new for all distinct (kind, canon): distinct within a kind, and none
-    a canon of it. Units that collide try again, the least canon keeps the surrogate."""
-    units = write_table(units.select("kind", "canon").distinct(), "pii-units")
+    a canon of it. Units that collide try again, the least canon keeps the surrogate.
+
+    A name's gender is that of its titles in the whole corpus, if they agree: names of
+    both genders and of none are one kind, so they are kept distinct as well."""
+    told = units.groupBy("kind", "canon").agg(F.bool_or(F.col("gender") == "f").alias("f"), F.bool_or(F.col("gender") == "m").alias("m"))
+    gender = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("u")
+    script = F.substring_index("kind", "_", -1)
+    pool = F.when(F.col("kind").startswith("given_"), F.concat(F.lit("given_"), gender, F.lit("_"), script))
+    pool = pool.when((F.col("kind") == "surname_cyrillic") & (gender == "f"), "surname_f_cyrillic").otherwise(F.col("kind"))
+    units = write_table(told.select("kind", "canon", pool.alias("pool")), "pii-units")
     pending, done = units, None
     for attempt in range(ATTEMPTS):
         tried = pending.withColumn("attempt", F.lit(attempt)).withColumn("new", candidate(key)).drop("attempt")
@@ -193,7 +213,9 @@ def surrogates(units: DataFrame, key: str = KEY) -> DataFrame:
             tried = tried.join(done.select("kind", "new"), ["kind", "new"], "left_anti")
         won = write_table(tried.groupBy("kind", "new").agg(F.min("canon").alias("canon")), "pii-new")
         done = won if done is None else done.unionByName(won)
-        pending = write_table(pending.join(won, ["kind", "canon"], "left_anti"), "pii-left")
+        last, pending = pending, write_table(pending.join(won, ["kind", "canon"], "left_anti"), "pii-left")
+        if attempt:
+            drop_table(last)
         if pending.isEmpty():
             return done
     raise ValueError(f"no free surrogates after {ATTEMPTS} attempts for kinds {[r[0] for r in pending.select('kind').distinct().limit(20).collect()]}")
@@ -204,9 +226,10 @@ def replace_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key
 
     Kinds: email, IPv4 address, US social security number, phone and card number, IBAN,
     passwords and access keys (all up to the quote or white space behind them, of any
-    length), names after a title. Cards and IBANs that have a valid
-    check digit still do; emails end in a reserved domain and keep one domain for one;
-    names keep gender, script and case. The same key gives the same surrogates.
+    length), names after a title, and in the same text the words of such names without
+    one. Cards and IBANs are replaced only if their check digits are right, and then
+    those of the surrogate are; emails end in a reserved domain and keep one domain for
+    one; names keep gender, script and case. The same key gives the same surrogates.
 
     Null and empty texts stay and have 0 entities; null ids are allowed; repeated rows
     are treated alike. A column ``entities`` is replaced, all others stay."""
@@ -215,16 +238,28 @@ def replace_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key
     found = write_table(found, "pii-found")
     parts = found.select("entity").distinct().select("entity", F.posexplode(parts_of(F.col("entity"))).alias("i", "u")).select("entity", "i", "u.*")
     parts = write_table(parts, "pii-parts")
-    named = parts.join(surrogates(parts, key), ["kind", "canon"]).select("entity", "i", F.concat("pre", in_format(F.col("part"), F.col("kind"), F.col("new"))).alias("new"))
+    named = parts.join(surrogates(parts.where("kind IS NOT NULL"), key), ["kind", "canon"], "left")
+    new = F.when(F.col("kind").isNull(), F.col("part")).otherwise(in_format(F.col("part"), F.col("kind"), F.col("new")))
+    word = F.col("kind").startswith("given_") | F.col("kind").startswith("surname_")
+    named = named.select("entity", "i", "pre", new.alias("new"), F.col("kind").isNotNull().alias("real"), F.when(word, F.col("part")).alias("name"))
     # an entity has at most a few units
-    named = named.groupBy("entity").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]), "").alias("new"))
+    named = named.groupBy("entity").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", F.concat("pre", "new").alias("new")))), lambda x: x["new"]), "").alias("new"),
+        F.bool_and("real").alias("real"), F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "new"))).alias("names"),
+    )
     # no more rows than the text has entities
-    told = found.join(named, "entity").groupBy("id", "th").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "new"))), lambda x: x["new"]).alias("new"))
+    told = found.join(named, "entity").groupBy("id", "th").agg(
+        F.sort_array(F.collect_set(F.struct("pos", "new", "real"))).alias("at"), F.array_distinct(F.flatten(F.collect_set("names"))).alias("names")
+    )
     rest = [c for c in docs.columns if c != "entities"]
     dirty = docs.where(has).alias("d").join(told.alias("t"), F.col(f"d.{doc_id}").eqNullSafe(F.col("t.id")) & (F.xxhash64(f"d.{text}") == F.col("t.th")))
     pieces = F.split(F.col(f"d.{text}"), PATTERN, -1)
-    joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("t.new"), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
-    dirty = dirty.select(*(joined.alias(c) if c == text else F.col(f"d.{c}") for c in rest), F.size("t.new").cast("long").alias("entities"))
+    # between the entities, the words of names that the text has with a title; no surrogate is such a word
+    mention = lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"(?<![\p{L}\d@._-])\Q"), x["name"], F.lit(r"\E(?![\p{L}\d@_-])")), x["new"])
+    plain = lambda p: F.aggregate("t.names", p, mention)
+    joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("t.at"), lambda p, n: F.array(plain(p), F.coalesce(n["new"], F.lit(""))))), "")
+    real = F.size(F.filter("t.at", lambda x: x["real"])).cast("long")
+    dirty = dirty.select(*(joined.alias(c) if c == text else F.col(f"d.{c}") for c in rest), real.alias("entities"))
     return docs.where(~has).select(*rest, F.lit(0).cast("long").alias("entities")).unionByName(dirty)
 
 
