@@ -8,6 +8,7 @@ the rows, so a worker's memory is bounded whatever the benchmark's size."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from channelweave.llm.shared import write_table
+from channelweave.llm.shared import drop_table, write_table
 
 WINDOW = 10
 #: Item words that one broadcast holds: about 100 MB of a worker's memory at most.
@@ -91,14 +92,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items dealt into blocks by a running count of bytes, an upper bound of their words;
-    each block is collected by itself and has a bounded size."""
+def item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) -> Iterator[tuple[bool, list[tuple[str, list[bytes]]]]]:
+    """Items dealt into blocks by hash, with the number of blocks from a sum of bytes, an
+    upper bound of their words; the driver has one block of bounded size at a time. Each
+    comes with whether there are more blocks than one."""
     rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (4 * block_words)))
     block = F.pmod(F.xxhash64("name", "text"), F.lit(n))
-    return [[(r["name"], words(r["text"])) for r in rows.where(block == i).toLocalIterator()] for i in range(n)]
+    for i in range(n):
+        yield n > 1, [(r["name"], words(r["text"])) for r in rows.where(block == i).toLocalIterator()]
 
 
 def find_contamination(
@@ -110,14 +113,16 @@ def find_contamination(
     A null or empty text has no words and no hit. Items that are null or without words
     are no windows; a null item id reads "null". Rows may repeat. An empty benchmark
     hits nothing. A column named as ``into`` is replaced; all others stay."""
-    spark = docs.sparkSession
-    blocks = item_blocks(items, item_id, item_text, block_words)
-    for k, block in enumerate(blocks):
+    spark, written = docs.sparkSession, None
+    for k, (several, block) in enumerate(item_blocks(items, item_id, item_text, block_words)):
         shared = spark.sparkContext.broadcast(WindowSet(block, window))
 
         docs = docs.withColumn(into, lookup_after(shared)(F.col(text), F.col(into)) if k else lookup(shared)(F.col(text)))
-        if len(blocks) > 1:
-            docs = write_table(docs, "decontaminate")
+        if several:
+            found = write_table(docs, "decontaminate")
+            if k:
+                drop_table(written)
+            docs = written = found
     return docs
 
 
@@ -126,7 +131,7 @@ def lookup(shared):
     def look(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([found_in(t, shared.value, None) for t in texts], columns=["starts", "ends", "items", "n_words"])
 
-    return look
+    return look.asNondeterministic()  # it is not, but a filter on its result must not have it run twice
 
 
 def lookup_after(shared):
@@ -136,7 +141,7 @@ def lookup_after(shared):
     def look(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([found_in(t, shared.value, b) for t, b in zip(texts, before.itertuples(index=False), strict=True)], columns=["starts", "ends", "items", "n_words"])
 
-    return look
+    return look.asNondeterministic()
 
 
 def found_in(text: str | None, windows: WindowSet, before) -> tuple[list[int], list[int], list[str], int]:

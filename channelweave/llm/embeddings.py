@@ -131,7 +131,7 @@ def pairs_of(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFr
     rows, dim = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     dim = dim or 1
     take = max(2, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))
-    found = classes.orderBy(F.xxhash64("cls")).limit(take).select("v").toArrow()
+    found = classes.orderBy(F.xxhash64("v")).limit(take).select("v").toArrow()
     sample = unit_rows(found.column("v").combine_chunks(), dim) if found.num_rows else np.zeros((0, dim))
     forest = spark.sparkContext.broadcast([Tree(sample, rows, seed + t) for t in range(trees)])
 
@@ -161,7 +161,7 @@ def pairs_of(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFr
         if level == LEVELS or (most and worst > 0.9 * most):
             # what cannot be split: every two salts meet in a task
             salts = F.ceil(2 * F.col("count") / GROUP_ROWS).cast("int")
-            own = F.pmod(F.xxhash64("cls"), salts).cast("int")
+            own = F.pmod(F.xxhash64("v"), salts).cast("int")
             large = large.withColumn("own", own).withColumn("other", F.explode(F.array_remove(F.sequence(F.lit(0), salts - 1), F.col("own"))))
             ready.append(large.select("g", "cls", "n", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
             break

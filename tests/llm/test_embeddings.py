@@ -71,3 +71,19 @@ def test_recall_on_table(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = embeddings.op5_embedding_dedup(spark, sf_dir).collect()
     assert {r.vec_id: [(r.n_links, r.component_id)] for r in got} == brute(rows)
+
+
+def test_recall_of_a_forest_that_splits(spark, monkeypatch):
+    """Trees of many leaves over 4000 vectors: nearly all linked pairs meet in a leaf, and
+    reruns with other partitions agree."""
+    monkeypatch.setattr(embeddings, "LEAF_ROWS", 64)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(1000, 32))
+    x = (centres[rng.integers(0, 1000, 4000)] + rng.normal(scale=0.15, size=(4000, 32))).astype(np.float32)
+    tree = embeddings.Tree(x.astype(float), 4000, 1)
+    assert sum(left < 0 for left in tree.left) > 30
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = int((unit @ unit.T >= 0.9).sum()) - 4000
+    got = [{r.vec_id: r.n_links for r in embeddings.near_duplicate_vectors(d).collect()} for d in (df, df.repartition(7))]
+    assert want > 1000 and 0.9 * want <= sum(got[0].values()) <= want and got[0] == got[1]

@@ -42,3 +42,42 @@ def test_same_in_any_company(spark, sf_dir):
     whole = {r.doc_id: (r.lang_pred, round(r.score, 5)) for r in predict(docs, net).collect()}
     some = predict(docs.where(F.col("doc_id") % 7 == 0), net).collect()
     assert all(whole[r.doc_id] == (r.lang_pred, round(r.score, 5)) for r in some)
+
+
+def test_long_texts_and_plain_convolution(spark):
+    """Short and long texts (200 to 400,000 bytes) by one rule: a plain convolution of
+    every window, byte by byte, averaged by length."""
+    import numpy as np
+
+    from channelweave.llm import langid
+
+    net = langid.ByteNet(["a", "b"])
+    filters = []  # by width: tables of the offsets, one filter a column
+    for k, w in enumerate(langid.WIDTHS[::-1]):
+        cols = slice(k * langid.FILTERS, (k + 1) * langid.FILTERS)
+        filters.append([net.tables[j][:, cols] for j in range(w)])
+
+    def plain(t):
+        total = np.zeros(2)
+        for at in range(0, len(t), langid.WINDOW):
+            size = min(langid.WINDOW, len(t) - at)
+            raw = np.frombuffer(t[at : at + langid.WINDOW + langid.REACH].ljust(langid.WINDOW + langid.REACH, b"\0"), np.uint8)
+            top = np.concatenate([np.max([sum(f[j][raw[i + j]] for j in range(len(f))) for i in range(size)], 0) for f in filters])
+            z = np.maximum(top, 0) @ net.out + net.bias
+            total += size * np.exp(z) / np.exp(z).sum()
+        return total / total.sum()
+
+    rng = np.random.default_rng(0)
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in (200, 256, 257, 3000, 20_000)]
+    texts.append(texts[-1] * 20)
+    got = predict(spark.createDataFrame([(i, t, None, 0) for i, t in enumerate(texts)], SCHEMA), net).collect()
+    for r in got:
+        want = plain(texts[r.doc_id][:40_000].encode()) if r.doc_id == 5 else plain(texts[r.doc_id].encode())
+        tolerance = 2e-2 if r.doc_id == 5 else 1e-4  # of the longest, a tenth is checked
+        assert abs(r.score - want.max()) < tolerance and r.lang_pred == "ab"[int(want.argmax())]
+
+
+def test_ids_are_not_learned_from(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    one, other = fit(docs), fit(docs.withColumn("doc_id", -F.col("doc_id")).withColumn("source", F.lit("x")).repartition(5))
+    assert all((a == b).all() for a, b in zip(one.tables, other.tables, strict=True))
