@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from channelweave.llm.shared import drop_table, slices, write_table
+from channelweave.llm.shared import drop_table, release, slices, write_table
 
 WINDOW, PREFIX = 20, 6
 #: Suffixes in a group, about, and occurrences of a prefix beyond which it is salted.
@@ -136,6 +136,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
     found = write_table(rows.mapInArrow(find, f"id {id_type}, th long, at int, h long"), "anchors")
     counts = write_table(found.groupBy("h").count().where("count > 1"), "prefixes")
+    release(rows.sparkSession)
     total = counts.agg(F.sum("count")).first()[0] or 0
     salts = F.ceil(F.col("count") / prefix_rows).cast("int")
     salt = F.when(salts > 1, F.pmod(F.xxhash64("id", "th"), salts)).otherwise(-1).cast("int")
@@ -143,6 +144,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     # no more rows than a text has words
     kept = write_table(kept.groupBy("id", "th").agg(F.sort_array(F.collect_set("anchor")).alias("anchors")), "kept")
     drop_table(found)
+    release(rows.sparkSession)
     texts = rows.alias("d").join(kept.alias("k"), same_doc("d", "k")).select("d.id", "d.th", "d.text", "k.anchors")
     groups = max(1, -(-total // GROUP_ROWS))
 
@@ -215,6 +217,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     cuts = texts.mapInArrow(suffixes, f"{kind}, ahead int, h long, salt int, codes binary")
     grown = cuts.groupBy(F.pmod("h", F.lit(groups)).alias("group"), "salt").applyInArrow(tree, f"{kind}, n int, w1 long, w2 long")
     grown = write_table(grown, "repeats")
+    release(rows.sparkSession)
     # n is 0 for the first of its kind under one salt of a salted prefix
     firsts, key = grown.where("n = 0"), F.struct(F.col("id").isNotNull(), "id", "start")
     least = firsts.groupBy("w1", "w2").agg(F.min(key).alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")
