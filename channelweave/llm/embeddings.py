@@ -5,7 +5,10 @@ A node splits at random: at the median of the projections on a random direction,
 those near the median going both ways. The trees' upper levels are fitted on a bounded
 sample; every vector goes down every tree. Leaves that come out too large are split
 further on their own quantiles, level by level, in Spark; a leaf that cannot be split
-(equal projections) is salted, and every two salts are compared."""
+(equal projections) is salted, and every two salts are compared.
+
+Linked pairs are never written: a leaf gives each vector's number of links and one link
+to the first of its component. A pair counts in the first leaf that both lie in."""
 
 from __future__ import annotations
 
@@ -29,6 +32,8 @@ LEAST_SAMPLE = 32
 #: Levels by which oversized leaves are split further before they are salted.
 LEVELS = 12
 BLOCK = 512
+#: Pairs whose leaves are compared at a time.
+BITS_ROWS = 1 << 16
 #: Projections this close are equal: rounding of single precision never parts vectors.
 TIE = 1e-6
 
@@ -84,20 +89,55 @@ def unit_rows(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
-def links(group: pa.Table, dim: int, cosine: float) -> Iterator[pa.RecordBatch]:
-    """Linked pairs (a < b) of one leaf with the number of rows that each stands for."""
-    names = ["a", "b", "na", "nb"]
-    if group.num_rows < 2:
-        return
-    x = unit_rows(group.column("v").combine_chunks(), dim)
-    cls, n = group.column("cls").to_numpy(), group.column("n").to_numpy()
-    for i in range(0, len(x), BLOCK):
-        u, v = np.nonzero(x[i : i + BLOCK] @ x[i:].T >= cosine)
-        apart = cls[u + i] < cls[v + i]
-        back = (cls[u + i] > cls[v + i]) & (v >= BLOCK)  # the other way round, not seen again
-        u, v = np.r_[u[apart], v[back]] + i, np.r_[v[apart], u[back]] + i
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cls[u], cls[v], n[u], n[v])], names)
+def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Merge the components that u and v link: larger labels hang below smaller ones."""
+    while len(u):
+        a, b = label[u], label[v]
+        apart = a != b
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def earlier_leaves(lists: pa.ListArray, g: int) -> np.ndarray:
+    """A row of bits for each vector: which of the leaves before g, shared by any two, hold it."""
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    leaf = lists.flatten().to_numpy()
+    row, leaf = row[leaf < g], leaf[leaf < g]
+    _, code, times = np.unique(leaf, return_inverse=True, return_counts=True)
+    shared = times > 1
+    row, code = row[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]
+    bits = np.zeros((len(lists), -(-int(shared.sum()) // 64)), np.uint64)
+    np.bitwise_or.at(bits, (row, code // 64), np.uint64(1) << (code % 64).astype(np.uint64))
+    return bits
+
+
+def leaf_links(group: pa.Table, dim: int, cosine: float) -> pa.RecordBatch:
+    """For each vector of a leaf that links with another there: its class, the rows that it
+    links with, and the first class of its component in this leaf.
+
+    A pair that meets in several leaves is counted in the first of them alone, and one of
+    equal salts in one pair of salts alone; all links unite."""
+    group = group.combine_chunks()
+    x, rows = unit_rows(group.column("v").chunk(0), dim), group.num_rows
+    cls, n, own = (group.column(c).to_numpy() for c in ("cls", "n", "own"))
+    g, i, j = (group.column(c)[0].as_py() for c in ("g", "i", "j"))
+    seen = earlier_leaves(group.column("gs").chunk(0), g)
+    here = (i == 0) & ((own == j) | ((own == 0) & (j == 1))) if i != j else np.ones(rows, bool)
+    label, more = np.arange(rows), np.zeros(rows)
+    for at in range(0, rows, BLOCK):
+        u, v = np.nonzero(x[at : at + BLOCK] @ x[at:].T >= cosine)
+        u, v = u[u < v] + at, v[u < v] + at
+        unite(label, u, v)
+        counts = (own[u] != own[v]) | here[u]
+        for k in range(0, len(u), BITS_ROWS):
+            part = slice(k, k + BITS_ROWS)
+            counts[part] &= ~(seen[u[part]] & seen[v[part]]).any(1)
+        u, v = u[counts], v[counts]
+        more += np.bincount(u, n[v], rows) + np.bincount(v, n[u], rows)
+    told = np.flatnonzero((more > 0) | (label != np.arange(rows)))
+    return pa.RecordBatch.from_arrays([pa.array(cls[told]), pa.array(more[told].astype(np.int64)), pa.array(cls[label[told]])], ["cls", "more", "root"])
 
 
 def distinct_vectors(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -122,11 +162,12 @@ def split_level(rows: DataFrame, dim: int, level: int) -> DataFrame:
     cut = rows.groupBy("g").agg(F.percentile_approx("p", F.array(F.lit(0.5 - SPILL), F.lit(0.5 + SPILL)), F.lit(1000)).alias("q"))
     low, high = F.col("q")[0] - TIE, F.col("q")[1] + TIE
     sides = F.array_compact(F.array(F.when(F.col("p") <= high, F.xxhash64("g", F.lit(0))), F.when(F.col("p") >= low, F.xxhash64("g", F.lit(1)))))
-    return rows.join(cut, "g").select(F.explode(sides).alias("g"), "cls", "n", "v")
+    return rows.join(cut, "g").select(F.explode(sides).alias("g"), "cls", "v")
 
 
-def pairs_of(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFrame:
-    """Linked pairs (a, b, na, nb) of the rows (cls, n, v) of distinct vectors."""
+def linked(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFrame:
+    """cls, more, root for every leaf of the forest and class (cls, n, v) with links in it:
+    ``leaf_links``. At most a row for each leaf that a class lies in, whatever it links with."""
     spark = classes.sparkSession
     rows, dim = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     dim = dim or 1
@@ -142,38 +183,43 @@ def pairs_of(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFr
                 reached = list(tree.leaves(x))
                 at = np.concatenate([a for _, a in reached])
                 g = np.repeat([(t << 32) + leaf for leaf, _ in reached], [len(a) for _, a in reached])
-                out = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), *out.columns], ["g", *out.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), batch.column("cls").take(pa.array(at))], ["g", "cls"])
 
-    kind = classes.schema["v"].dataType.simpleString()
-    leaves = write_table(classes.select("cls", "n", "v").mapInArrow(descend, f"g long, cls long, n long, v {kind}"), "forest")
-    whole = F.lit(0)
-    ready, large, most = [], leaves, None
+    leaves = write_table(classes.select("cls", "v").mapInArrow(descend, "g long, cls long"), "forest")
+    one = F.lit(1).alias("salts")
+    placed, large, most = [], leaves, None
     for level in range(LEVELS + 1):
         sizes = large.groupBy("g").count()
         over = write_table(sizes.where(F.col("count") > GROUP_ROWS), "forest-over")
         worst = over.agg(F.max("count")).first()[0]
         if not worst:
-            ready.append(large.withColumns({"i": whole, "j": whole}))
+            placed.append(large.select("g", "cls", one))
             break
-        ready.append(large.join(over, "g", "left_anti").withColumns({"i": whole, "j": whole}))
+        placed.append(large.join(over, "g", "left_anti").select("g", "cls", one))
         large = large.join(over, "g")
         if level == LEVELS or (most and worst > 0.9 * most):
-            # what cannot be split: every two salts meet in a task
-            salts = F.ceil(2 * F.col("count") / GROUP_ROWS).cast("int")
-            own = F.pmod(F.xxhash64("v"), salts).cast("int")
-            large = large.withColumn("own", own).withColumn("other", F.explode(F.array_remove(F.sequence(F.lit(0), salts - 1), F.col("own"))))
-            ready.append(large.select("g", "cls", "n", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+            placed.append(large.select("g", "cls", F.ceil(2 * F.col("count") / GROUP_ROWS).cast("int").alias("salts")))
             break
-        large, most = write_table(split_level(large.drop("count"), dim, level), "forest-split"), worst
-    every = ready[0]
-    for part in ready[1:]:
+        large = large.drop("count") if "v" in large.columns else large.drop("count").join(classes.select("cls", "v"), "cls")
+        large, most = write_table(split_level(large, dim, level), "forest-split"), worst
+    every = placed[0]
+    for part in placed[1:]:
         every = every.unionByName(part)
 
+    # every vector with the list of its leaves: a few for each tree
+    lists = every.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("g", "salts"))).alias("leaves"))
+    each = classes.select("cls", "n", "v").join(lists, "cls").select("cls", "n", "v", F.col("leaves.g").alias("gs"), F.explode("leaves").alias("leaf"))
+    # what cannot be split: every two salts meet in a task
+    salts = F.col("leaf.salts")
+    each = each.withColumn("own", F.pmod(F.xxhash64("v"), salts).cast("int"))
+    others = F.when(salts > 1, F.array_remove(F.sequence(F.lit(0), salts - 1), F.col("own"))).otherwise(F.array(F.lit(0)))
+    each = each.withColumn("other", F.explode(others))
+    each = each.select("cls", "n", "v", "gs", "own", F.col("leaf.g").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from links(pa.Table.from_batches(list(batches)), dim, cosine)
+        yield leaf_links(pa.Table.from_batches(list(batches)), dim, cosine)
 
-    return every.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long, na long, nb long").distinct()
+    return each.groupBy("g", "i", "j").applyInArrow(compare, "cls long, more long, root long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, trees: int = TREES, seed: int = SEED) -> DataFrame:
@@ -188,16 +234,16 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: s
     rows = distinct_vectors(vectors, vec_id, vector)
     classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     classes = write_table(classes.withColumn("cls", F.monotonically_increasing_id()), "vectors")
-    pairs = write_table(pairs_of(classes, cosine, trees, seed), "vector-links")
-    parts = write_table(connected_components(pairs.select("a", "b")), "vector-parts")
-    degree = pairs.select("a", "nb").union(pairs.select("b", "na")).groupBy(F.col("a").alias("cls")).agg(F.sum("nb").alias("more"))
+    found = write_table(linked(classes, cosine, trees, seed), "vector-links")
+    parts = write_table(connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))), "vector-parts")
+    degree = found.groupBy("cls").agg(F.sum("more").alias("more"))
     told = classes.join(degree, "cls", "left").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     told = told.select("v", "n", "low", "more", F.coalesce("component", "cls").alias("component"))
     lows = told.groupBy("component").agg(F.min("low").alias("component_id"))
     told = told.join(lows, "component").select("v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
-    linked = rows.where("v IS NOT NULL").join(told, "v").select("id", "n_links", "component_id")
+    some = rows.where("v IS NOT NULL").join(told, "v").select("id", "n_links", "component_id")
     alone = rows.where("v IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = linked.unionByName(alone)
+    out = some.unionByName(alone)
     return out.select(F.col("id").alias(vec_id), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

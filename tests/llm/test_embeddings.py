@@ -87,3 +87,20 @@ def test_recall_of_a_forest_that_splits(spark, monkeypatch):
     want = int((unit @ unit.T >= 0.9).sum()) - 4000
     got = [{r.vec_id: r.n_links for r in embeddings.near_duplicate_vectors(d).collect()} for d in (df, df.repartition(7))]
     assert want > 1000 and 0.9 * want <= sum(got[0].values()) <= want and got[0] == got[1]
+
+
+def test_near_copies_take_a_row_for_each_leaf(spark, monkeypatch):
+    """A dense group in many leaves: counts as all pairs give them, rows written in proportion
+    to the vectors and not to their pairs."""
+    monkeypatch.setattr(embeddings, "LEAF_ROWS", 64)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=16) + rng.normal(scale=0.02, size=(700, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "cls long, v array<float>, n long")
+    found = embeddings.linked(df, 0.9, 8, 1).collect()
+    assert len(found) < 40 * len(rows)
+    more = dict.fromkeys(range(700), 0)
+    for r in found:
+        more[r.cls] += r.more
+    want = {i: n for i, [(n, _)] in brute(rows).items()}
+    assert all(more[i] <= want[i] for i in want) and sum(more.values()) >= 0.9 * sum(want.values())
