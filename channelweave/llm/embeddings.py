@@ -5,7 +5,8 @@ A node splits at random: at the median of the projections on a random direction,
 those near the median going both ways. The trees' upper levels are fitted on a bounded
 sample; every vector goes down every tree. Leaves that come out too large are split
 further on their own quantiles, level by level, in Spark; a leaf that cannot be split
-(equal projections) is salted, and every two salts are compared.
+(equal projections), or whose vectors nearly all link, is salted, and every two salts are
+compared.
 
 Linked pairs are never written: a leaf gives each vector's number of links and one link
 to the first of its component. A pair counts in the first leaf that both lie in."""
@@ -31,6 +32,9 @@ SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 1 << 22
 LEAST_SAMPLE = 32
 #: Levels by which oversized leaves are split further before they are salted.
 LEVELS = 12
+#: Groups whose mean cosine falls short of 1 by no more than this times (1 - threshold) are
+#: not split: most of their pairs link, so all have to be compared.
+TIGHT = 1.5
 BLOCK = 512
 #: Pairs whose leaves are compared at a time.
 BITS_ROWS = 1 << 16
@@ -41,7 +45,7 @@ TIE = 1e-6
 class Tree:
     """Nodes as arrays; a leaf's left child is -1. Directions are drawn for each node."""
 
-    def __init__(self, sample: np.ndarray, rows: int, seed: int) -> None:
+    def __init__(self, sample: np.ndarray, rows: int, seed: int, cosine: float = 0.9) -> None:
         rng = np.random.default_rng(seed)
         self.direction, self.low, self.high, self.left, self.right = [], [], [], [], []
         todo = [(self.add(), np.arange(len(sample)))]
@@ -49,6 +53,8 @@ class Tree:
             node, at = todo.pop()
             if len(at) < 2 * LEAST_SAMPLE or len(at) * rows <= LEAF_ROWS * len(sample):
                 continue
+            if 1 - np.square(sample[at].mean(0)).sum() / np.square(sample[at]).sum(1).mean() <= TIGHT * (1 - cosine):
+                continue
             d = rng.normal(size=sample.shape[1])
             p = sample[at] @ d
             low, high = np.quantile(p, (0.5 - SPILL, 0.5 + SPILL))
@@ -147,8 +153,9 @@ def distinct_vectors(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return vectors.select(F.col(vec_id).alias("id"), F.when(usable, F.col(vector)).alias("v"))
 
 
-def split_level(rows: DataFrame, dim: int, level: int) -> DataFrame:
-    """Every group split once more, at its own quantiles."""
+def split_level(rows: DataFrame, dim: int, level: int, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """(g, cls, v) with every group split once more, at its own quantiles, and (g, cls, count)
+    of the tight groups, which are not: unit vectors' projections vary by 1 - mean cosine."""
 
     @F.pandas_udf("double")
     def project(group: pd.Series, v: pd.Series) -> pd.Series:
@@ -159,10 +166,12 @@ def split_level(rows: DataFrame, dim: int, level: int) -> DataFrame:
         return pd.Series(out)
 
     rows = write_table(rows.withColumn("p", project("g", "v")), "forest-level")
-    cut = rows.groupBy("g").agg(F.percentile_approx("p", F.array(F.lit(0.5 - SPILL), F.lit(0.5 + SPILL)), F.lit(1000)).alias("q"))
+    cut = rows.groupBy("g").agg(F.percentile_approx("p", F.array(F.lit(0.5 - SPILL), F.lit(0.5 + SPILL)), F.lit(1000)).alias("q"), F.var_pop("p").alias("spread"), F.count("*").alias("count"))
+    cut = cut.withColumn("tight", F.col("spread") <= TIGHT * (1 - cosine))
     low, high = F.col("q")[0] - TIE, F.col("q")[1] + TIE
     sides = F.array_compact(F.array(F.when(F.col("p") <= high, F.xxhash64("g", F.lit(0))), F.when(F.col("p") >= low, F.xxhash64("g", F.lit(1)))))
-    return rows.join(cut, "g").select(F.explode(sides).alias("g"), "cls", "v")
+    met = rows.join(cut, "g")
+    return met.where("NOT tight").select(F.explode(sides).alias("g"), "cls", "v"), met.where("tight").select("g", "cls", "count")
 
 
 def linked(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFrame:
@@ -174,7 +183,7 @@ def linked(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFram
     take = max(2, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dim))
     found = classes.orderBy(F.xxhash64("v")).limit(take).select("v").toArrow()
     sample = unit_rows(found.column("v").combine_chunks(), dim) if found.num_rows else np.zeros((0, dim))
-    forest = spark.sparkContext.broadcast([Tree(sample, rows, seed + t) for t in range(trees)])
+    forest = spark.sparkContext.broadcast([Tree(sample, rows, seed + t, cosine) for t in range(trees)])
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
@@ -186,7 +195,7 @@ def linked(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), batch.column("cls").take(pa.array(at))], ["g", "cls"])
 
     leaves = write_table(classes.select("cls", "v").mapInArrow(descend, "g long, cls long"), "forest")
-    one = F.lit(1).alias("salts")
+    one, many = F.lit(1).alias("salts"), F.ceil(2 * F.col("count") / GROUP_ROWS).cast("int").alias("salts")
     placed, large, most = [], leaves, None
     for level in range(LEVELS + 1):
         sizes = large.groupBy("g").count()
@@ -198,10 +207,12 @@ def linked(classes: DataFrame, cosine: float, trees: int, seed: int) -> DataFram
         placed.append(large.join(over, "g", "left_anti").select("g", "cls", one))
         large = large.join(over, "g")
         if level == LEVELS or (most and worst > 0.9 * most):
-            placed.append(large.select("g", "cls", F.ceil(2 * F.col("count") / GROUP_ROWS).cast("int").alias("salts")))
+            placed.append(large.select("g", "cls", many))
             break
         large = large.drop("count") if "v" in large.columns else large.drop("count").join(classes.select("cls", "v"), "cls")
-        large, most = write_table(split_level(large, dim, level), "forest-split"), worst
+        split, tight = split_level(large, dim, level, cosine)
+        placed.append(tight.select("g", "cls", many))
+        large, most = write_table(split, "forest-split"), worst
     every = placed[0]
     for part in placed[1:]:
         every = every.unionByName(part)
