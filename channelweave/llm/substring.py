@@ -2,10 +2,12 @@
 
 Suffixes are taken at anchors only: of the short word sequences in a window the one
 with the least hash, so that equal windows have equal anchors. An anchor is a prefix
-that says which group a suffix belongs to. Prefixes that occur once are dropped, the
-others are packed into groups of bounded size. Where one prefix alone is too frequent,
-its suffixes are dealt to several trees by document, and only what comes first in each
-tree meets the others' firsts, under a prefix as long as the whole window.
+that says which group a suffix belongs to. Prefixes that occur once are dropped.
+
+Prefixes have variable length: one that is too frequent is lengthened by some words to
+its right, again and again, until its suffixes fit into a tree. A window that ends before
+the longer prefix does is settled by its whole sequence, which is the longest prefix there
+can be and needs no tree, only the first that has it. So every tree is complete by itself.
 
 In a group the tree grows from the top: a node is a set of windows with the same first
 words, and every step splits the nodes by one word more; what stands alone is a leaf
@@ -14,6 +16,7 @@ and drops out. Nodes that are left at a window's depth are repeats."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 from channelweave.llm.shared import drop_table, release, slices, write_table
 
 WINDOW, PREFIX = 20, 6
-#: Suffixes in a group, about, and occurrences of a prefix beyond which it is salted.
+#: Suffixes in a group, about, and occurrences of a prefix beyond which it is lengthened.
 GROUP_ROWS, PREFIX_ROWS = 1 << 15, 1 << 14
+#: Steps in which a prefix grows to a window's length, and suffixes that a worker takes apart at a time.
+STEPS, STEP_ROWS = 4, 1 << 13
 #: Words whose hashes a worker remembers.
 MEMO = 1 << 19
 SEED = 42
@@ -89,6 +94,19 @@ def runs(anchor: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, np.diff(anchor) != 0]) if len(anchor) else np.zeros(0, np.int64)
 
 
+def restored(content: pa.Array, ahead: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes' words with zeros in the anchors' place, all in one array; where each begins, and its size."""
+    blank = bytes(8 * prefix)
+    raw = [r[:p] + blank + r[p:] for r, p in zip(content.to_pylist(), (8 * ahead).tolist(), strict=True)]
+    sizes = np.array([len(r) // 8 for r in raw], np.int64)
+    return np.frombuffer(b"".join(raw), np.uint64), np.cumsum(sizes) - sizes, sizes
+
+
+def counted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For numbers n: each row n times, and 0 .. n - 1 along with it."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def repeats(codes: np.ndarray, starts: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows (by number) in nodes at the window's depth, and their nodes.
 
@@ -137,16 +155,16 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     found = write_table(rows.mapInArrow(find, f"id {id_type}, th long, at int, h long"), "anchors")
     counts = write_table(found.groupBy("h").count().where("count > 1"), "prefixes")
     release(rows.sparkSession)
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    salts = F.ceil(F.col("count") / prefix_rows).cast("int")
-    salt = F.when(salts > 1, F.pmod(F.xxhash64("id", "th"), salts)).otherwise(-1).cast("int")
-    kept = found.join(counts, "h").select("id", "th", F.struct("at", salt.alias("salt")).alias("anchor"))
+    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    groups = max(1, -(-(total or 0) // GROUP_ROWS))
+    kept = found.join(counts, "h").select("id", "th", F.struct("at", (F.col("count") > prefix_rows).alias("crowded")).alias("anchor"))
     # no more rows than a text has words
     kept = write_table(kept.groupBy("id", "th").agg(F.sort_array(F.collect_set("anchor")).alias("anchors")), "kept")
     drop_table(found)
     release(rows.sparkSession)
     texts = rows.alias("d").join(kept.alias("k"), same_doc("d", "k")).select("d.id", "d.th", "d.text", "k.anchors")
-    groups = max(1, -(-total // GROUP_ROWS))
+    kind = f"id {id_type}, th long, start int"
+    suffix = f"{kind}, ahead int, h long, codes binary"
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Codes()
@@ -162,33 +180,51 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
             mine = np.isin(at[k], wanted)
             k, n = k[mine], n[mine]
             order = np.argsort(wanted)
-            salted = want.field("salt").to_numpy()[order[np.searchsorted(wanted, at[k], sorter=order)]]
-            short = codes.astype(np.uint32)
+            crowded = want.field("crowded").take(pa.array(order[np.searchsorted(wanted, at[k], sorter=order)]))
             # the anchor's own words stay here: its hash says what they are
             content = [
-                short[i:a].tobytes() + short[a + prefix : i + m + window - 1].tobytes() for i, a, m in zip(starts[k].tolist(), at[k].tolist(), n.tolist(), strict=True)
+                codes[i:a].tobytes() + codes[a + prefix : i + m + window - 1].tobytes() for i, a, m in zip(starts[k].tolist(), at[k].tolist(), n.tolist(), strict=True)
             ]
             keys = batch.select(["id", "th"]).take(pa.array(doc[k]))
             yield pa.RecordBatch.from_arrays(
-                [*keys.columns, pa.array((starts[k] - base[doc[k]]).astype(np.int32)), pa.array((at[k] - starts[k]).astype(np.int32)), pa.array(h[k]), pa.array(salted), pa.array(content, pa.binary())],
-                ["id", "th", "start", "ahead", "h", "salt", "codes"],
+                [*keys.columns, pa.array((starts[k] - base[doc[k]]).astype(np.int32)), pa.array((at[k] - starts[k]).astype(np.int32)), pa.array(h[k]), pa.array(content, pa.binary()), crowded],
+                ["id", "th", "start", "ahead", "h", "codes", "crowded"],
             )
 
+    def lengthen(batches: Iterator[pa.RecordBatch], known: int, length: int) -> Iterator[pa.RecordBatch]:
+        names = ["id", "th", "start", "ahead", "h", "codes", "w1", "w2"]
+        for batch in slices(batches, STEP_ROWS):
+            start, ahead, h = (batch.column(c).to_numpy() for c in ("start", "ahead", "h"))
+            h = h.view(np.uint64)
+            codes, base, sizes = restored(batch.column("codes"), ahead, prefix)
+            windows = sizes - window + 1
+            ended = np.clip(ahead + length - window, 0, windows)
+            row, step = counted(ended)
+            w = [pa.array((sequence_hash(codes, window, seed)[base[row] + step] ^ mix(h + np.uint64(1))[row]).view(np.int64)) for seed in (1, 2)]
+            keys = batch.select(["id", "th"])
+            none = (pa.nulls(len(row), t) for t in (pa.int32(), pa.int64(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([*keys.take(pa.array(row)).columns, pa.array((start[row] + step).astype(np.int32)), *none, *w], names)
+            on = np.flatnonzero(ended < windows)
+            longer = h[on]
+            for i in range(known, length if len(on) else known):
+                longer = mix(longer * np.uint64(0x9E3779B97F4A7C15) + mix(codes[base[on] + ahead[on] + i] + np.uint64(i)))
+            gone = ended[on]
+            content = [c[p:] for c, p in zip(batch.column("codes").take(pa.array(on)).to_pylist(), (8 * gone).tolist(), strict=True)]
+            moved = [pa.array((x[on] + sign * gone).astype(np.int32)) for x, sign in ((start, 1), (ahead, -1))]
+            none = (pa.nulls(len(on), pa.int64()) for _ in w)
+            yield pa.RecordBatch.from_arrays([*keys.take(pa.array(on)).columns, *moved, pa.array(longer.view(np.int64)), pa.array(content, pa.binary()), *none], names)
+
     def tree(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         # in the anchor's place are zeros: windows of one node have the same anchor there
-        blank, places = bytes(4 * prefix), (4 * table.column("ahead").to_numpy()).tolist()
-        raw = [r[:p] + blank + r[p:] for r, p in zip(table.column("codes").to_pylist(), places, strict=True)]
-        sizes = np.array([len(r) // 4 for r in raw])
-        n = sizes - window + 1
-        codes = np.frombuffer(b"".join(raw), np.uint32)
-        row = np.repeat(np.arange(len(raw)), n)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        starts = (np.cumsum(sizes) - sizes)[row] + step
-        # known so far: the anchor, and how far ahead of the window's start it is
+        ahead = table.column("ahead").to_numpy()
+        codes, base, sizes = restored(table.column("codes"), ahead, prefix)
+        _, codes = np.unique(codes, return_inverse=True)
+        row, step = counted(sizes - window + 1)
+        starts = base[row] + step
+        # known so far: the prefix, and how far ahead of the window's start it is
         _, known = np.unique(table.column("h").to_numpy(), return_inverse=True)
-        ahead = table.column("ahead").to_numpy()[row] - step
-        at, node = repeats(codes, starts, known[row] * np.int64(window) + ahead, window)
+        at, node = repeats(codes, starts, known[row] * np.int64(window) + ahead[row] - step, window)
         _, ids = np.unique(ranked(table.column("id")), return_inverse=True)
         begin = table.column("start").to_numpy()[row] + step
         order = np.lexsort((begin[at], ids[row[at]], node))
@@ -199,30 +235,41 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         gone = np.sort(at[later])
         cut = np.flatnonzero((np.diff(gone, prepend=-2) != 1) | (np.diff(row[gone], prepend=-1) != 0))
         length = np.diff(np.r_[cut, len(gone)])
-        # of a salted prefix, what is first here has yet to meet what is first elsewhere
-        first = np.ones(len(row), bool)
-        first[gone] = False
-        first = np.flatnonzero(first & (table.column("salt").to_numpy()[row] >= 0))
-        anchor = mix(table.column("h").to_numpy()[row[first]].view(np.uint64) + np.uint64(1))
-        w = [(sequence_hash(codes.astype(np.uint64), window, seed)[starts[first]] ^ anchor).view(np.int64) if len(first) else np.zeros(0, np.int64) for seed in (1, 2)]
-        some = table.select(["id", "th"]).take(pa.array(np.r_[row[gone[cut]], row[first]]))
-        spans = pa.array(np.r_[begin[gone[cut]], begin[first]].astype(np.int32))
-        none = np.zeros(len(cut), np.int64)
-        return pa.Table.from_arrays(
-            [*some.columns, spans, pa.array(np.r_[length, np.zeros(len(first))].astype(np.int32)), *(pa.array(np.r_[none, x]) for x in w)],
-            names=["id", "th", "start", "n", "w1", "w2"],
-        )
+        some = table.select(["id", "th"]).take(pa.array(row[gone[cut]]))
+        return pa.Table.from_arrays([*some.columns, pa.array(begin[gone[cut]].astype(np.int32)), pa.array(length.astype(np.int32))], names=["id", "th", "start", "n"])
 
-    kind = f"id {id_type}, th long, start int"
-    cuts = texts.mapInArrow(suffixes, f"{kind}, ahead int, h long, salt int, codes binary")
-    grown = cuts.groupBy(F.pmod("h", F.lit(groups)).alias("group"), "salt").applyInArrow(tree, f"{kind}, n int, w1 long, w2 long")
+    cuts = write_table(texts.mapInArrow(suffixes, f"{suffix}, crowded boolean"), "suffixes")
+    drop_table(kept)
+    release(rows.sparkSession)
+    fitting, settled, written = cuts.drop("crowded"), [], [cuts]
+    if (most or 0) > prefix_rows:
+        fitting, large, known = cuts.where("NOT crowded").drop("crowded"), cuts.where("crowded").drop("crowded"), prefix
+        for length in [*sorted({prefix + -(-(window - prefix) * i // STEPS) for i in range(1, STEPS + 1)} - {prefix}), window + 1]:
+            grow = partial(lengthen, known=known, length=length)
+            step = write_table(large.mapInArrow(grow, f"{suffix}, w1 long, w2 long"), "suffixes-longer")
+            settled.append(step.where("codes IS NULL").select("id", "th", "start", "w1", "w2"))
+            written.append(step)
+            if length > window:
+                break
+            step = step.where("codes IS NOT NULL").drop("w1", "w2")
+            sizes = write_table(step.groupBy("h").count().where("count > 1"), "prefixes")
+            met, known = step.join(sizes, "h").select(*step.columns, "count"), length
+            fitting = fitting.unionByName(met.where(F.col("count") <= prefix_rows).drop("count"))
+            large = met.where(F.col("count") > prefix_rows).drop("count")
+            if sizes.where(F.col("count") > prefix_rows).isEmpty():
+                break
+    grown = fitting.groupBy(F.pmod("h", F.lit(groups)).alias("group")).applyInArrow(tree, f"{kind}, n int")
+    if settled:
+        ended = reduce(DataFrame.unionByName, settled)
+        key = F.struct(F.col("id").isNotNull(), "id", "start")
+        least = ended.groupBy("w1", "w2").agg(F.min(key).alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")
+        later = ended.join(least, ["w1", "w2"]).where(key != F.col("least"))
+        grown = grown.unionByName(later.select("id", "th", "start", F.lit(1).alias("n")))
     grown = write_table(grown, "repeats")
+    for table in written:
+        drop_table(table)
     release(rows.sparkSession)
-    # n is 0 for the first of its kind under one salt of a salted prefix
-    firsts, key = grown.where("n = 0"), F.struct(F.col("id").isNotNull(), "id", "start")
-    least = firsts.groupBy("w1", "w2").agg(F.min(key).alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = firsts.join(least, ["w1", "w2"]).where(key != F.col("least")).select("id", "th", "start", F.lit(1).alias("n"))
-    return grown.where("n > 0").select("id", "th", "start", "n").unionByName(later)
+    return grown
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX, prefix_rows: int = PREFIX_ROWS) -> DataFrame:
