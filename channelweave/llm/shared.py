@@ -35,13 +35,13 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def write_table(df: DataFrame, name: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read that back.
 
     Survives the loss of executors, unlike a local checkpoint."""
     spark = df.sparkSession
     path = path or table_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -238,7 +238,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         some = table.select(["id", "th"]).take(pa.array(row[gone[cut]]))
         return pa.Table.from_arrays([*some.columns, pa.array(begin[gone[cut]].astype(np.int32)), pa.array(length.astype(np.int32))], names=["id", "th", "start", "n"])
 
-    cuts = write_table(texts.mapInArrow(suffixes, f"{suffix}, crowded boolean"), "suffixes")
+    cuts = write_table(texts.mapInArrow(suffixes, f"{suffix}, crowded boolean"), "suffixes", codec="zstd")
     drop_table(kept)
     release(rows.sparkSession)
     fitting, settled, written = cuts.drop("crowded"), [], [cuts]
@@ -246,7 +246,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         fitting, large, known = cuts.where("NOT crowded").drop("crowded"), cuts.where("crowded").drop("crowded"), prefix
         for length in [*sorted({prefix + -(-(window - prefix) * i // STEPS) for i in range(1, STEPS + 1)} - {prefix}), window + 1]:
             grow = partial(lengthen, known=known, length=length)
-            step = write_table(large.mapInArrow(grow, f"{suffix}, w1 long, w2 long"), "suffixes-longer")
+            step = write_table(large.mapInArrow(grow, f"{suffix}, w1 long, w2 long"), "suffixes-longer", codec="zstd")
             settled.append(step.where("codes IS NULL").select("id", "th", "start", "w1", "w2"))
             written.append(step)
             if length > window:
