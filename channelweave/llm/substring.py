@@ -2,7 +2,10 @@
 
 Suffixes are taken at anchors only: of the short word sequences in a window the one
 with the least hash, so that equal windows have equal anchors. An anchor is a prefix
-that says which group a suffix belongs to. Prefixes that occur once are dropped.
+that says which group a suffix belongs to. Prefixes that occur once are dropped. Of
+stretches of words that are copies of each other (told by two hashes of 64 bits, of the
+anchor and of all words) the first alone goes on, the others are repeats already; a
+prefix with one such stretch needs no tree.
 
 Prefixes have variable length: one that is too frequent is lengthened by some words to
 its right, again and again, until its suffixes fit into a tree. A window that ends before
@@ -146,21 +149,38 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
         memo = Codes()
         for batch in slices(batches):
             codes, ends = coded(batch.column("text").to_pylist(), memo)
-            _, doc, (at, h) = anchors(codes, ends, window, prefix)
+            starts, doc, (at, h) = anchors(codes, ends, window, prefix)
             k = runs(at)
-            base = np.r_[0, ends][doc[k]]
+            n = np.diff(np.r_[k, len(at)])
+            first, ahead = starts[k], at[k] - starts[k]
+            raw, upto = memoryview(codes.tobytes()), first + n + window - 1
+            c = np.fromiter((xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip((8 * first).tolist(), (8 * upto).tolist(), strict=True)), np.uint64, len(k))
+            c = mix(c + ahead.astype(np.uint64)).view(np.int64)
             keys = batch.select(["id", "th"]).take(pa.array(doc[k]))
-            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array((at[k] - base).astype(np.int32)), pa.array(h[k])], ["id", "th", "at", "h"])
+            small = [pa.array(x.astype(np.int32)) for x in (first - np.r_[0, ends][doc[k]], ahead, n)]
+            yield pa.RecordBatch.from_arrays([*keys.columns, *small, pa.array(h[k]), pa.array(c)], ["id", "th", "start", "ahead", "n", "h", "c"])
 
-    found = write_table(rows.mapInArrow(find, f"id {id_type}, th long, at int, h long"), "anchors")
-    counts = write_table(found.groupBy("h").count().where("count > 1"), "prefixes")
+    key = F.struct(F.col("id").isNotNull(), "id", "start")
+    found = write_table(rows.mapInArrow(find, f"id {id_type}, th long, start int, ahead int, n int, h long, c long"), "anchors", codec="zstd")
+    counts = write_table(found.groupBy("h").count().where("count > 1").select("h"), "prefixes")
+    release(rows.sparkSession)
+    shared = write_table(found.join(counts, "h"), "anchors-shared", codec="zstd")
+    drop_table(found)
     release(rows.sparkSession)
-    total, most = counts.agg(F.sum("count"), F.max("count")).first()
+    # stretches that are copies of others: all but the first go as they are, and only the first is compared with other stretches
+    stretches = write_table(shared.groupBy("h", "c").agg(F.min(key).alias("least")), "stretches", codec="zstd")
+    variants = write_table(stretches.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
+    total, most = variants.agg(F.sum("variants"), F.max("variants")).first()
     groups = max(1, -(-(total or 0) // GROUP_ROWS))
-    kept = found.join(counts, "h").select("id", "th", F.struct("at", (F.col("count") > prefix_rows).alias("crowded")).alias("anchor"))
+    told = stretches.join(variants, "h", "left")
+    told = shared.join(told, ["h", "c"]).select("id", "th", "start", "ahead", "n", "variants", (key != F.col("least")).alias("later"))
+    told = write_table(told, "anchors-told", codec="zstd")
+    drop_table(shared)
+    drop_table(stretches)
+    release(rows.sparkSession)
+    kept = told.where("NOT later AND variants > 1").select("id", "th", F.struct((F.col("start") + F.col("ahead")).alias("at"), (F.col("variants") > prefix_rows).alias("crowded")).alias("anchor"))
     # no more rows than a text has words
     kept = write_table(kept.groupBy("id", "th").agg(F.sort_array(F.collect_set("anchor")).alias("anchors")), "kept")
-    drop_table(found)
     release(rows.sparkSession)
     texts = rows.alias("d").join(kept.alias("k"), same_doc("d", "k")).select("d.id", "d.th", "d.text", "k.anchors")
     kind = f"id {id_type}, th long, start int"
@@ -241,7 +261,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     cuts = write_table(texts.mapInArrow(suffixes, f"{suffix}, crowded boolean"), "suffixes", codec="zstd")
     drop_table(kept)
     release(rows.sparkSession)
-    fitting, settled, written = cuts.drop("crowded"), [], [cuts]
+    fitting, settled, written = cuts.drop("crowded"), [], [cuts, told]
     if (most or 0) > prefix_rows:
         fitting, large, known = cuts.where("NOT crowded").drop("crowded"), cuts.where("crowded").drop("crowded"), prefix
         for length in [*sorted({prefix + -(-(window - prefix) * i // STEPS) for i in range(1, STEPS + 1)} - {prefix}), window + 1]:
@@ -261,11 +281,10 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     grown = fitting.groupBy(F.pmod("h", F.lit(groups)).alias("group")).applyInArrow(tree, f"{kind}, n int")
     if settled:
         ended = reduce(DataFrame.unionByName, settled)
-        key = F.struct(F.col("id").isNotNull(), "id", "start")
         least = ended.groupBy("w1", "w2").agg(F.min(key).alias("least"), F.count("*").alias("times")).where("times > 1").drop("times")
         later = ended.join(least, ["w1", "w2"]).where(key != F.col("least"))
         grown = grown.unionByName(later.select("id", "th", "start", F.lit(1).alias("n")))
-    grown = write_table(grown, "repeats")
+    grown = write_table(grown.unionByName(told.where("later").select("id", "th", "start", "n")), "repeats")
     for table in written:
         drop_table(table)
     release(rows.sparkSession)
