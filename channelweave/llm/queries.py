@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from channelweave.llm import chat, decontaminate, embeddings, langid, mixing, pii, quality, sharding, simhash, substring, warc
+from channelweave.llm import chat, decontaminate, embeddings, langid, mixing, pii, quality, repair, sharding, simhash, substring, warc
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc_transactions": warc.op9_warc_transactions,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
     "op12_quality_rules": quality.op12_quality_rules,
+    "op13_repair_conversations": repair.op13_repair_conversations,
 }
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op9_warc_transactions": warc.OP9_SQL,
     "op10_extendible_sharding": sharding.OP10_SQL,
     "op12_quality_rules": quality.OP12_SQL,
+    "op13_repair_conversations": repair.OP13_SQL,
 }
