@@ -103,8 +103,12 @@ def join_segments(batch: pa.Table, length: int) -> pa.Table:
 def in_batches(rows: DataFrame, segment: str, run: Callable[[pa.Table], pa.Table], total: int) -> DataFrame:
     """``run`` on batches of whole segments, dealt by hash; ids keep their type."""
     bucket = F.pmod(F.xxhash64("conv_id", segment), F.lit(max(1, -(-total // BATCH))))
+
+    def batch(table: pa.Table) -> pa.Table:
+        return run(table)
+
     schema = SOLVED.format(id=rows.schema["conv_id"].dataType.simpleString())
-    return rows.groupBy(bucket.alias("bucket")).applyInArrow(run, schema)
+    return rows.groupBy(bucket.alias("bucket")).applyInArrow(batch, schema)
 
 
 def faults(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
