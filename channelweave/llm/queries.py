@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from channelweave.llm import chat, decontaminate, embeddings, langid, mixing, pii, quality, repair, sharding, simhash, substring, warc
+from channelweave.llm import chat, decontaminate, embeddings, langid, mixing, pii, quality, ranking, repair, sharding, simhash, substring, warc
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1_pii_surrogates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_warc_transactions": warc.op9_warc_transactions,
     "op10_extendible_sharding": sharding.op10_extendible_sharding,
+    "op11_ranked_search": ranking.op11_ranked_search,
     "op12_quality_rules": quality.op12_quality_rules,
     "op13_repair_conversations": repair.op13_repair_conversations,
 }
@@ -24,6 +25,7 @@ ORACLE_SQL = {
     "op7_substring_dedup": substring.OP7_SQL,
     "op9_warc_transactions": warc.OP9_SQL,
     "op10_extendible_sharding": sharding.OP10_SQL,
+    "op11_ranked_search": ranking.OP11_SQL,
     "op12_quality_rules": quality.OP12_SQL,
     "op13_repair_conversations": repair.OP13_SQL,
 }
