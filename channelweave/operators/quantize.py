@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from channelweave.functions.columns import SENTINEL
+from channelweave.operators import clusters
 
 SHARES = (0.02, 0.05, 0.10, 0.20)
 
@@ -54,16 +53,14 @@ def relabel_by_size(rows: DataFrame, cluster: str, into: str = "level") -> DataF
     return rows.join(ranked.drop("_n"), cluster, "left")
 
 
-def kmeans_levels(rows: DataFrame, columns: list[str], k: int, seed: int = 0, n_init: int = 10, max_iter: int = 300, into: str = "level") -> tuple[DataFrame, float]:
-    """Levels of the best of ``n_init`` fits, and its inertia."""
-    x = rows.withColumn("_x", array_to_vector(F.array(*(F.col(c).cast("double") for c in columns))))
-    points = x.select("_x").persist()
-    try:
-        fits = [KMeans(k=k, featuresCol="_x", predictionCol="_cluster", seed=seed * 1000 + i, maxIter=max_iter).fit(points) for i in range(n_init)]
-    finally:
-        points.unpersist()
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return relabel_by_size(best.transform(x), "_cluster", into).drop("_x", "_cluster"), float(best.summary.trainingCost)
+def kmeans_levels(rows: DataFrame, columns: list[str], k: int, seed: int = 0, n_init: int = 10, into: str = "level") -> tuple[DataFrame, float]:
+    """Levels of the best of ``n_init`` fits of the columns as they are, by falling size,
+    and its inertia; all fits share their passes over the rows."""
+    block = clusters.Block(columns)
+    points = clusters.prepare(rows, columns, {"x": block})
+    fits = clusters.fit_many(points, [clusters.Spec("x", k, seed, i) for i in range(n_init)], standardise=False)
+    best = clusters.by_size(points, clusters.best_starts(fits))[0]
+    return clusters.with_level(rows, block, points.centre["x"], best, into), best.inertia
 
 
 def rare_levels(level: str, n: str, share: float) -> Column:
@@ -91,6 +88,25 @@ def collapse_rare(rows: DataFrame, level: str, least: float = 0.02, into: str |
     return rows.withColumn(into or level, mapped(level, counts.agg(rare_levels(level, "n", least)).first()[0]))
 
 
+def collapse_counts(counts: DataFrame, keys: list[str], min_cell: int = 20, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """``collapse_for_occupancy`` of many count tables (keys, v, s, y, n) at once: the same
+    columns with the new levels, and the share that was taken. All of it is one plan."""
+    each = counts.select(*keys, "v", "s", "y", "n")
+    for side in ("v", "s"):
+        sizes = counts.groupBy(*keys, side).agg(F.sum("n").alias("n"))
+        maps = sizes.groupBy(*keys).agg(F.array(*(rare_levels(side, "n", x) for x in shares)).alias(f"{side}_maps"))
+        each = each.join(maps, keys)
+    tried = each.select(*keys, "v", "s", "y", "n", "v_maps", "s_maps", F.explode(F.array(*map(F.lit, range(len(shares))))).alias("step"))
+    new = lambda side: F.element_at(F.element_at(f"{side}_maps", F.col("step") + 1), F.col(side)).alias(side)
+    merged = tried.select(*keys, "step", new("v"), new("s"), "y", "n").groupBy(*keys, "step", "v", "s", "y").agg(F.sum("n").alias("n"))
+    told = merged.groupBy(*keys, "step").agg(*(F.count_distinct(c).alias(f"n_{c}") for c in ("v", "s", "y")), F.count("*").alias("cells"), F.min("n").alias("least"))
+    full = (F.col("cells") == F.col("n_v") * F.col("n_s") * F.col("n_y")) & (F.col("least") >= min_cell)
+    enough = full | (F.greatest("n_v", "n_s") <= 2)
+    best = told.groupBy(*keys).agg(F.coalesce(F.min(F.when(enough, F.col("step"))), F.lit(len(shares) - 1)).alias("step"))
+    taken = F.element_at(F.array(*map(F.lit, shares)), F.col("step") + 1).alias("min_share")
+    return merged.join(best, [*keys, "step"]).select(*keys, "v", "s", "y", "n", taken)
+
+
 def collapse_for_occupancy(rows: DataFrame, v: str, s: str, y: str, min_cell: int = 20, shares: tuple[float, ...] = SHARES) -> tuple[DataFrame, dict]:
     """Merge rare levels of v and s by the first of the shares under which every cell of
     the table v x s x y has ``min_cell`` rows or two levels of each are left, else the last.

@@ -543,8 +543,7 @@ def null_pvalue(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    rows = quantize.zscore(quantize.zscore(copula_source(spark, d), _VALUES), _TIMES)
-    draws = resample.bootstrap(rows, "custkey", [f"{c}_z" for c in _VALUES], [f"{c}_z" for c in _TIMES], ["y"], k=3, reps=200, method="rows")
+    draws = resample.bootstrap(copula_source(spark, d), "custkey", _VALUES, _TIMES, ["y"], STUDY.k, STUDY.bootstrap_draws)
     return resample.interval(draws, ["target", "measure"], list(studies.ATOMS))
 
 
@@ -729,8 +728,7 @@ def argmin_argmax_label(spark, d):
 
 @query()
 def k_sweep(spark, d):
-    rows = quantize.zscore(quantize.zscore(copula_source(spark, d), _VALUES), _TIMES)
-    sweep = studies.k_sweep(rows, "custkey", [f"{c}_z" for c in _VALUES], [f"{c}_z" for c in _TIMES], "y", [2, 3], [0, 1], n_init=1)
+    sweep = studies.k_sweep(copula_source(spark, d), "custkey", _VALUES, _TIMES, "y", list(STUDY.ks), list(STUDY.seeds), STUDY.starts)
     return studies.sweep_spread(sweep)
 
 

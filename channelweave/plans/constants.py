@@ -18,6 +18,8 @@ class Study:
     panel: tuple[str, ...] = ("BUN", "Hct", "Hgb", "RBC", "WBC", "bicarbonate", "chloride", "creatinine", "glucose", "platelets", "potassium", "sodium")
     outcomes: tuple[str, ...] = ("hospital_expire_flag", "gender_female", "age_ge65", "race_binary")
     k: int = 13
+    ks: tuple[int, ...] = (4, 5, 6, 7, 8, 10, 13, 16, 20)
+    starts: int = 10
     k_within_sites: int = 5
     seeds: tuple[int, ...] = (0, 1, 2, 3, 4)
     measures: tuple[str, ...] = ("broja", "ccs")

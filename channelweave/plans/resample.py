@@ -5,6 +5,7 @@ A task is a (cell, batch) row with its own seed, so results don't depend on part
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from channelweave.functions.decompose import ATOMS, atoms, nodes, tensor
+from channelweave.operators import clusters
 from channelweave.operators.information import dense
+from channelweave.plans import pid
 
 BATCH = 25
 DRAW = "draw int, red double, u_val double, u_str double, syn double, i_joint double, converged boolean"
-#: Bytes of features that a whole resample in one task may have (see ``bootstrap``).
-TASK_BYTES = 256 << 20
 
 
 def drawn_cells(cells: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -149,108 +150,32 @@ def interval(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*parts, F.count("*").alias("n_draws"))
 
 
-def lloyd(x: np.ndarray, k: int, rng: np.random.Generator, n_init: int = 3, rounds: int = 100) -> np.ndarray:
-    """k-means levels by falling size: k-means++ starts, the best of ``n_init``."""
-    best, label = math.inf, np.zeros(len(x), int)
-    for _ in range(n_init):
-        centre = x[rng.integers(len(x))][None]
-        near = ((x - centre[0]) ** 2).sum(1)
-        while len(centre) < min(k, len(x)):
-            total = near.sum()
-            pick = rng.choice(len(x), p=near / total) if total > 0 else rng.integers(len(x))
-            centre = np.vstack([centre, x[pick]])
-            near = np.minimum(near, ((x - x[pick]) ** 2).sum(1))
-        old = None
-        for _ in range(rounds):
-            d = (x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)
-            own = d.argmin(1)
-            if old is not None and (own == old).all():
-                break
-            old = own
-            for c in range(len(centre)):
-                if (own == c).any():
-                    centre[c] = x[own == c].mean(0)
-        cost = d[np.arange(len(x)), own].sum()
-        if cost < best:
-            best, label = cost, own
-    order = np.argsort(-np.bincount(label, minlength=k), kind="stable")
-    return np.argsort(order)[label]
-
-
-def bootstrap(
-    rows: DataFrame, key: str, values: list[str], times: list[str], targets: list[str], k: int, reps: int, measures: tuple[str, ...] = ("broja", "ccs"), seed: int = 0, method: str = "poisson"
+def bootstrap_tables(
+    rows: DataFrame, key: str, values: list[str], times: list[str], targets: list[str], k: int, reps: int, seed: int = 0, sentinel: float | None = None, tries: int = 10
 ) -> DataFrame:
-    """Nested bootstrap: each replicate draws rows with replacement, fits both codebooks
-    anew, and decomposes every target: (rep, target, measure, atoms, converged).
-
-    values and times are standardised columns. The method is the caller's choice and is
-    the same for every size. "poisson": rows stay distributed, get Poisson weights by
-    their key, and MLlib fits the codebooks. "rows": exactly as many rows as there are,
-    each replicate a task over the whole matrix, which is broadcast; more than
-    ``TASK_BYTES`` of it is an error."""
-    if method not in ("poisson", "rows"):
-        raise ValueError(f"no method {method!r}")
+    """rep, target, v, s, y, n: the count tables of a nested bootstrap. A replicate weighs
+    each row by a Poisson count of its key, standardises and fits both codebooks anew on
+    all rows, and then every target's rows are counted.
+
+    All replicates share their passes: no job belongs to one of them, and no row moves."""
     repeated = rows.groupBy(key).count().where("count > 1")
     if not repeated.isEmpty():
         raise ValueError("keys are not unique")
-    spark, n = rows.sparkSession, rows.count()
-    schema = "rep int, target string, measure string, red double, u_val double, u_str double, syn double, converged boolean"
-    if method == "poisson":
-        return poisson_bootstrap(rows, key, values, times, targets, k, reps, measures, seed)
-    if n * 8 * (len(values) + len(times) + len(targets)) > TASK_BYTES:
-        raise ValueError("the matrix is too large for a task: use the method poisson")
-    frame = rows.orderBy(key).select(*values, *times, *targets).toPandas()
-    shared = spark.sparkContext.broadcast((frame[values].to_numpy(float), frame[times].to_numpy(float), frame[targets].to_numpy(float)))
+    points = clusters.prepare(rows, [key], {"v": clusters.Block(values), "s": clusters.Block(times, sentinel)}, tuple(targets))
+    fits = clusters.fit_many(points, [clusters.Spec(b, k, r, 0, r) for b in ("v", "s") for r in range(reps)], tries, seed=seed)
+    pairs = clusters.pairs_of(clusters.by_size(points, fits, seed), "v", "s")
+    names = rows.sparkSession.createDataFrame([(m, v.spec.replicate) for m, (v, _) in enumerate(pairs)], "model int, rep int")
+    return clusters.joint_tables(points, pairs, seed).join(names, "model").select("rep", "target", "v", "s", "y", "n")
 
-    def run(frames):
-        xv, xs, y = shared.value
-        for reps_ in frames:
-            out = []
-            for rep in reps_["id"]:
-                rng = np.random.default_rng(seed + int(rep))
-                pick = rng.integers(0, len(xv), len(xv))
-                v, s = lloyd(xv[pick], k, rng), lloyd(xs[pick], k, rng)
-                for i, target in enumerate(targets):
-                    label = y[pick, i]
-                    known = np.isfinite(label)
-                    if not known.any():
-                        continue
-                    table = tensor(v[known], s[known], label[known], np.ones(known.sum()))
-                    for measure in measures:
-                        found = atoms(table, measure)
-                        out.append((int(rep), target, measure, *(found[a] for a in ATOMS), found["converged"]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return spark.range(reps).repartition(max(1, min(reps, 4 * spark.sparkContext.defaultParallelism)), "id").mapInPandas(run, schema)
-
-
-def poisson_weight(key: str, rep: int, seed: int) -> Column:
-    """How often a row is in a replicate, from its key."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.lit(rep), key), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    ends = np.cumsum([math.exp(-1) / math.factorial(j) for j in range(8)])
-    return sum(((u >= float(e)).cast("int") for e in ends), F.lit(0))
-
-
-def poisson_bootstrap(rows: DataFrame, key: str, values: list[str], times: list[str], targets: list[str], k: int, reps: int, measures: tuple[str, ...], seed: int) -> DataFrame:
-    """As ``bootstrap``, for any number of rows: a few MLlib jobs for each replicate."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    from channelweave.plans.pid import decompose
-
-    out = None
-    for rep in range(reps):
-        drawn = rows.withColumn("_w", poisson_weight(key, rep, seed).cast("double")).where("_w > 0")
-        for into, cols in (("v", values), ("s", times)):
-            drawn = drawn.withColumn("_x", array_to_vector(F.array(*cols)))
-            drawn = KMeans(k=k, seed=seed + rep, featuresCol="_x", weightCol="_w", predictionCol=into).fit(drawn).transform(drawn).drop("_x")
-        long = drawn.select("v", "s", "_w", F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).cast("int").alias("y")) for t in targets))).alias("t")).select("t.*", "v", "s", "_w").where("y IS NOT NULL")
-        counts = long.groupBy("target", "v", "s", "y").agg(F.sum("_w").cast("long").alias("n"))
-        for measure in measures:
-            part = decompose(counts, ["target"], measure).select(F.lit(rep).alias("rep"), "target", F.lit(measure).alias("measure"), *ATOMS, "converged")
-            part = part.sparkSession.createDataFrame(part.collect(), part.schema)  # a row per target
-            out = part if out is None else out.unionByName(part)
-    return out
+
+def bootstrap(
+    rows: DataFrame, key: str, values: list[str], times: list[str], targets: list[str], k: int, reps: int, measures: tuple[str, ...] = ("broja", "ccs"), seed: int = 0, sentinel: float | None = None
+) -> DataFrame:
+    """Nested bootstrap: (rep, target, measure, atoms, i_joint, converged) for each table
+    of ``bootstrap_tables`` and each measure. A draw with one class has null atoms."""
+    counts = bootstrap_tables(rows, key, values, times, targets, k, reps, seed, sentinel).persist()
+    parts = [pid.decompose(counts, ["rep", "target"], m).select("rep", "target", F.lit(m).alias("measure"), *ATOMS, "i_joint", "converged") for m in measures]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sampled_counts(counts: DataFrame, keys: list[str], n: str, seed: str) -> DataFrame:

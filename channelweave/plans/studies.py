@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 
 from channelweave.functions.decompose import ATOMS
 from channelweave.functions.special import f_survival, t_two_sided
+from channelweave.operators import clusters, quantize
 from channelweave.operators.information import joint_counts, mutual_information
-from channelweave.operators.quantize import collapse_for_occupancy, kmeans_levels
 from channelweave.plans.pid import decompose
 
 
-def codebook(rows: DataFrame, key: str, values: list[str], times: list[str], k: int, seed: int, n_init: int = 10, targets: tuple[str, ...] = ()) -> DataFrame:
+def codebook(rows: DataFrame, key: str, values: list[str], times: list[str], k: int, seed: int, n_init: int = 10, targets: tuple[str, ...] = (), sentinel: float | None = None) -> DataFrame:
     """key, v, s and the targets: levels fitted once on all rows, and used by every target."""
-    v, _ = kmeans_levels(rows, values, k, seed, n_init, into="v")
-    both, _ = kmeans_levels(v, times, k, seed, n_init, into="s")
-    return both.select(key, "v", "s", *targets)
+    blocks = {"v": clusters.Block(values), "s": clusters.Block(times, sentinel)}
+    points = clusters.prepare(rows, [key], blocks)
+    fits = clusters.fit_many(points, [clusters.Spec(b, k, seed, i) for b in blocks for i in range(n_init)])
+    for fit in clusters.by_size(points, clusters.best_starts(fits)):
+        rows = clusters.with_level(rows, blocks[fit.spec.block], points.centre[fit.spec.block], fit, fit.spec.block)
+    return rows.select(key, "v", "s", *targets)
 
 
 def by_target(levels: DataFrame, targets: list[str], keys: list[str]) -> DataFrame:
@@ -39,23 +42,23 @@ def headline(levels: DataFrame, targets: list[str], keys: list[str], measures: t
     return out
 
 
-def k_sweep(rows: DataFrame, key: str, values: list[str], times: list[str], y: str, ks: list[int], seeds: list[int], n_init: int = 3, measure: str = "broja") -> DataFrame:
-    """Decompositions over numbers of levels and seeds, with levels as fitted and with
-    rare ones collapsed (arm); one solve for each, all in one plan."""
-    counts = None
-    rows = rows.select(key, y, *values, *times).persist()
-    for k in ks:
-        for seed in seeds:
-            levels = codebook(rows, key, values, times, k, seed, n_init, (y,)).withColumnRenamed(y, "y").persist()
-            collapsed, _ = collapse_for_occupancy(levels, "v", "s", "y")
-            for arm, data in (("fixed", levels), ("collapse", collapsed)):
-                cells = data.withColumns({"k": F.lit(k), "seed": F.lit(seed), "arm": F.lit(arm)})
-                part = joint_counts(cells, ["k", "seed", "arm"])
-                part = part.sparkSession.createDataFrame(part.collect(), part.schema)  # at most 2 k^2 rows
-                counts = part if counts is None else counts.unionByName(part)
-            levels.unpersist()
-    rows.unpersist()
-    return decompose(counts, ["k", "seed", "arm"], measure)
+def sweep_tables(rows: DataFrame, key: str, values: list[str], times: list[str], y: str, ks: list[int], seeds: list[int], n_init: int = 10, sentinel: float | None = None) -> DataFrame:
+    """k, seed, arm, v, s, y, n: count tables over numbers of levels and seeds, with levels
+    as fitted and with rare ones collapsed. All models share their passes over the rows;
+    nothing after the count tables depends on the number of rows."""
+    points = clusters.prepare(rows, [key], {"v": clusters.Block(values), "s": clusters.Block(times, sentinel)}, (y,))
+    specs = [clusters.Spec(b, k, seed, i) for b in ("v", "s") for k in ks for seed in seeds for i in range(n_init)]
+    pairs = clusters.pairs_of(clusters.by_size(points, clusters.best_starts(clusters.fit_many(points, specs))), "v", "s")
+    names = rows.sparkSession.createDataFrame([(m, v.spec.k, v.spec.seed) for m, (v, _) in enumerate(pairs)], "model int, k int, seed int")
+    fixed = clusters.joint_tables(points, pairs).join(names, "model").select("k", "seed", "v", "s", "y", "n").persist()
+    collapsed = quantize.collapse_counts(fixed, ["k", "seed"]).drop("min_share")
+    arms = fixed.withColumn("arm", F.lit("fixed")).unionByName(collapsed.withColumn("arm", F.lit("collapse")))
+    return arms.select("k", "seed", "arm", "v", "s", "y", "n")
+
+
+def k_sweep(rows: DataFrame, key: str, values: list[str], times: list[str], y: str, ks: list[int], seeds: list[int], n_init: int = 10, measure: str = "broja", sentinel: float | None = None) -> DataFrame:
+    """Decompositions of ``sweep_tables``; one solve for each, all in one plan."""
+    return decompose(sweep_tables(rows, key, values, times, y, ks, seeds, n_init, sentinel), ["k", "seed", "arm"], measure)
 
 
 def sweep_spread(sweep: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from channelweave.functions import sums
 from channelweave.functions.decompose import atoms, broja, ccs, nodes
 from channelweave.functions.gaussian import Moments, information
 from channelweave.functions.special import digamma, f_survival, incomplete_beta, inverse_normal, t_two_sided
@@ -117,16 +118,22 @@ def test_p_value_drops_nan(spark):
     assert (got.n_used, got.n_dropped, got.p) == (3, 2, 0.75)
 
 
-def test_bootstrap_and_poisson(spark):
+def test_bootstrap(spark):
     rng = np.random.default_rng(0)
     data = [(i, float(rng.normal() + 4 * (i % 2)), float(rng.normal()), i % 2, None if i % 9 == 0 else int(rng.random() < 0.5)) for i in range(300)]
     df = spark.createDataFrame(data, "key long, a double, b double, y int, other int")
-    got = resample.bootstrap(df, "key", ["a"], ["b"], ["y", "other"], k=2, reps=6, method="rows")
-    assert got.count() == 6 * 2 * 2
+    got = resample.bootstrap(df, "key", ["a"], ["b"], ["y", "other"], k=2, reps=12)
+    assert got.count() == 12 * 2 * 2
     ci = {(r.target, r.measure): r for r in resample.interval(got, ["target", "measure"], ["u_val"]).collect()}
     assert ci["y", "broja"].u_val_low > 0.2 > ci["other", "broja"].u_val_high
-    many = resample.poisson_bootstrap(df, "key", ["a"], ["b"], ["y"], 2, 2, ("ccs",), 0)
-    assert many.count() == 2 and many.where("u_val > 0.2").count() == 2
+    tables = lambda x: sorted(map(tuple, resample.bootstrap_tables(x, "key", ["a"], ["b"], ["y", "other"], 2, 5).collect()))
+    once = tables(df)
+    assert once == tables(df.repartition(7, "b"))
+    for rep in range(5):  # each row as often as its key's draw says, and rows without the target nowhere
+        h = np.array([r[0] for r in df.orderBy("key").select(F.xxhash64("key")).collect()])
+        w = sums.poisson_counts(h, np.array([rep]), 0)[:, 0]
+        n = {t: sum(r[-1] for r in once if r[0] == rep and r[1] == t) for t in ("y", "other")}
+        assert n == {"y": w.sum(), "other": sum(x for x, row in zip(w, data, strict=True) if row[4] is not None)}
     with pytest.raises(ValueError, match="unique"):
         resample.bootstrap(df.unionByName(df), "key", ["a"], ["b"], ["y"], 2, 2)
 
@@ -149,7 +156,7 @@ def test_quantize(spark):
     t = {r.id: r for r in quantize.zscore(df, ["t", "none"], -999.0).collect()}
     assert t[0].t_z == 0.0 and t[0].t_real == 0.0 and t[1].t_real == 1.0 and t[1].none_z == 0.0
     levels, cost = quantize.kmeans_levels(df, ["a"], 2, n_init=2)
-    assert {r.id: r.level for r in levels.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1} and abs(cost - 5.5) < 1e-6
+    assert {r.id: r.level for r in levels.collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1, 5: 1} and abs(cost - 5.5) < 1e-9
     new = lambda counts, share: spark.createDataFrame(list(counts.items()), "u int, n long").agg(quantize.rare_levels("u", "n", share)).first()[0]
     assert new({0: 50, 1: 1, 2: 49}, 0.02) == {0: 0, 1: 0, 2: 1} and new({0: 1, 5: 1, 9: 1}, 0.9) == {0: 0, 5: 1, 9: 1}
 
@@ -160,6 +167,19 @@ def test_collapse_for_occupancy(spark):
     assert found["min_cell"] >= 20 and found["levels"] == [3, 3] and out.count() == len(data)
 
 
+def test_collapse_counts(spark):
+    """Many tables at once, each as by itself."""
+    rng = np.random.default_rng(4)
+    data = [(t, int(min(rng.geometric(0.3) - 1, 7)), int(min(rng.geometric(0.4) - 1, 5)), int(rng.random() < 0.4)) for t in range(3) for _ in range(400 * (t + 1))]
+    rows = spark.createDataFrame(data, "t int, v int, s int, y int")
+    many = quantize.collapse_counts(rows.groupBy("t", "v", "s", "y").agg(F.count("*").alias("n")), ["t"])
+    for t in range(3):
+        one, found = quantize.collapse_for_occupancy(rows.where(F.col("t") == t), "v", "s", "y")
+        want = sorted((r.v, r.s, r.y, r["count"]) for r in one.groupBy("v", "s", "y").count().collect())
+        got = many.where(F.col("t") == t).collect()
+        assert sorted((r.v, r.s, r.y, r.n) for r in got) == want and {r.min_share for r in got} == {found["min_share"]}
+
+
 def test_gaussian(spark):
     rng = np.random.default_rng(2)
     y = rng.integers(0, 2, 4000)
