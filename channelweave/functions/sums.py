@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -21,6 +23,30 @@ def array_sums(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
     return parts.groupBy(*keys).agg(vector_to_array(total).alias(column))
 
 
+#: Numbers of a row of partial sums.
+PIECE = 1 << 15
+PIECES = "piece int, sums array<double>"
+
+
+def pieces(total: np.ndarray) -> pa.RecordBatch:
+    """A task's sums as rows of one length, so that the JVM adds few, long arrays."""
+    parts = [total[k : k + PIECE] for k in range(0, len(total), PIECE)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.float64()))], ["piece", "sums"])
+
+
+def summed(rows: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """The sum over tasks of a flat array that each makes of its batches (None: nothing).
+    Only the total reaches the driver; its length must not depend on the rows."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = add(batches)
+        if total is not None:
+            yield pieces(total)
+
+    found = array_sums(rows.mapInArrow(task, PIECES), ["piece"], "sums").collect()
+    return np.concatenate([np.array(r["sums"]) for r in sorted(found, key=lambda r: r["piece"])]) if found else None
+
+
 def uniform(keys: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
     """A number in [0, 1) for each key and draw (keys x draws), by SplitMix64: it depends
     on nothing else, so a resample is the same however rows are dealt."""

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from channelweave.functions.sums import array_sums, poisson_counts
+from channelweave.functions.sums import array_sums, poisson_counts, summed
 
 #: Rows by which starts are chosen.
 SAMPLE = 12_288
 #: Rows of a pass on average, and samples that passes take in turn.
 BATCH_ROWS, SLOTS = 1 << 20, 64
 #: A model has settled when a pass lowers its inertia by less than this share.
-TOLERANCE, MAX_PASSES = 1e-6, 100
+TOLERANCE, MAX_PASSES = 1e-4, 100
 #: Numbers of a block of distances (rows x centres).
 BLOCK = 1 << 21
 SUMS = "model int, sums array<double>"
@@ -195,25 +195,27 @@ def light(points: Points) -> Points:
 
 
 def one_pass(points: Points, rows: DataFrame, fits: dict[int, Fit], seed: int) -> dict[int, np.ndarray]:
-    """The sums of every model over the rows."""
+    """The sums of every model over the rows: a few numbers for each centre reach the
+    driver, whatever the number of rows."""
     shared = rows.sparkSession.sparkContext.broadcast((light(points), stacks(points, fits)))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         about, models = shared.value
         widest = max(s.many * s.k for s in models)
-        total: list = [0.0] * len(models)
+        total: list | None = None
         for batch in batches:
             for h, blocks, _ in batch_arrays(about, batch, max(16, BLOCK // widest)):
-                for i, s in enumerate(models):
-                    total[i] = total[i] + s.sums(*blocks[s.block], weighed(h, s.replicates, seed))
-        for s, found in zip(models, total, strict=True):
-            if not np.isscalar(found):
-                yield pa.RecordBatch.from_arrays([pa.array(s.names, pa.int32()), pa.array(list(found), pa.list_(pa.float64()))], ["model", "sums"])
-
-    try:
-        return {r["model"]: np.array(r["sums"]) for r in array_sums(rows.select("h", *points.blocks, "y").mapInArrow(add, SUMS), ["model"], "sums").toLocalIterator()}
-    finally:
-        shared.unpersist()
+                found = [s.sums(*blocks[s.block], weighed(h, s.replicates, seed)) for s in models]
+                total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
+        return None if total is None else np.concatenate([x.ravel() for x in total])
+
+    total, at, out = summed(rows.select("h", *points.blocks, "y"), add), 0, {}
+    for s in stacks(points, fits) if total is not None else ():
+        wide = s.k * (s.matrix.shape[0] + 1) + 1
+        out |= dict(zip(s.names, total[at : at + wide * s.many].reshape(s.many, wide), strict=True))
+        at += wide * s.many
+    shared.unpersist()
+    return out
 
 
 def moved(fit: Fit, sums: np.ndarray, flags: bool) -> Fit:
@@ -235,38 +237,38 @@ def standards(points: Points, specs: list[Spec], seed: int) -> dict[tuple[str, i
     about = light(points)
     names = {b: np.array([r for x, r in wanted if x == b]) for b in points.blocks}
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {b: 0.0 for b in about.blocks}
-        seen = False
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
         for batch in batches:
             for h, blocks, _ in batch_arrays(about, batch, max(16, BLOCK // max(1, *(len(r) for r in names.values())))):
-                seen = True
-                for b, (x, there) in blocks.items():
-                    total[b] = total[b] + weighed(h, names[b], seed).T @ np.hstack([there, x, x * x])
-        for b, found in total.items() if seen else ():
-            ids = [wanted.index((b, int(r))) for r in names[b]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(list(found), pa.list_(pa.float64()))], ["model", "sums"])
-
-    out = {}
-    for r in array_sums(points.rows.select("h", *points.blocks, "y").mapInArrow(add, SUMS), ["model"], "sums").toLocalIterator():
-        n, total, square = np.split(np.array(r["sums"]), 3)
-        mean = total / np.maximum(n, 1)
-        var = square / np.maximum(n, 1) - mean**2
-        out[wanted[r["model"]]] = mean, np.where(var > 1e-12 * np.maximum(mean**2, 1e-300), np.sqrt(np.maximum(var, 0)), 1.0)
+                found = [weighed(h, names[b], seed).T @ np.hstack([there, x, x * x]) for b, (x, there) in blocks.items()]
+                total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
+        return None if total is None else np.concatenate([x.ravel() for x in total])
+
+    total, at, out = summed(points.rows.select("h", *points.blocks, "y"), add), 0, {}
+    for b, draws in names.items() if total is not None else ():
+        d = len(points.centre[b])
+        for r in draws.tolist():
+            n, one, square = np.split(total[at : at + 3 * d], 3)
+            at += 3 * d
+            mean = one / np.maximum(n, 1)
+            var = square / np.maximum(n, 1) - mean**2
+            out[b, r] = mean, np.where(var > 1e-12 * np.maximum(mean**2, 1e-300), np.sqrt(np.maximum(var, 0)), 1.0)
     return out
 
 
-def plus_plus(z: np.ndarray, w: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Centres by k-means++ among weighted rows, and the inertia that they leave."""
-    centres, near = np.zeros((k, z.shape[1])), None
+def plus_plus(z: np.ndarray, w: np.ndarray, k: int, tries: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres by k-means++ among weighted rows: the best of some tries, all drawn at once."""
+    norm, centres = (z**2).sum(1)[:, None], np.zeros((tries, k, z.shape[1]))
+    near = np.ones((len(z), tries))
     for i in range(k):
-        chance = w if near is None else w * near
-        total = chance.sum()
-        pick = np.searchsorted(np.cumsum(chance), rng.random() * total, "right") if total > 0 else rng.integers(len(z))
-        centres[i] = z[min(int(pick), len(z) - 1)]
-        d = ((z - centres[i]) ** 2).sum(1)
-        near = d if near is None else np.minimum(near, d)
-    return centres, float((w * near).sum())
+        chance = np.cumsum(w[:, None] * near, 0)
+        at = rng.random(tries) * chance[-1]
+        pick = np.minimum((chance <= at).sum(0), len(z) - 1)
+        centres[:, i] = z[pick]
+        d = np.maximum(norm - 2 * z @ z[pick].T + norm[pick].T, 0)
+        near = d if i == 0 else np.minimum(near, d)
+    return centres[int((w @ near).argmin())]
 
 
 def starts(points: Points, specs: list[Spec], known: dict, tries: int, seed: int) -> dict[int, Fit]:
@@ -291,13 +293,12 @@ def starts(points: Points, specs: list[Spec], known: dict, tries: int, seed: int
                 z = z if about.blocks[spec.block].sentinel is None else np.hstack([z, there])
                 w = weighed(h, np.array([spec.replicate]), seed)[:, 0]
                 rng = np.random.default_rng([spec.seed, spec.start, spec.replicate + 1, spec.k, len(spec.block)])
-                best = min((plus_plus(z, w, spec.k, rng) for _ in range(tries)), key=lambda c: c[1])
-                out.append((int(m), best[0].ravel()))
+                out.append((int(m), plus_plus(z, w, spec.k, tries, rng).ravel()))
             yield pd.DataFrame(out, columns=["model", "sums"])
 
     tasks = max(1, min(len(specs), 4 * spark.sparkContext.defaultParallelism))
     found = {}
-    for r in spark.range(0, len(specs), 1, tasks).mapInPandas(draw, SUMS).toLocalIterator():
+    for r in spark.range(0, len(specs), 1, tasks).mapInPandas(draw, SUMS).collect():
         spec = specs[r["model"]]
         mean, scale = known[spec.block, spec.replicate]
         found[r["model"]] = Fit(spec, np.array(r["sums"]).reshape(spec.k, -1), mean, scale, np.zeros(spec.k), np.inf)
