@@ -23,6 +23,8 @@ def array_sums(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
     return parts.groupBy(*keys).agg(vector_to_array(total).alias(column))
 
 
+#: Bits of a mixed number that are dropped; the others fit a double.
+BITS = 11
 #: Numbers of a row of partial sums.
 PIECE = 1 << 15
 PIECES = "piece int, sums array<double>"
@@ -47,20 +49,57 @@ def summed(rows: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray
     return np.concatenate([np.array(r["sums"]) for r in sorted(found, key=lambda r: r["piece"])]) if found else None
 
 
-def uniform(keys: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
-    """A number in [0, 1) for each key and draw (keys x draws), by SplitMix64: it depends
-    on nothing else, so a resample is the same however rows are dealt."""
+def mixed(keys: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
+    """A whole number of 53 bits for each key and draw (keys x draws), by SplitMix64: it
+    depends on nothing else, so a resample is the same however rows are dealt."""
     with np.errstate(over="ignore"):
         z = keys.astype(np.int64).view(np.uint64)[:, None] + (draw.astype(np.uint64) * np.uint64(2) + np.uint64(1))[None] * np.uint64(0xD1342543DE82EF95) + np.uint64(seed)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
+        return (z ^ (z >> np.uint64(31))) >> np.uint64(BITS)
+
+
+def uniform(keys: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
+    """A number in [0, 1) for each key and draw."""
+    return mixed(keys, draw, seed).astype(float) / 2.0**53
+
+
+def thresholds(rows: DataFrame, key: str, draws: int, n: int, seed: int, step: int = 14) -> np.ndarray:
+    """For each draw the bound below which exactly n of the rows' numbers (``mixed``) lie.
+
+    Found by counting and without a sort: a pass counts, for each draw, the rows in each
+    range of ``step`` more bits below the bound's bits so far. It ends when no range has
+    to be parted, after three or four passes for a billion rows. ``key`` is a column of
+    longs; rows with equal keys have equal numbers and go together, so there the number
+    of rows below may be short of n by some of them."""
+    low, short, left = np.zeros(draws, np.int64), np.full(draws, n, np.int64), 53
+    open_ = np.full(draws, n > 0)
+    while left and open_.any():
+        bits = min(step, left)
+        at, now = np.flatnonzero(open_), left
+
+        def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            total = np.zeros((len(at), 1 << bits))  # noqa: B023
+            for batch in batches:
+                value = mixed(batch.column(0).to_numpy(), at, seed).astype(np.int64)  # noqa: B023
+                inside = value >> now == low[at] >> now  # noqa: B023
+                place = (value >> (now - bits)) & ((1 << bits) - 1)  # noqa: B023
+                for k in range(len(at)):  # noqa: B023
+                    total[k] += np.bincount(place[inside[:, k], k], minlength=1 << bits)  # noqa: B023
+            return total.ravel()
+
+        found = summed(rows.select(key), count)
+        left -= bits
+        if found is None:
+            break
+        for k, counts in zip(at, np.cumsum(np.rint(found).astype(np.int64).reshape(len(at), -1), 1), strict=True):
+            before = int(np.searchsorted(counts, short[k], "right"))  # ranges that go whole
+            low[k] += before << left
+            short[k] -= counts[before - 1] if before else 0
+            open_[k] = short[k] > 0 and before < len(counts)
+    return low
 
 
 def poisson_counts(keys: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
     """How often each key is in each resample."""
     return np.searchsorted(POISSON_ENDS, uniform(keys, draw, seed), "right").astype(float)
-
-
-def hashed(*columns: str) -> F.Column:
-    return F.xxhash64(*columns).alias("h")

@@ -4,17 +4,22 @@ aggregation, and each table, a few hundred numbers, goes to a kernel."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from channelweave.functions.decompose import ATOMS, atoms, nodes, tensor
 from channelweave.functions.special import inverse_normal
+from channelweave.functions.sums import mixed, poisson_counts, summed, thresholds
 from channelweave.functions.gaussian import Moments, information, information_by_entropies, mmi
 from channelweave.operators.information import average_ranks
 
+#: Rows of a matrix product.
+SLICE = 2048
 RECORD = (
     "n long, n_v int, n_s int, n_y int, red double, u_val double, u_str double, syn double, red_pct double, u_val_pct double, "
     "u_str_pct double, syn_pct double, i_val double, i_str double, i_joint double, i_joint_mm double, min_cell long, n_cells int, n_empty_cells int, converged boolean, gap double"
@@ -72,36 +77,52 @@ def copula_rows(rows: DataFrame, key: str, columns: list[str], y: str) -> DataFr
     return wide.where(F.size("x") == len(columns)).join(rows.select(key, F.col(y).cast("int").alias("y")), key).where("y IN (0, 1)").select(key, "y", "x")
 
 
-def moments(rows: DataFrame, key: str, d: int, floors: int, boots: int, seed: int) -> dict[tuple[str, int], Moments]:
-    """Class moments of the rows, of ``floors`` copies with labels drawn by chance, and
-    of ``boots`` Poisson resamples. Partitions add up what they see; rows never move."""
-    share = rows.agg(F.avg("y")).first()[0] or 0.0
+def packed(x: np.ndarray) -> np.ndarray:
+    """Of each row: 1, the row, and the upper triangle of its outer product."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.hstack([np.ones((len(x), 1)), x, x[:, i] * x[:, j]])
+
+
+def unpacked(sums: np.ndarray, d: int) -> Moments:
+    """Moments of classes from sums of ``packed`` rows (classes x numbers)."""
+    i, j = np.triu_indices(d)
+    outer = np.zeros((len(sums), d, d))
+    outer[:, i, j] = outer[:, j, i] = sums[:, 1 + d :]
+    return Moments(sums[:, 0], sums[:, 1 : 1 + d], outer)
 
-    def add(batches):
-        sums: dict = {}
+
+def moments(rows: DataFrame, key: str, d: int, floors: int, boots: int, seed: int) -> dict[tuple[str, int], Moments]:
+    """Class moments of the rows, of ``floors`` copies with permuted labels, and of
+    ``boots`` Poisson resamples, by one pass over the rows (and a few more for the
+    permutations' bounds).
+
+    A batch adds weights x packed rows, one matrix product for all resamples and both
+    classes; a task leaves one array. A permutation gives label 1 to the rows with the
+    smallest hashes, exactly as many as there are, so class totals stay; draws come from
+    the keys and don't depend on partitions."""
+    rows = rows.select("x", "y", F.xxhash64(key).alias("h"))
+    ones = int(rows.agg(F.sum("y")).first()[0] or 0) if floors else 0
+    bounds = thresholds(rows, "h", floors, ones, seed)
+    wide = 1 + d + d * (d + 1) // 2
+    names = [("all", 0), *(("floor", i) for i in range(floors)), *(("boot", i) for i in range(boots))]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((2 * len(names), wide))
         for batch in batches:
-            x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, d))
-            y = batch["y"].to_numpy()
-            h = batch["h"].to_numpy().astype(np.uint64)
-            for kind, r in [("all", 0), *(("floor", i) for i in range(floors)), *(("boot", i) for i in range(boots))]:
-                # a row's draws come from its key, so they don't depend on partitions
-                mixed = (h ^ np.uint64((seed * 1_000_003 + r * 2 + (kind == "boot")) & (2**63 - 1))) * np.uint64(0x9E3779B97F4A7C15)
-                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                u = ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(11)).astype(float) / 2.0**53
-                label = (u < share).astype(int) if kind == "floor" else y
-                w = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]), u) if kind == "boot" else np.ones(len(u))
-                for c in (0, 1):
-                    wc = w * (label == c)
-                    xw = x * wc[:, None]
-                    sums[kind, r, c] = sums.get((kind, r, c), 0) + np.concatenate([[wc.sum()], xw.sum(0), (xw.T @ x).ravel()])
-        if sums:
-            yield pd.DataFrame([(k, r, c, i, v) for (k, r, c), vec in sums.items() for i, v in enumerate(vec)], columns=["kind", "r", "c", "i", "v"])
-
-    parts = rows.select("x", "y", F.xxhash64(key).alias("h")).mapInPandas(add, "kind string, r int, c int, i int, v double")
-    got: dict = {}
-    for row in parts.groupBy("kind", "r", "c", "i").agg(F.sum("v").alias("v")).toLocalIterator():
-        got.setdefault((row.kind, row.r), np.zeros((2, 1 + d + d * d)))[row.c, row.i] = row.v
-    return {k: Moments(v[:, 0], v[:, 1 : d + 1], v[:, d + 1 :].reshape(2, d, d)) for k, v in got.items()}
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                x = part["x"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                y, h = part["y"].to_numpy(zero_copy_only=False).astype(float), part["h"].to_numpy()
+                drawn = (mixed(h, np.arange(floors), seed) < bounds.astype(np.uint64)).astype(float)
+                one = np.hstack([y[:, None], drawn, y[:, None] * (w := poisson_counts(h, np.arange(boots), seed + 1))])
+                total += np.hstack([one, np.hstack([np.ones((len(h), 1 + floors)), w]) - one]).T @ packed(x)
+        return total.ravel()
+
+    found = summed(rows, add)
+    if found is None:
+        return {}
+    ones_, zeros = found.reshape(2, len(names), wide)
+    return {name: unpacked(np.stack([zeros[k], ones_[k]]), d) for k, name in enumerate(names)}
 
 
 def gaussian_pid(rows: DataFrame, key: str, values: list[str], times: list[str], y: str = "y", floors: int = 5, boots: int = 400, seed: int = 0, cross_check: bool = False) -> dict:

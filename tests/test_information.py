@@ -193,6 +193,52 @@ def test_gaussian(spark):
     assert got["clears_threshold"] is False and abs(got["entropy_form_val"] - one) < 0.03
 
 
+def plain_moments(x, y, w):
+    return [(w[y == c].sum(), (x * w[:, None])[y == c].sum(0), (x * w[:, None])[y == c].T @ x[y == c]) for c in (0, 1)]
+
+
+def test_moments_of_resamples(spark):
+    """Every resample's moments are those of its rows; permutations keep class totals;
+    nothing depends on partitions."""
+    rng = np.random.default_rng(6)
+    n, d = 700, 5
+    x, y = rng.normal(size=(n, d)), (rng.random(n) < 0.3).astype(int)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], int(y[i])) for i in range(n)], "key long, x array<double>, y int")
+    got = pid.moments(df, "key", d, 4, 6, 9)
+    again = pid.moments(df.repartition(13, "y", "key"), "key", d, 4, 6, 9)
+    h = np.array([r[0] for r in df.orderBy("key").select(F.xxhash64("key")).collect()])
+    value, w = sums.mixed(h, np.arange(4), 9), sums.poisson_counts(h, np.arange(6), 10)
+    for name, m in got.items():
+        order = np.argsort(value[:, name[1]]) if name[0] == "floor" else None
+        label = y if order is None else np.isin(np.arange(n), order[: y.sum()]).astype(int)
+        for c, (size, total, outer) in enumerate(plain_moments(x, label, w[:, name[1]] if name[0] == "boot" else np.ones(n))):
+            assert m.n[c] == size and m.total[c] == pytest.approx(total) and m.outer[c] == pytest.approx(outer)
+        assert name[0] == "boot" or m.n.tolist() == [n - y.sum(), y.sum()]
+        assert again[name].outer == pytest.approx(m.outer)
+    assert len({tuple(m.total[1].round(9)) for m in got.values()}) == 11
+
+
+@pytest.mark.parametrize("step", [3, 14])
+def test_thresholds(spark, step):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    h = np.array([r[0] for r in rows.collect()])
+    for n in (0, 1, 1234, 4999, 5000):
+        bound = sums.thresholds(rows, "h", 3, n, 5, step)
+        assert (sums.mixed(h, np.arange(3), 5) < bound.astype(np.uint64)).sum(0).tolist() == [n] * 3
+    assert sums.thresholds(rows.where("false"), "h", 2, 0, 5).tolist() == [0, 0]
+    twice = rows.unionByName(rows)  # equal keys go together
+    assert ((sums.mixed(np.r_[h, h], np.arange(1), 5) < sums.thresholds(twice, "h", 1, 11, 5).astype(np.uint64)).sum(0) == 10).all()
+
+
+def test_rows_of_a_task(spark):
+    """At 52 columns and 400 draws a task leaves a few rows of sums."""
+    d, x = 52, np.random.default_rng(1).normal(size=(40, 52))
+    total = (np.ones((2 * 406, 40)) @ pid.packed(x)).ravel()
+    assert sums.pieces(total).num_rows < 40
+    m = pid.unpacked(pid.packed(x).sum(0)[None], d)
+    assert m.outer[0] == pytest.approx(x.T @ x) and m.total[0] == pytest.approx(x.sum(0))
+
+
 def test_studies(spark, rows):
     data = [(a, b, float(3 * (a == "p") + (b == "u") + 0.01 * r)) for a in "pq" for b in "uvw" for r in range(5)]
     df = spark.createDataFrame(data, "a string, b string, x double")
