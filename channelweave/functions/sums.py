@@ -103,3 +103,17 @@ def thresholds(rows: DataFrame, key: str, draws: int, n: int, seed: int, step: i
 def poisson_counts(keys: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
     """How often each key is in each resample."""
     return np.searchsorted(POISSON_ENDS, uniform(keys, draw, seed), "right").astype(float)
+
+
+def packed(x: np.ndarray) -> np.ndarray:
+    """Of each row: 1, the row, and the upper triangle of its outer product."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.hstack([np.ones((len(x), 1)), x, x[:, i] * x[:, j]])
+
+
+def symmetric(triangle: np.ndarray, d: int) -> np.ndarray:
+    """The matrix of an upper triangle; leading axes stay."""
+    i, j = np.triu_indices(d)
+    out = np.zeros((*triangle.shape[:-1], d, d))
+    out[..., i, j] = out[..., j, i] = triangle
+    return out

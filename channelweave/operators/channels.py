@@ -5,12 +5,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from channelweave.functions.columns import SENTINEL, finite, present
+from channelweave.operators.imputation import chained
 
 VALUES, TIMES = ("value_first", "value_last"), ("time_first", "time_last")
 
@@ -90,59 +89,6 @@ def mean_filled(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(0.0 if means[c] is None else float(means[c]))) for c in columns})
 
 
-def chained(rows: DataFrame, columns: list[str], rounds: int = 3, ridge: float = 1e-6) -> DataFrame:
-    """Chained equations: starting from means, every column with missing numbers is in
-    turn predicted from the others by a ridge regression on the rows where it is known.
-
-    A step is one pass that adds up second moments; what moves is a d x d table for
-    each partition. Rows are kept as they were, and a task applies the steps so far."""
-    d = len(columns)
-    known = [finite(F.col(c)) for c in columns]
-    start = rows.agg(*(F.avg(present(F.col(c))).alias(f"m{i}") for i, c in enumerate(columns)), *(F.count(k).alias(f"n{i}") for i, k in enumerate(known)), F.count("*").alias("n")).first()
-    means = np.array([start[f"m{i}"] or 0.0 for i in range(d)])
-    todo = sorted((i for i in range(d) if 0 < start[f"n{i}"] < start["n"] and d > 1), key=lambda i: (-start[f"n{i}"], i))
-    packed = rows.withColumn("_x", F.array(*(k.cast("double") for k in known)))
-    slim = packed.select("_x").persist()
-    steps: list[tuple[int, np.ndarray]] = []
-
-    def filled(x: np.ndarray, steps: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        missing = np.isnan(x)
-        x = np.where(missing, means, x)
-        for i, beta in steps:
-            told = np.c_[np.ones(len(x)), np.delete(x, i, 1)] @ beta
-            x[:, i] = np.where(missing[:, i], told, x[:, i])
-        return x, missing
-
-    def moments(i: int, steps: list[tuple[int, np.ndarray]]) -> np.ndarray:
-        def add(frames):
-            total = np.zeros((d + 1, d + 1))
-            for f in frames:
-                if len(f):
-                    x, missing = filled(np.array(f["_x"].tolist(), float), steps)
-                    x = x[~missing[:, i]]
-                    z = np.c_[np.ones(len(x)), np.delete(x, i, 1), x[:, i]]
-                    total += z.T @ z
-            yield pd.DataFrame({"k": range(total.size), "v": total.ravel()})
-
-        sums = slim.mapInPandas(add, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        return np.array([v for _, v in sorted((r.k, r.v) for r in sums)]).reshape(d + 1, d + 1)
-
-    for _ in range(rounds):
-        for i in todo:
-            m = moments(i, steps)
-            gram, target = m[:-1, :-1], m[:-1, -1]
-            weight = np.diag(np.r_[0.0, np.diagonal(gram)[1:]]) * ridge
-            steps.append((i, np.linalg.lstsq(gram + weight, target, rcond=None)[0]))
-    slim.unpersist()
-
-    @F.pandas_udf("array<double>")
-    def fill(x: pd.Series) -> pd.Series:
-        return pd.Series(list(filled(np.array(x.tolist(), float), steps)[0])) if len(x) else x
-
-    out = packed.withColumn("_x", fill("_x"))
-    return out.withColumns({c: F.col("_x")[i] for i, c in enumerate(columns)}).drop("_x")
-
-
 def retarget(arm: Channels, outcome: DataFrame, target: str) -> Channels:
     """The same rows and channels with another outcome (key, target); rows without one
     are dropped. Keys of the outcome must be unique."""

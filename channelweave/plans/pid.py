@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from channelweave.functions.decompose import ATOMS, atoms, nodes, tensor
 from channelweave.functions.special import inverse_normal
-from channelweave.functions.sums import mixed, poisson_counts, summed, thresholds
+from channelweave.functions.sums import mixed, packed, poisson_counts, summed, symmetric, thresholds
 from channelweave.functions.gaussian import Moments, information, information_by_entropies, mmi
 from channelweave.operators.information import average_ranks
 
@@ -77,18 +77,9 @@ def copula_rows(rows: DataFrame, key: str, columns: list[str], y: str) -> DataFr
     return wide.where(F.size("x") == len(columns)).join(rows.select(key, F.col(y).cast("int").alias("y")), key).where("y IN (0, 1)").select(key, "y", "x")
 
 
-def packed(x: np.ndarray) -> np.ndarray:
-    """Of each row: 1, the row, and the upper triangle of its outer product."""
-    i, j = np.triu_indices(x.shape[1])
-    return np.hstack([np.ones((len(x), 1)), x, x[:, i] * x[:, j]])
-
-
 def unpacked(sums: np.ndarray, d: int) -> Moments:
     """Moments of classes from sums of ``packed`` rows (classes x numbers)."""
-    i, j = np.triu_indices(d)
-    outer = np.zeros((len(sums), d, d))
-    outer[:, i, j] = outer[:, j, i] = sums[:, 1 + d :]
-    return Moments(sums[:, 0], sums[:, 1 : 1 + d], outer)
+    return Moments(sums[:, 0], sums[:, 1 : 1 + d], symmetric(sums[:, 1 + d :], d))
 
 
 def moments(rows: DataFrame, key: str, d: int, floors: int, boots: int, seed: int) -> dict[tuple[str, int], Moments]:

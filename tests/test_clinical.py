@@ -113,13 +113,6 @@ def test_wide_and_arms(spark):
         channels.audit(["a_time_first"], [])
 
 
-def test_chained_is_a_regression(spark):
-    rows = [(i, float(i), 2.0 * i + 1 if i % 5 else None, float(i % 7)) for i in range(200)]
-    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
-    got = {r.id: r.b for r in channels.chained(df, ["a", "b", "c"]).collect()}
-    assert all(abs(got[i] - (2 * i + 1)) < 0.05 for i in range(200))
-
-
 def test_retarget(spark):
     arm = channels.impute(wide(spark), "id", NAMES, "y")
     same = channels.retarget(arm, arm.rows.select("id", "y"), "y")

@@ -233,9 +233,9 @@ def test_thresholds(spark, step):
 def test_rows_of_a_task(spark):
     """At 52 columns and 400 draws a task leaves a few rows of sums."""
     d, x = 52, np.random.default_rng(1).normal(size=(40, 52))
-    total = (np.ones((2 * 406, 40)) @ pid.packed(x)).ravel()
+    total = (np.ones((2 * 406, 40)) @ sums.packed(x)).ravel()
     assert sums.pieces(total).num_rows < 40
-    m = pid.unpacked(pid.packed(x).sum(0)[None], d)
+    m = pid.unpacked(sums.packed(x).sum(0)[None], d)
     assert m.outer[0] == pytest.approx(x.T @ x) and m.total[0] == pytest.approx(x.sum(0))
 
 
