@@ -252,7 +252,12 @@ def column_slug(spark, d):
     return table(spark, d, "part").select("p_partkey", slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
 
 
-@query()
+#: CRC-32 by its polynomial, a bit at a time.
+_CRC_BITS = "list_reduce(range(0, 8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b))"
+_CRC = f"xor(list_reduce(list_transform(range(1, length(told) + 1), lambda i: ascii(told[i])::BIGINT), lambda c, b: {_CRC_BITS}, 4294967295::BIGINT), 4294967295)"
+
+
+@query(f"SELECT n_nationkey, {_CRC} AS seed FROM (SELECT n_nationkey, n_name || '|' || n_nationkey || '|3' AS told FROM nation)")
 def crc32_seed(spark, d):
     return table(spark, d, "nation").select("n_nationkey", seed_of(F.col("n_name"), F.col("n_nationkey").cast("string"), F.lit("3")).alias("seed"))
 
@@ -604,6 +609,48 @@ def headline_cells(spark, d):
     return got.select("site", "target", "measure", "n", tidy(F.col("i_joint"), 9).alias("i_joint"), tidy(F.col("i_joint_mm"), 9).alias("i_joint_mm"))
 
 
+@query()
+def headline_atoms(spark, d):
+    got = studies.headline(levels(spark, d), ["y"], ["site"], STUDY.measures)
+    return got.select("site", "target", "measure", "n", *(tidy(F.col(a), 9).alias(a) for a in studies.ATOMS), "converged")
+
+
+@query()
+def headline_gated(spark, d):
+    rows = levels(spark, d)
+    counts = information.joint_counts(studies.by_target(rows, ["y"], ["site"]), ["site", "target"]).persist()
+    got = studies.with_gate(pid.decompose(counts, ["site", "target"], "broja"), counts, ["site", "target"], STUDY.permutations, level=STUDY.level)
+    return got.select("site", "target", "n", *(tidy(F.col(f"{a}_pct"), 6).alias(f"{a}_pct") for a in studies.ATOMS), F.round("p", 9).alias("p"), "gate_pass", "n_used")
+
+
+def two_targets(spark, d):
+    """Line items with two outcomes; the line's status stands for the database."""
+    items = table(spark, d, "lineitem")
+    return items.select(
+        "l_linestatus", F.least(F.floor(F.col("l_quantity") / 10), F.lit(4)).cast("int").alias("v"), (F.month("l_shipdate") % 4).alias("s"),
+        (F.col("l_returnflag") == "R").cast("int").alias("returned"), F.when(F.col("l_tax") > 0, (F.col("l_discount") >= 0.05).cast("int")).alias("discounted"),
+    )
+
+
+_NODE = lambda name, over: f"{name} AS (SELECT db, target, -sum(n / t * ln(n / t)) AS h FROM (SELECT *, sum(n) OVER (PARTITION BY db, target) AS t FROM (SELECT db, target, {over}, sum(n) AS n FROM c GROUP BY ALL)) GROUP BY 1, 2)"
+_SIDE = ", ".join(f"round(max(CASE WHEN db = '{x}' THEN {a} END), 6) + 0.0 AS {n}_{a}" for n, x in (("first", "F"), ("second", "O")) for a in ("red", "u_val", "u_str", "syn"))
+_APART = ", ".join(f"round(max(CASE WHEN db = 'F' THEN {a} END) - max(CASE WHEN db = 'O' THEN {a} END), 6) + 0.0 AS gap_{a}" for a in ("red", "u_val", "u_str", "syn"))
+
+
+@query(f"""WITH b AS (SELECT l_linestatus AS db, CAST(least(floor(l_quantity / 10), 4) AS INTEGER) AS v, month(l_shipdate) % 4 AS s, CAST(l_returnflag = 'R' AS INTEGER) AS returned,
+  CASE WHEN l_tax > 0 THEN CAST(l_discount >= 0.05 AS INTEGER) END AS discounted FROM lineitem),
+  r AS (SELECT db, 'returned' AS target, v, s, returned AS y FROM b UNION ALL SELECT db, 'discounted', v, s, discounted FROM b WHERE discounted IS NOT NULL),
+  c AS (SELECT db, target, v, s, y, count(*) AS n FROM r GROUP BY ALL), {", ".join(_NODE(f"h_{o.replace(', ', '')}", o) for o in ("v", "s", "y", "v, y", "s, y", "v, s", "v, s, y"))},
+  i AS (SELECT db, target, h_v.h + h_y.h - h_vy.h AS iv, h_s.h + h_y.h - h_sy.h AS si, h_vs.h + h_y.h - h_vsy.h AS ij FROM h_v JOIN h_s USING (db, target) JOIN h_y USING (db, target) JOIN h_vy USING (db, target)
+    JOIN h_sy USING (db, target) JOIN h_vs USING (db, target) JOIN h_vsy USING (db, target)),
+  a AS (SELECT db, target, 100 * least(iv, si) / ij AS red, 100 * (iv - least(iv, si)) / ij AS u_val, 100 * (si - least(iv, si)) / ij AS u_str, 100 * (ij - iv - si + least(iv, si)) / ij AS syn FROM i)
+  SELECT target, {_SIDE}, {_APART} FROM a GROUP BY target""")
+def headline_across(spark, d):
+    cells = studies.headline(two_targets(spark, d), ["returned", "discounted"], ["l_linestatus"], ("mmi",))
+    got = studies.across(cells, "l_linestatus", ["target"], "F", "O")
+    return got.select("target", *(tidy(F.col(c)).alias(c) for c in got.columns if c.startswith(("first_", "second_", "gap_"))))
+
+
 @query(f"""WITH {_JOINT}, w AS (SELECT site, sum(n) AS n, sum(CASE WHEN y = 1 THEN n END) AS n1 FROM jc GROUP BY site),
   p AS (SELECT site % 5 AS region, 100.0 * sum(n1) / sum(n) AS pooled, avg(100.0 * n1 / n) AS within, max(100.0 * n1 / n) + 3 AS other FROM w GROUP BY 1)
   SELECT region, round(pooled, 6) AS pooled, round(within, 6) AS within, round(other, 6) AS other, round(other - pooled, 6) AS gap, CASE WHEN abs(other - pooled) >= 2 THEN round((within - pooled) / (other - pooled), 6) + 0.0 END AS closed FROM p""")

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from channelweave.functions.decompose import ATOMS, atoms, nodes, tensor
 from channelweave.operators import clusters
@@ -65,12 +66,17 @@ def cell_tables(counts: DataFrame, keys: list[str]) -> DataFrame:
     return dense(counts, keys).groupBy(*keys).agg(cells.alias("cells"))
 
 
-def null_draws(counts: DataFrame, keys: list[str], kind: str = "permutation", draws: int = 200, measure: str | None = "broja", seed: int = 0, batch: int = BATCH) -> DataFrame:
+def null_draws(
+    counts: DataFrame, keys: list[str], kind: str = "permutation", draws: int = 200, measure: str | None = "broja", seed: int = 0, batch: int = BATCH, first: int = 0
+) -> DataFrame:
     """keys, draw and the atoms of each null table. With ``measure`` None only i_joint
-    is computed, which needs no solver: the atoms always add up to it."""
+    is computed, which needs no solver: the atoms always add up to it. Draws before
+    ``first``, a multiple of ``batch``, are left out; the others stay the same."""
+    if first % batch:
+        raise ValueError("draws begin with a whole batch")
     make = KINDS[kind]
     kinds = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in keys)
-    tasks = cell_tables(counts, keys).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil(draws / batch) - 1)))))
+    tasks = cell_tables(counts, keys).withColumn("batch", F.explode(F.sequence(F.lit(first // batch), F.lit(max(first // batch, math.ceil(draws / batch) - 1)))))
     tasks = tasks.withColumn("seed", F.xxhash64(F.lit(seed), *keys, "batch"))
 
     def run(frames):
@@ -130,6 +136,46 @@ def joint_gate(counts: DataFrame, keys: list[str], observed: DataFrame, draws: i
     return p_value(null_draws(counts, keys, "permutation", draws, None, seed), observed, keys, "i_joint", "i_joint")
 
 
+def sequential_gate(counts: DataFrame, keys: list[str], observed: DataFrame, most: int = 1000, over: int = 20, seed: int = 0, level: float = 0.05, batch: int = BATCH) -> DataFrame:
+    """``joint_gate`` with draws until it is settled (Besag and Clifford, 1991): keys,
+    observed, p, gate_pass, n_used.
+
+    Draws are taken in their order until ``over`` of them are not below the observation;
+    with the last of these, the l-th draw, p is over / l. A key that does not get there
+    has all ``most`` draws, and p counts the observation itself. Rounds of doubling size
+    go to the keys that are still open, so where there is nothing, a few dozen draws
+    are made and not a thousand. The draws are those of ``joint_gate``; no result
+    depends on the rounds or on partitions. ``observed`` has keys and i_joint; the state
+    of a round, one row a key, is with the driver, the draws' tables are not."""
+    spark = counts.sparkSession
+    rows = observed.select(*keys, F.col("i_joint").alias("observed"))
+    names = StructType([*rows.schema.fields, StructField("found", LongType())])
+    still = {tuple(r[k] for k in keys): (r["observed"], 0) for r in rows.collect()}
+    settled: list[tuple] = []
+    counts, first, size = counts.persist(), 0, 2 * batch
+    while still and first < most:
+        last = min(most, first + size)
+        asked = F.broadcast(spark.createDataFrame([(*k, *v) for k, v in still.items()], names))  # a row for each key
+        same = [F.col(f"c.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+        left = counts.alias("c").join(asked.alias("a"), same, "left_semi").select("c.*")
+        draws = null_draws(left, keys, "permutation", last, None, seed, batch, first).alias("c").join(asked.alias("a"), same)
+        over_it = draws.where("i_joint >= observed").select("c.*").groupBy(*keys).agg(F.sort_array(F.collect_list("draw")).alias("hit"))  # of a round's draws
+        hits = {tuple(r[k] for k in keys): r["hit"] for r in over_it.collect()}
+        for k, (seen, found) in list(still.items()):
+            hit = hits.get(k, [])
+            if found + len(hit) >= over:
+                used = hit[over - found - 1] + 1
+                settled.append((*k, seen, over / used, used))
+                del still[k]
+            else:
+                still[k] = seen, found + len(hit)
+        first, size = last, 2 * size
+    counts.unpersist()
+    settled += [(*k, seen, (found + 1) / (most + 1), most) for k, (seen, found) in still.items()]
+    done = spark.createDataFrame(settled, StructType([*rows.schema.fields, StructField("p", DoubleType()), StructField("n_used", LongType())]))
+    return done.select(*keys, "observed", "p", (F.col("p") <= level).alias("gate_pass"), "n_used")
+
+
 def calibration(observed: DataFrame, draws: DataFrame, keys: list[str], value: str, seed: str = "seed") -> DataFrame:
     """Per key: mean and sample deviation of the observed value over seeds, the first
     seed's, the null's mean, 95th percentile and largest, what is left above the null,

@@ -42,6 +42,27 @@ def headline(levels: DataFrame, targets: list[str], keys: list[str], measures: t
     return out
 
 
+def with_gate(cells: DataFrame, counts: DataFrame, keys: list[str], most: int = 1000, seed: int = 0, level: float = 0.05) -> DataFrame:
+    """A headline with each cell's gate: p, gate_pass and n_used of its joint information,
+    which is the same for every measure. ``counts`` are the headline's tables."""
+    from channelweave.plans.resample import sequential_gate
+
+    observed = mutual_information(counts, keys).select(*keys, "i_joint")
+    return cells.join(sequential_gate(counts, keys, observed, most, seed=seed, level=level).select(*keys, "p", "gate_pass", "n_used"), keys, "left")
+
+
+def across(cells: DataFrame, database: str, by: list[str], first: str, second: str) -> DataFrame:
+    """Two databases of a headline side by side: each atom's percentage in both, the gap
+    (first less second) of each, and the atom whose gap is largest; a row for each cell
+    that either has. A cell without joint information has nulls."""
+    shares = [F.first(f"{a}_pct").alias(a) for a in ATOMS]
+    wide = cells.groupBy(*by).pivot(database, [first, second]).agg(*shares)
+    gaps = {f"gap_{a}": F.col(f"{first}_{a}") - F.col(f"{second}_{a}") for a in ATOMS}
+    out = wide.select(*by, *(F.col(f"{x}_{a}").alias(f"{n}_{a}") for n, x in (("first", first), ("second", second)) for a in ATOMS), *(c.alias(n) for n, c in gaps.items()))
+    largest = F.array_max(F.array(*(F.struct(F.abs(f"gap_{a}").alias("d"), F.lit(a).alias("a")) for a in ATOMS)))
+    return out.withColumn("most_apart", F.when(largest["d"].isNotNull(), largest["a"]))
+
+
 def sweep_tables(rows: DataFrame, key: str, values: list[str], times: list[str], y: str, ks: list[int], seeds: list[int], n_init: int = 10, sentinel: float | None = None) -> DataFrame:
     """k, seed, arm, v, s, y, n: count tables over numbers of levels and seeds, with levels
     as fitted and with rare ones collapsed. All models share their passes over the rows;

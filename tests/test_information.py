@@ -112,6 +112,70 @@ def test_nulls(rows):
         resample.null_draws(counts, ["k"], "other")
 
 
+def test_sequential_gate(spark):
+    """The verdicts of a thousand draws, by few of them where there is nothing."""
+    rng = np.random.default_rng(5)
+    data = [(k, v, s, int(rng.random() < 0.3 + strength * (v + s))) for k, strength in enumerate((0.0, 0.0, 0.004, 0.05, 0.2)) for v in range(3) for s in range(2) for _ in range(150)]
+    counts = info.joint_counts(spark.createDataFrame(data, "k int, v int, s int, y int"), ["k"]).persist()
+    observed = info.mutual_information(counts, ["k"]).select("k", "i_joint")
+    many = {r.k: r for r in resample.joint_gate(counts, ["k"], observed, 1000).collect()}
+    few = {r.k: r for r in resample.sequential_gate(counts, ["k"], observed, 1000).collect()}
+    draws = {}
+    for r in resample.null_draws(counts, ["k"], draws=1000, measure=None).orderBy("draw").collect():
+        draws.setdefault(r.k, []).append(r.i_joint)
+    for k, r in few.items():
+        over = np.cumsum(np.array(draws[k]) >= r.observed)
+        if over[-1] >= 20:  # by the plain rule
+            at = int(np.argmax(over == 20)) + 1
+            assert (r.n_used, r.p) == (at, 20 / at)
+        else:
+            assert (r.n_used, r.p) == (1000, (over[-1] + 1) / 1001) and r.p == many[k].p
+        assert r.gate_pass == many[k].gate_pass
+    assert few[0].n_used < 300 and few[4].n_used == 1000
+    again = {r.k: r for r in resample.sequential_gate(counts.repartition(7), ["k"], observed.repartition(3), 1000).collect()}
+    assert {k: (r.p, r.n_used) for k, r in again.items()} == {k: (r.p, r.n_used) for k, r in few.items()}
+    head = studies.with_gate(pid.decompose(counts, ["k"], "ccs"), counts, ["k"]).collect()
+    assert {r.k: r.p for r in head} == {k: r.p for k, r in few.items()}
+    with pytest.raises(ValueError, match="whole batch"):
+        resample.null_draws(counts, ["k"], first=3)
+
+
+@pytest.mark.parametrize("shape", [(2, 2, 2), (3, 2, 2)])
+def test_broja_by_grid(shape):
+    """Least joint information over all tables with the same (v, y) and (s, y) margins: for
+    two s and two y levels they are a few free cells, which a grid covers."""
+    rng = np.random.default_rng(sum(shape))
+    for _ in range(3):
+        p = rng.dirichlet(np.ones(math.prod(shape))).reshape(shape)
+        best = math.inf
+        nv = shape[0]
+        vy, sy = p.sum(1), p.sum(0)
+        grid = np.linspace(0, 1, 41 if nv == 2 else 21)
+        cells = [np.array(np.meshgrid(*[grid] * (nv - 1))).reshape(nv - 1, -1) for _ in range(2)]
+        per_y = []
+        for y in range(2):  # q(v, 0, y) from the free cells; the rest follows
+            first = cells[y] * vy[:-1, y][:, None]
+            rest = sy[0, y] - first.sum(0)
+            ok = (rest >= 0) & (rest <= vy[-1, y])
+            q0 = np.vstack([first, rest])[:, ok]
+            per_y.append(np.stack([q0, vy[:, y][:, None] - q0], 1))
+        for a in np.moveaxis(per_y[0], -1, 0):
+            q = np.stack([np.broadcast_to(a[..., None], per_y[1].shape), per_y[1]], 2)
+            joint = q.sum(2)
+            h = lambda x: -np.where(x > 0, x * np.log(np.where(x > 0, x, 1)), 0)
+            value = h(joint).sum((0, 1)) + h(p.sum((0, 1))).sum() - h(q).sum((0, 1, 2))
+            best = min(best, float(value.min()))
+        found = broja(p)
+        iv, is_, ij = nodes(p)
+        assert ij - found["syn"] <= best + 1e-9 and best - (ij - found["syn"]) < 5e-3
+
+
+def test_across(spark):
+    cells = spark.createDataFrame([("a", "t", 10.0, 20.0, 30.0, 40.0), ("b", "t", 15.0, 20.0, 50.0, 15.0), ("a", "u", None, None, None, None)], "db string, target string, red_pct double, u_val_pct double, u_str_pct double, syn_pct double")
+    got = {r.target: r for r in studies.across(cells, "db", ["target"], "a", "b").collect()}
+    assert (got["t"].gap_syn, got["t"].gap_u_str, got["t"].most_apart) == (25.0, -20.0, "syn") and got["u"].gap_syn is None and got["u"].most_apart is None
+
+
 def test_p_value_drops_nan(spark):
     draws = spark.createDataFrame([("a", x) for x in (1.0, 2.0, float("nan"), None, 5.0)], "k string, x double")
     got = resample.p_value(draws, spark.createDataFrame([("a", 2.0)], "k string, o double"), ["k"], "x", "o").first()
