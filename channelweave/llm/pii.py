@@ -37,8 +37,10 @@ GIVEN = {
 #: Syllables of names beyond these lists are a consonant and a vowel.
 LETTERS = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
 
-_WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
 _TITLE = "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
+#: One or more titles, and a word of a name, which is no title.
+_TITLES = rf"(?:(?:{_TITLE})\.? ){{1,4}}"
+_WORD = rf"(?!(?:{_TITLE})(?![\p{{L}}\d'’-]))\p{{Lu}}[\p{{L}}'’-]{{1,40}}"
 _LABEL = r"(?i:password|passwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9_-]{1,40}+)?[\"']? {0,2}[=:] {0,2}[\"']?"
 #: Kind of entity -> its pattern (of the whole); the first that matches counts. Each
 #: starts with what its first character may be, which is cheap to look at.
@@ -50,7 +52,7 @@ KINDS = {
     "card": r"(?=\d)(?<![\d.,A-Za-z-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z])",
     "iban": r"(?=[A-Z][A-Z]\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": rf"(?=[AaPpSsTt])(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9])|{_LABEL}(?:(?<=\")[^\"\r\n]+(?=\"|$)|(?<=')[^'\r\n]+(?='|$)|\S+))",
-    "name": rf"(?=[{''.join(sorted({t[0] for t in (*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)}))}])(?<![\p{{L}}\d])(?:{_TITLE})\.? (?:{_WORD} ){{0,2}}{_WORD}",
+    "name": rf"(?=[{''.join(sorted({t[0] for t in (*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)}))}])(?<![\p{{L}}\d]){_TITLES}(?:{_WORD} ){{0,2}}{_WORD}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What a text must have for any of them: most texts have none of it and are read once.
@@ -153,17 +155,18 @@ def parts_of(entity: Column) -> Column:
     rest = F.substr(entity, F.length(country) + 1)
     label = F.regexp_extract(entity, rf"^(?:{_LABEL}|AKIA)", 0)
     value = F.substr(entity, F.length(label) + 1)
-    words = F.split(entity, " ")
-    title = F.regexp_replace(words[0], r"\.$", "")
-    gender = F.when(title.isin(*FEMALE_TITLES), "f").when(title.isin(*MALE_TITLES), "m").otherwise("u")
+    head = F.regexp_extract(entity, f"^{_TITLES}", 0)
+    words, titles = F.split(F.substr(entity, F.length(head) + 1), " "), F.split(F.regexp_replace(head, r"\.? ", " "), " ")
+    said = lambda listed: F.arrays_overlap(titles, F.array(*map(F.lit, listed)))
+    gender = F.when(said(FEMALE_TITLES), "f").when(said(MALE_TITLES), "m").otherwise("u")
 
     def name_unit(w: Column, i: Column) -> Column:
         script = F.when(w.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-        last = i == F.size(words) - 2
-        pre = F.when(i == 0, F.concat(words[0], F.lit(" "))).otherwise(" ")
+        last = i == F.size(words) - 1
+        pre = F.when(i == 0, head).otherwise(" ")
         return unit(pre, F.concat(F.when(last, "surname_").otherwise("given_"), script), F.lower(w), w, gender)
 
-    names = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(1))), name_unit)
+    names = F.transform(words, name_unit)
     numbers, bank = only(entity, "0-9"), only(entity, "A-Z0-9")
     valid = F.when(kind == "card", luhn(numbers) == 0).when(kind == "iban", iban_rest(bank) == 1).otherwise(True)
     domain = F.substring_index(entity, "@", -1)
@@ -194,30 +197,34 @@ def in_format(part: Column, kind: Column, new: Column) -> Column:
 
 
 def surrogates(units: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, canon, new for all distinct (kind, canon): distinct within a kind, and none
-    a canon of it. Units that collide try again, the least canon keeps the surrogate.
+    """kind, canon, new for all distinct (kind, canon): distinct within a space, and none
+    a canon of it. A space is a kind, but given and family names of a script are one, so
+    that nobody's surrogate is another's name. Units that collide try again, the least
+    canon keeps the surrogate.
 
     A name's gender is that of its titles in the whole corpus, if they agree: names of
     both genders and of none are one kind, so they are kept distinct as well."""
     told = units.groupBy("kind", "canon").agg(F.bool_or(F.col("gender") == "f").alias("f"), F.bool_or(F.col("gender") == "m").alias("m"))
     gender = F.when(F.col("f") & ~F.col("m"), "f").when(F.col("m") & ~F.col("f"), "m").otherwise("u")
-    script = F.substring_index("kind", "_", -1)
-    pool = F.when(F.col("kind").startswith("given_"), F.concat(F.lit("given_"), gender, F.lit("_"), script))
+    script, given = F.substring_index("kind", "_", -1), F.col("kind").startswith("given_")
+    pool = F.when(given, F.concat(F.lit("given_"), gender, F.lit("_"), script))
     pool = pool.when((F.col("kind") == "surname_cyrillic") & (gender == "f"), "surname_f_cyrillic").otherwise(F.col("kind"))
-    units = write_table(told.select("kind", "canon", pool.alias("pool")), "pii-units")
+    space = F.when(given | F.col("kind").startswith("surname_"), F.concat(F.lit("name_"), script)).otherwise(F.col("kind"))
+    units = write_table(told.select("kind", "canon", pool.alias("pool"), space.alias("space")), "pii-units")
     pending, done = units, None
     for attempt in range(ATTEMPTS):
         tried = pending.withColumn("attempt", F.lit(attempt)).withColumn("new", candidate(key)).drop("attempt")
-        tried = tried.join(units.select("kind", F.col("canon").alias("new")), ["kind", "new"], "left_anti")
+        tried = tried.join(units.select("space", F.col("canon").alias("new")), ["space", "new"], "left_anti")
         if done is not None:
-            tried = tried.join(done.select("kind", "new"), ["kind", "new"], "left_anti")
-        won = write_table(tried.groupBy("kind", "new").agg(F.min("canon").alias("canon")), "pii-new")
+            tried = tried.join(done.select("space", "new"), ["space", "new"], "left_anti")
+        won = tried.groupBy("space", "new").agg(F.min(F.struct("canon", "kind")).alias("won"))
+        won = write_table(won.select("space", "won.kind", "won.canon", "new"), "pii-new")
         done = won if done is None else done.unionByName(won)
         last, pending = pending, write_table(pending.join(won, ["kind", "canon"], "left_anti"), "pii-left")
         if attempt:
             drop_table(last)
         if pending.isEmpty():
-            return done
+            return done.drop("space")
     raise ValueError(f"no free surrogates after {ATTEMPTS} attempts for kinds {[r[0] for r in pending.select('kind').distinct().limit(20).collect()]}")
 
 
@@ -254,9 +261,11 @@ def replace_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key
     rest = [c for c in docs.columns if c != "entities"]
     dirty = docs.where(has).alias("d").join(told.alias("t"), F.col(f"d.{doc_id}").eqNullSafe(F.col("t.id")) & (F.xxhash64(f"d.{text}") == F.col("t.th")))
     pieces = F.split(F.col(f"d.{text}"), PATTERN, -1)
-    # between the entities, the words of names that the text has with a title; no surrogate is such a word
+    # between the entities, the words of names that the text has with a title, and those in
+    # capitals; no surrogate is a name of the corpus, so none is replaced again
+    forms = lambda x: F.array(x, F.struct(F.upper(x["name"]).alias("name"), F.upper(x["new"]).alias("new")))
     mention = lambda s, x: F.regexp_replace(s, F.concat(F.lit(r"(?<![\p{L}\d@._-])\Q"), x["name"], F.lit(r"\E(?![\p{L}\d@_-])")), x["new"])
-    plain = lambda p: F.aggregate("t.names", p, mention)
+    plain = lambda p: F.aggregate(F.array_distinct(F.flatten(F.transform("t.names", forms))), p, mention)
     joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("t.at"), lambda p, n: F.array(plain(p), F.coalesce(n["new"], F.lit(""))))), "")
     real = F.size(F.filter("t.at", lambda x: x["real"])).cast("long")
     dirty = dirty.select(*(joined.alias(c) if c == text else F.col(f"d.{c}") for c in rest), real.alias("entities"))

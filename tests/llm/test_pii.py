@@ -163,3 +163,25 @@ def test_short_values(spark):
     rows = [(i, f"token: {c}", "", 0) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(90, "password: ***", "", 0), (91, 'password=""', "", 0)]
     got = {r.doc_id: r.text for r in replace_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len({got[i] for i in range(26)}) == 26 and all(got[i] != t for i, t, *_ in rows if i < 91)
+
+
+def test_names_of_a_text(spark):
+    """Titles in a row, mentions in capitals, and nobody's surrogate is another's name."""
+    texts = ["Prof. Dr. Anna Keller came. Dr. Keller left, KELLER and Anna too.", "Frau Dr Anna Keller", "Mr Dolis Martin said it. Dolis spoke, Martin did not", "Mrs. Dr. Eve Dolis"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in replace_pii(docs).collect()}
+    first, last, again, loud, alone = re.fullmatch(r"Prof\. Dr\. (\w+) (\w+) came\. Dr\. (\w+) left, (\w+) and (\w+) too\.", got[0]).groups()
+    assert last == again and loud == last.upper() and alone == first
+    assert got[1] == f"Frau Dr {first} {last}" and first in pii.GIVEN["given_f_latin"]
+    given, family, one, two = re.fullmatch(r"Mr (\w+) (\w+) said it\. (\w+) spoke, (\w+) did not", got[2]).groups()
+    assert (one, two) == (given, family)
+    assert re.fullmatch(r"Mrs\. Dr\. \w+ \w+", got[3])
+    for name in ("Anna", "Keller", "KELLER", "Dolis", "Martin", "Eve"):
+        assert not any(name in t for t in got.values())
+
+
+def test_surrogates_are_distinct_within_a_script(spark):
+    names = [f"{a}{b}{c}" for a in "bdfglm" for b in "aeio" for c in "rst"]
+    rows = [(f"{k}_latin", n, "u") for n in names for k in ("given", "surname")]
+    found = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string, gender string")).collect()
+    assert len(found) == len(rows) == len({r.new for r in found}) and not {r.new for r in found} & set(names)
