@@ -275,7 +275,9 @@ def starts(points: Points, specs: list[Spec], known: dict, tries: int, seed: int
     """First centres: the best of some k-means++ draws on the sample, a task for each
     few models."""
     spark = points.rows.sparkSession
-    sample = points.rows.orderBy("h", *points.blocks).limit(SAMPLE).select("h", *points.blocks).toPandas()  # a bounded number of rows
+    # thinned by hash first: each task sends its smallest to the driver, so few may be left of it
+    thinned = F.pmod(F.xxhash64(F.lit("sample"), "h"), F.lit(1 << 30)) <= int(min(1, 2 * SAMPLE / max(points.n, 1)) * (1 << 30))
+    sample = points.rows.where(thinned).orderBy("h", *points.blocks).limit(SAMPLE).select("h", *points.blocks).toPandas()  # a bounded number of rows
     if sample.empty:
         raise ValueError("there are no rows to cluster")
     arrays = {b: base(points, b, np.stack(sample[b].to_numpy()).astype(float)) for b in points.blocks}
