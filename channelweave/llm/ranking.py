@@ -334,7 +334,10 @@ def rank_documents(
         weights = np.zeros(len(queries.vocabulary), np.int64)
         for r in found.select(F.explode("terms").alias("t")).groupBy("t").count().toLocalIterator():
             weights[r["t"]] = math.floor(IDF_SCALE * math.log((2 * n + 2) / (2 * r["count"] + 1)))
-        few = found.where(F.size("terms").between(1, SAMPLE_TERMS)).select("terms", F.xxhash64("doc_id", "n", "terms").alias("h")).orderBy("h").limit(SAMPLE)
+        few = found.where(F.size("terms").between(1, SAMPLE_TERMS)).select("terms", F.xxhash64("doc_id", "n", "terms").alias("h"))
+        # thinned by hash first: each task sends its smallest to the driver, so few may be left of it
+        thinned = F.pmod(F.xxhash64(F.lit("sample"), "h"), F.lit(1 << 30)) <= int(min(1, 2 * SAMPLE / n) * (1 << 30))
+        few = few.where(thinned).orderBy("h").limit(SAMPLE)
         sample = [np.array(r["terms"]) for r in few.toLocalIterator()]
         shards = write_table(into_shards(ordered(found, bisection(sample, len(weights)), n, total), shard_docs), "shards")
         scorer = spark.sparkContext.broadcast(Scorer(queries, weights, top))
