@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from channelweave.functions.columns import binary_entropy, finite, hours_between, seed_of, slug, tidy, topcoded_number
+from channelweave.functions.columns import binary_entropy, finite, hours_between, seed_of, slug, tidy, topcoded_number, unique_slug
 from channelweave.operators import channels, cohort, information, quantize, resolve, targets
 from channelweave.operators.windowed import first_last, offset_window, window_join
 from channelweave.plans import pid, report, resample, studies
@@ -252,6 +252,12 @@ def column_slug(spark, d):
     return table(spark, d, "part").select("p_partkey", slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
 
 
+@query("""WITH p AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') AS plain FROM part)
+  SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY plain) > 1 OR regexp_matches(plain, '_[0-9]+$') THEN plain || '_' || p_partkey ELSE plain END AS slug FROM p""")
+def unique_column_slug(spark, d):
+    return table(spark, d, "part").select("p_partkey", unique_slug("p_name", "p_partkey").alias("slug"))
+
+
 #: CRC-32 by its polynomial, a bit at a time.
 _CRC_BITS = "list_reduce(range(0, 8), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b))"
 _CRC = f"xor(list_reduce(list_transform(range(1, length(told) + 1), lambda i: ascii(told[i])::BIGINT), lambda c, b: {_CRC_BITS}, 4294967295::BIGINT), 4294967295)"
@@ -439,6 +445,13 @@ def atoms_of(spark, d, measure):
     return found.select("l_linestatus", "n", *(F.round(a, 9).alias(a) for a in studies.ATOMS), F.round("i_joint", 9).alias("i_joint"), "min_cell", "converged")
 
 
+@query("""WITH c AS (SELECT l_orderkey, CAST(least(floor(l_quantity / 10), 4) AS INTEGER) AS v, CAST(month(l_shipdate) % 4 AS INTEGER) AS s, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem)
+  SELECT l_orderkey, count(DISTINCT v) AS n_v, count(DISTINCT s) AS n_s, count(DISTINCT y) AS n_y FROM c GROUP BY 1 HAVING least(count(DISTINCT v), count(DISTINCT s), count(DISTINCT y)) < 2""")
+def degenerate_cells(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.least(F.floor(F.col("l_quantity") / 10), F.lit(4)).cast("int").alias("v"), (F.month("l_shipdate") % 4).alias("s"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return pid.degenerate(information.joint_counts(rows, ["l_orderkey"]), ["l_orderkey"])
+
+
 @query()
 def broja_atoms(spark, d):
     return atoms_of(spark, d, "broja")

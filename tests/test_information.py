@@ -170,6 +170,21 @@ def test_broja_by_grid(shape):
         assert ij - found["syn"] <= best + 1e-9 and best - (ij - found["syn"]) < 5e-3
 
 
+def test_degenerate(spark):
+    data = [("ok", 0, 0, 0, 3), ("ok", 1, 1, 1, 2), ("one v", 0, 0, 0, 3), ("one v", 0, 1, 1, 3), ("empty", 0, 0, 0, 3), ("empty", 1, 1, 1, 0), (None, 0, 0, 1, 5)]
+    counts = spark.createDataFrame(data, "k string, v int, s int, y int, n long")
+    got = {r.k: (r.n_v, r.n_s, r.n_y) for r in pid.degenerate(counts, ["k"]).collect()}
+    assert got == {"one v": (1, 2, 2), "empty": (1, 1, 1), None: (1, 1, 1)} and pid.degenerate(counts.where("false"), ["k"]).count() == 0
+
+
+def test_unique_slug(spark):
+    from channelweave.functions.columns import unique_slug
+
+    names = spark.createDataFrame([(1, "Glucose"), (2, "glucose "), (3, "Na+ (whole)"), (4, "pH 7")], "id int, name string")
+    got = {r.id: r.s for r in names.select("id", unique_slug("name", "id").alias("s")).collect()}
+    assert got == {1: "glucose_1", 2: "glucose_2", 3: "na_whole", 4: "ph_7_4"} and len(set(got.values())) == 4
+
+
 def test_across(spark):
     cells = spark.createDataFrame([("a", "t", 10.0, 20.0, 30.0, 40.0), ("b", "t", 15.0, 20.0, 50.0, 15.0), ("a", "u", None, None, None, None)], "db string, target string, red_pct double, u_val_pct double, u_str_pct double, syn_pct double")
     got = {r.target: r for r in studies.across(cells, "db", ["target"], "a", "b").collect()}
