@@ -4,7 +4,8 @@ Hamming distance by self-joins of binary tries.
 A pair within ``max_bits`` differing bits has, among ``max_bits + 1`` equal blocks of
 bits, one block without a difference. Each fingerprint is therefore put into one trie
 for each block, with that block's bits first. In such a trie only pairs below the same
-node at the block's end matter, so the subtrees below can be dealt to tasks. A task
+node at the block's end matter, so the subtrees below can be dealt to tasks. A subtree
+too large for a task becomes several tries, with a further block in front. A task
 walks pairs of nodes downwards together, adds up differing bits, and drops a pair once
 the error budget is spent; pairs of leaves are links.
 
@@ -21,7 +22,8 @@ allows. Within what such pairs unite, links are verified on the shingle sets."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,8 +38,12 @@ BITS = 64
 #: Fingerprints that one task's tries hold, about.
 TRIE_ROWS = 8192
 #: Fingerprints with the same block of bits up to which one task takes them all; beyond
-#: it they are salted, and every two salts meet in a task.
-CELL_ROWS = 2 * TRIE_ROWS
+#: it they are told apart by further blocks, at most so many levels deep, or salted, and
+#: every two salts meet in a task.
+CELL_ROWS, LEVELS = 2 * TRIE_ROWS, 2
+#: Blocks of a path are digits to this base. Other words by whose bytes a crowded cell of
+#: a wide fingerprint is split at a level. Crowded cells that are broadcast at most.
+PATH_BASE, OTHERS, BROADCAST_CELLS = 64, 7, 1 << 18
 #: Node pairs walked at a time: bounds a task's memory whatever the data.
 FRONTIER = 1 << 17
 #: XXH64 seed, as in Spark's xxhash64.
@@ -145,48 +151,117 @@ def merge_labels(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
-def dealt(rows: DataFrame, width: int, n: int, mark: str) -> DataFrame:
-    """rows (block, cell of ``width`` bits, ...) with lead, i and j, which say what goes
-    to one task: neighbouring cells, or two salts of a crowded one. ``n`` is the number
-    of rows of a block; ``mark`` is hashed for the salts."""
-    top = min(width, max(0, math.ceil(math.log2(max(1, n) / TRIE_ROWS))))
-    # at most 2 ** width cells of each block, whatever the data: small enough to broadcast
-    crowded = rows.groupBy("block", "cell").count().where(F.col("count") > CELL_ROWS)
-    salts = crowded.select("block", "cell", F.ceil(2 * F.col("count") / CELL_ROWS).cast("int").alias("salts"))
-    rows = rows.join(F.broadcast(salts), ["block", "cell"], "left")
-    # a crowded cell's values are dealt to salts, and a task walks the trie of two salts
-    own = F.pmod(F.xxhash64(mark), F.col("salts")).cast("int")
-    others = F.array_remove(F.sequence(F.lit(0), F.col("salts") - 1), F.col("own"))
-    rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
-    lead = F.when(F.col("salts").isNull(), F.shiftright("cell", width - top)).otherwise(F.col("cell") + (1 << width))
-    return rows.withColumns({"lead": lead, "i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("cell", "salts", "own", "other")
+def digits(path: int) -> list[int]:
+    """The blocks, from the first to the last, that a trie's path names."""
+    out = []
+    while path:
+        path, block = divmod(path, PATH_BASE)
+        out.append(block - 1)
+    return out[::-1]
+
+
+def split_cells(rows: DataFrame, choices: int, turn: Callable[[DataFrame, int], DataFrame], level: int) -> DataFrame:
+    """rows in each trie that ``choices`` more blocks give; ``turn`` sets the new cells."""
+    more = F.explode(F.sequence(F.lit(0), F.lit(choices - 1)))
+    rows = rows.withColumn("block", more).withColumn("path", F.col("path") * PATH_BASE + F.col("block") + 1)
+    return turn(rows, level).drop("block")
+
+
+def dealt(rows: DataFrame, choices: int, turn: Callable[[DataFrame, int], DataFrame], n: int, mark: str) -> DataFrame:
+    """rows (path, cell, ...) with lead, i and j, which say what goes to one task: whole
+    cells, or two salts of a crowded one.
+
+    A crowded cell's rows are put into ``choices`` new tries each, whose cells are told
+    apart by one more block of bits, and so on for ``LEVELS`` levels: copies of a row grow
+    with the logarithm of the rows, not with their number. Only where salts cost fewer
+    copies, or at the last level (values that agree in all those blocks), cells are salted.
+    ``n`` is the number of rows of a path; ``mark`` is hashed for the salts."""
+    out = []
+    for level in range(LEVELS + 1):
+        groups = max(1, math.ceil(n / TRIE_ROWS))
+        lead = F.pmod(F.xxhash64("path", "cell"), F.lit(groups))
+        split = 0
+        if n > CELL_ROWS:
+            sizes = rows.groupBy("path", "cell").agg(F.count("*").alias("rows")).where(F.col("rows") > CELL_ROWS)
+            salts = F.ceil(2 * F.col("rows") / CELL_ROWS).cast("int")
+            on = (salts > choices + 1) if level < LEVELS else F.lit(False)
+            crowded = write_table(sizes.select("path", "cell", "rows", salts.alias("salts"), on.alias("split")), "simhash-crowded")
+            of_path = crowded.groupBy("path").agg(F.count("*").alias("cells"), F.sum(F.when(F.col("split"), F.col("rows"))).alias("rows"))
+            cells, split = of_path.agg(F.coalesce(F.sum("cells"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
+            crowded = crowded.drop("rows")
+            rows = rows.join(F.broadcast(crowded) if cells <= BROADCAST_CELLS else crowded, ["path", "cell"], "left")
+        else:
+            rows = rows.withColumns({"salts": F.lit(None).cast("int"), "split": F.lit(None).cast("boolean")})
+        stay = rows.where(~F.coalesce("split", F.lit(False))) if split else rows
+        # a salted cell's values are dealt to salts, and a task walks the trie of two salts
+        own = F.pmod(F.xxhash64(mark), F.col("salts")).cast("int")
+        others = F.array_remove(F.sequence(F.lit(0), F.col("salts") - 1), F.col("own"))
+        stay = stay.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0)))))
+        lead = F.when(F.col("salts").isNull(), lead).otherwise(-1 - F.col("cell"))
+        out.append(stay.withColumns({"lead": lead, "i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("cell", "salts", "split", "own", "other"))
+        if not split:
+            break
+        rows, n = split_cells(rows.where("split").drop("salts", "split"), choices, turn, level + 1), split
+    return reduce(DataFrame.unionByName, out)
+
+
+def rotation(level: int, blocks: int) -> tuple[int, int]:
+    """(bits that are settled above a level, width of its blocks) of a fingerprint."""
+    settled = 0
+    for _ in range(level):
+        settled += (BITS - settled) // blocks
+    return settled, (BITS - settled) // blocks
+
+
+def turned_back(values: np.ndarray, path: int, blocks: int) -> np.ndarray:
+    """Fingerprints from what a trie's path has made of them."""
+    for level, block in reversed(list(enumerate(digits(path)))):
+        settled, _ = rotation(level, blocks)
+        rest = BITS - settled
+        by = np.uint64(rest * block // blocks)
+        if by:
+            mask = np.uint64((1 << rest) - 1)
+            low = values & mask
+            values = (values & ~mask) | (low >> by) | ((low << (np.uint64(rest) - by)) & mask)
+    return values
 
 
 def fingerprint_links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of the distinct values of
-    ``simhash`` within max_bits differing bits."""
+    ``simhash`` within max_bits differing bits.
+
+    A trie's values have the block of its path in front; in a crowded cell the bits
+    behind it are parted into blocks again, of which one has no difference either."""
     blocks = max_bits + 1
-    edge = [BITS * i // blocks for i in range(blocks + 1)]
-    width = min(b - a for a, b in zip(edge, edge[1:], strict=False))
-    turned = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.col("simhash").alias("bits")) for i in range(blocks)))).alias("t")
-    # the subtree: the bits of the block that comes first in this trie
-    cell = F.coalesce(*(F.when(F.col("block") == i, F.shiftrightunsigned("bits", BITS - edge[i] - width).bitwiseAND((1 << width) - 1)) for i in range(blocks)))
-    rows = dealt(prints.select(turned).select("t.*").withColumn("cell", cell), width, prints.count(), "bits")
+
+    def turn(rows: DataFrame, level: int) -> DataFrame:
+        settled, width = rotation(level, blocks)
+        rest = BITS - settled
+        mask = (1 << rest) - 1 if settled else -1
+        low, turned = F.col("bits").bitwiseAND(F.lit(mask).cast("long")), F.col("bits")
+        for block in range(1, blocks):
+            by = rest * block // blocks
+            rolled = F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(low, rest - by)).bitwiseAND(F.lit(mask).cast("long"))
+            if settled:
+                rolled = rolled.bitwiseOR(F.col("bits").bitwiseAND(F.lit(~mask).cast("long")))
+            turned = F.when(F.col("block") == block, rolled).otherwise(turned)
+        rows = rows.withColumn("bits", turned)
+        return rows.withColumn("cell", F.shiftrightunsigned("bits", rest - width))
+
+    start = prints.select(F.col("simhash").alias("bits"), F.lit(0).alias("path"))
+    rows = dealt(split_cells(start, blocks, turn, 0), blocks, turn, prints.count(), "bits")
 
     def walk(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        at, size = edge[block], edge[block + 1] - edge[block]
+        path = table.column("path")[0].as_py()
         values = np.unique(table.column("bits").to_numpy().view(np.uint64))
-        rolled = values if not at else (values << np.uint64(at)) | (values >> np.uint64(BITS - at))
-        rolled.sort()
-        label = np.arange(len(rolled), dtype=np.int64)
-        for u, v in trie_links(rolled, size, max_bits):
+        label = np.arange(len(values), dtype=np.int64)
+        for u, v in trie_links(values, sum(rotation(len(digits(path)) - 1, blocks)), max_bits):
             label = merge_labels(label, u.astype(np.int64), v.astype(np.int64))
-        back = (rolled if not at else (rolled >> np.uint64(at)) | (rolled << np.uint64(BITS - at))).view(np.int64)
+        back = turned_back(values, path, blocks).view(np.int64)
         apart = label != np.arange(len(label))
         return pa.table({"a": back[apart], "b": back[label[apart]]})
 
-    return rows.groupBy("block", "lead", "i", "j").applyInArrow(walk, "a long, b long")
+    return rows.groupBy("path", "lead", "i", "j").applyInArrow(walk, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_bits: int = 3, shingle: int = 3) -> DataFrame:
@@ -280,7 +355,8 @@ def first_of_kind(x: np.ndarray) -> np.ndarray:
 
 def proposals(value: np.ndarray, prints: np.ndarray, sizes: np.ndarray, first: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one trie that unite what all pairs unite that may reach the
-    similarity: the nearest ones.
+    similarity: the nearest ones. Values are the ``first`` bits of a cell, then the rest
+    of a word.
 
     A chain of close neighbours comes first, and nodes of the trie that it has made one
     are not walked, so a dense group does not cost its square."""
@@ -311,7 +387,7 @@ def proposals(value: np.ndarray, prints: np.ndarray, sizes: np.ndarray, first: i
         rows = np.arange(len(found))
         # of one value, rows that the chain has not united
         yield from ragged(np.r_[run[1:], len(found)][np.searchsorted(run, rows, "right") - 1], end[np.searchsorted(start, rows, "right") - 1])
-        for u, v in trie_links(found[start], first, WORD_BUDGET, WORD_BITS, group):
+        for u, v in trie_links(found[start], first, WORD_BUDGET, first + WORD_BITS - WORD_BITS // (WORD_BUDGET + 1), group):
             for k, i in ragged(start[u], end[u]):
                 for m, j in ragged(start[v[k]], end[v[k]]):
                     yield i[m], j
@@ -362,29 +438,58 @@ def verified_links(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
+def cell_bytes(path: int) -> list[int]:
+    """The bytes of a wide fingerprint that texts of one cell of a trie share: one of the
+    trie's word, and for every further level one of another word."""
+    block, *more = digits(path)
+    word, byte = divmod(block, WORD_BUDGET + 1)
+    words = [(word + 1 + level * OTHERS + k) % WORDS for level, k in enumerate(more)]
+    return [block, *(w * (WORD_BUDGET + 1) + byte for w in words)]
+
+
+def wide_tries(prints: DataFrame) -> DataFrame:
+    """``dealt`` rows of the tries of all words. ``prints`` has key, n and print; texts
+    without words are in no trie.
+
+    A cell is a byte of a word: one of its bytes at least is the same in both texts of a
+    pair. In a crowded cell a byte of another word has to be the same too, of one of
+    ``OTHERS`` words: of pairs at 0.8 that meet in the cell at least 0.89 do so again, and
+    a pair meets in several cells."""
+    rows, blocks = prints.where("n > 0"), WORD_BUDGET + 1
+
+    def turn(rows: DataFrame, level: int) -> DataFrame:
+        # the same rule as cell_bytes, by the digits of the path
+        if not level:
+            at = F.col("block")
+        else:
+            root = F.floor(F.col("path") / PATH_BASE**level).cast("int") - 1
+            word = (F.floor(root / blocks) + 1 + (level - 1) * OTHERS + F.col("block")) % WORDS
+            at = (word * blocks + root % blocks).cast("int")
+        value = F.conv(F.hex(F.substr("print", at + 1, F.lit(1))), 16, 10).cast("long")
+        return rows.withColumn("cell", value if not level else F.shiftleft("cell", 8).bitwiseOR(value))
+
+    start = split_cells(rows.withColumn("path", F.lit(0)), WORDS * blocks, turn, 0)
+    return dealt(start, OTHERS, turn, rows.count(), "key")
+
+
 def candidates(prints: DataFrame, least: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of keys that unite what all pairs unite that the
-    tries of all words propose. ``prints`` has key, n and print; texts without words are
-    in no trie."""
-    rows, byte = prints.where("n > 0"), 8
-    blocks = WORD_BUDGET + 1
-    n = rows.count()
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(WORDS * blocks - 1))))
-    # a block is a byte of a word: one at least is the same in both texts of a pair
-    rows = rows.withColumn("cell", F.conv(F.hex(F.substr("print", F.col("block") + 1, F.lit(1))), 16, 10).cast("int"))
-    rows = dealt(rows, byte, n, "key")
+    tries of all words propose. ``prints`` has key, n and print."""
+    blocks, byte = WORD_BUDGET + 1, 8
 
     def walk(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
+        path = table.column("path")[0].as_py()
         key, raw = table.column("key").to_numpy(), np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        shared, block = cell_bytes(path), digits(path)[0]
         at = block // blocks * blocks
+        own = [at + (block + k) % blocks for k in range(1, blocks)]
         value = np.zeros(len(key), np.uint64)
-        for k in range(blocks):
-            value = (value << np.uint64(byte)) | raw[:, at + (block + k) % blocks].astype(np.uint64)
-        u, v = proposals(value, raw.view(np.uint64), table.column("n").to_numpy(), byte, least)
+        for k in (*shared, *own):
+            value = (value << np.uint64(byte)) | raw[:, k].astype(np.uint64)
+        u, v = proposals(value, raw.view(np.uint64), table.column("n").to_numpy(), byte * len(shared), least)
         return pa.table({"a": np.minimum(key[u], key[v]), "b": np.maximum(key[u], key[v])})
 
-    return rows.groupBy("block", "lead", "i", "j").applyInArrow(walk, "a long, b long").distinct()
+    return wide_tries(prints).groupBy("path", "lead", "i", "j").applyInArrow(walk, "a long, b long").distinct()
 
 
 def united(sets: DataFrame, least: float) -> DataFrame:

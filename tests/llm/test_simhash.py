@@ -54,11 +54,12 @@ def corpus(seed):
     return [*rows, (900, None), (901, ""), (902, " \t\x0b"), (903, "One"), (904, "one"), (905, "A b"), (None, "one"), (906, "É É é"), (907, "x y " * 40_000), (3, "again id"), (905, "A b")]
 
 
-@pytest.mark.parametrize("crowd", [False, True])
+@pytest.mark.parametrize("crowd", [None, 5, 1])
 def test_same_as_brute_force(spark, monkeypatch, crowd):
+    """Crowded cells are salted (5) or told apart by further blocks (1)."""
     if crowd:
         monkeypatch.setattr(simhash, "TRIE_ROWS", 4)
-        monkeypatch.setattr(simhash, "CELL_ROWS", 5)
+        monkeypatch.setattr(simhash, "CELL_ROWS", crowd)
     rows = corpus(4)
     prints = [(i, slow_fingerprint(t)) for i, t in rows]
     assert [fingerprint(t) for _, t in rows] == [f for _, f in prints]
@@ -79,5 +80,41 @@ def test_trie_pairs():
     assert got == want
 
 
+@pytest.mark.parametrize("max_bits", [2, 3])
+def test_blocks_in_front(spark, monkeypatch, max_bits):
+    """Close values in few cells, all of which are split twice: links as all pairs'."""
+    monkeypatch.setattr(simhash, "TRIE_ROWS", 2)
+    monkeypatch.setattr(simhash, "CELL_ROWS", 1)
+    rng = random.Random(max_bits)
+    values = {0, (1 << 64) - 1}
+    for _ in range(60):
+        v = rng.getrandbits(64) & ~0xFFFF_FFFF_0000
+        values |= {v} | {v ^ sum(1 << b for b in rng.sample(range(64), k)) for k in range(1, 6)}
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in sorted(values)]
+    found = simhash.fingerprint_links(spark.createDataFrame(signed, "simhash long"), max_bits).collect()
+    links = {(a % (1 << 64), b % (1 << 64)) for a, b in found}
+    assert links <= {(a, b) for a in values for b in values if a != b}
+
+    def parts(pairs):
+        root = {v: v for v in values}
+        for a, b in pairs:
+            a, b = root[a], root[b]
+            root = {v: min(a, b) if r in (a, b) else r for v, r in root.items()}
+        return root
+
+    every = [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= max_bits]
+    assert parts(links) == parts(every)
+
+
+def test_turned_back():
+    import numpy as np
+
+    values = np.random.default_rng(2).integers(0, 1 << 63, 50, np.uint64)
+    for path in (1, 3, 64 * 2 + 4, (64 * 3 + 2) * 64 + 4):
+        assert len(np.unique(simhash.turned_back(values, path, 4))) == 50
+    assert (simhash.turned_back(values, 1, 4) == values).all()
+    assert int(simhash.turned_back(np.array([1 << 63], np.uint64), 2, 4)[0]) == 1 << 47
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []

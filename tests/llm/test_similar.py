@@ -6,6 +6,7 @@ import numpy as np
 
 import corpus_pipeline as cp
 import pytest
+from pyspark.sql import functions as F
 
 from channelweave.llm import simhash
 from channelweave.llm.simhash import similar_documents
@@ -53,11 +54,11 @@ def planted():
     return [*rows, (900, None), (901, ""), (902, "One two"), (903, "one  two"), (904, "one three")]
 
 
-@pytest.mark.parametrize("crowd", [False, True])
+@pytest.mark.parametrize("crowd", ["", "salted", "split"])
 def test_same_as_all_pairs(spark, monkeypatch, crowd):
     if crowd:
         monkeypatch.setattr(simhash, "TRIE_ROWS", 4)
-        monkeypatch.setattr(simhash, "CELL_ROWS", 2)
+        monkeypatch.setattr(simhash, "CELL_ROWS", 2 if crowd == "salted" else 1)
         monkeypatch.setattr(simhash, "GROUP_TEXTS", 4)
     rows = planted()
     got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -106,6 +107,40 @@ def test_recall_at_the_least_similarity():
     assert found >= 0.96 * 300
 
 
+@pytest.mark.parametrize("level", [1, 2])
+def test_recall_of_split_cells(level):
+    """Pairs at 0.8 that meet in no cell but split ones are still proposed."""
+    rng = np.random.default_rng(7)
+    base, blocks, found = simhash.PATH_BASE, simhash.WORD_BUDGET + 1, 0
+    paths = range(1, 1 + simhash.WORDS * blocks)
+    for _ in range(level):
+        paths = [base * p + k + 1 for p in paths for k in range(simhash.OTHERS)]
+    shared = np.array([simhash.cell_bytes(p) for p in paths])
+    assert all(len(set(x // blocks)) == level + 1 for x in shared)
+    for _ in range(300):
+        both, one, other = np.split(rng.integers(0, 1 << 63, 360, np.uint64), [288, 324])
+        prints = [np.frombuffer(simhash.wide_fingerprint(np.sort(np.r_[both, x])), np.uint8) for x in (one, other)]
+        apart = np.bitwise_count(prints[0] ^ prints[1])
+        words = apart.reshape(simhash.WORDS, -1).sum(1)
+        meets = (apart[shared] == 0).all(1) & (words[shared[:, 0] // blocks] <= simhash.WORD_BUDGET)
+        found += apart.sum() <= simhash.bit_budget(0.8) and meets.any()
+    assert found >= 0.96 * 300
+
+
+def test_rows_of_the_tries_grow_with_the_input(spark, monkeypatch):
+    """Twice the texts, beyond crowded cells, give twice the rows (with salts: four times);
+    a hundredth is for the few cells that are crowded by chance a level below."""
+    monkeypatch.setattr(simhash, "TRIE_ROWS", 2)
+    monkeypatch.setattr(simhash, "CELL_ROWS", 4)
+
+    def rows(n):
+        prints = spark.range(n).select(F.col("id").alias("key"), F.lit(9).alias("n"), F.unhex(F.sha2(F.col("id").cast("string"), 384)).alias("print"))
+        return simhash.wide_tries(prints).count()
+
+    one, two = rows(9000), rows(18000)
+    assert two <= 2.01 * one and two <= 1.01 * 18000 * simhash.WORDS * 3 * simhash.OTHERS
+
+
 def test_dense_group_is_not_its_square(spark):
     """Many near copies of one text: the forest has about a row for each."""
     rng = random.Random(8)
