@@ -90,11 +90,11 @@ class Points(NamedTuple):
     levels: int
 
 
-def scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession, name: str = "points") -> str:
     """A new folder where all executors can write: in ``spark.checkpoint.dir``, or else in
     the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(found or spark.conf.get('spark.sql.warehouse.dir') + '/_scratch').rstrip('/')}/points-{uuid.uuid4().hex}"
+    return f"{(found or spark.conf.get('spark.sql.warehouse.dir') + '/_scratch').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def prepare(rows: DataFrame, key: list[str], blocks: dict[str, Block], targets: tuple[str, ...] = (), batch_rows: int = BATCH_ROWS) -> Points:

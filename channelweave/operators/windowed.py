@@ -24,11 +24,12 @@ def window_join(events: DataFrame, cohort: DataFrame, on: str, time: str, start:
     return e.join(c, inside).select("e.*", *(f"c.{x}" for x in own))
 
 
-def offset_window(events: DataFrame, cohort: DataFrame, on: str, offset: str, minutes: int = 1440) -> DataFrame:
+def offset_window(events: DataFrame, cohort: DataFrame | None, on: str, offset: str, minutes: int = 1440) -> DataFrame:
     """events of cohort entities whose offset in minutes is within plus or minus
-    ``minutes``, both included, with the offset in hours."""
+    ``minutes``, both included, with the offset in hours. Without a cohort all events
+    are of its entities already."""
     inside = events.where(F.col(offset).between(-minutes, minutes))
-    return inside.join(cohort.select(on), on).withColumn("hours_from_t0", F.col(offset) / F.lit(60.0))
+    return (inside if cohort is None else inside.join(cohort.select(on), on)).withColumn("hours_from_t0", F.col(offset) / F.lit(60.0))
 
 
 def labs_window(labevents: DataFrame, cohort: DataFrame) -> DataFrame:

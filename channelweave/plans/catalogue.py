@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channelweave.functions.columns import binary_entropy, finite, hours_between, seed_of, slug, tidy, topcoded_number, unique_slug
-from channelweave.operators import channels, cohort, information, quantize, resolve, targets
-from channelweave.operators.windowed import first_last, offset_window, window_join
+from channelweave.operators import channels, cohort, information, integrity, quantize, resolve, targets
+from channelweave.operators.windowed import first_last, labs_window, offset_window, window_join
 from channelweave.plans import pid, report, resample, studies
 from channelweave.plans.constants import Study
 from channelweave.sources.tables import table
@@ -135,7 +135,7 @@ def windowed_labs_halfopen(spark, d):
 def windowed_labs_closed(spark, d):
     c = e_cohort(spark, d).select("user_id", "t0")
     rows = table(spark, d, "events").join(c, "user_id").withColumn("offset_minutes", F.expr("timestampdiff(MINUTE, t0, ts)"))
-    return offset_window(rows, c, "user_id", "offset_minutes").select("user_id", "event_id", "event_type", "value", "offset_minutes", "hours_from_t0")
+    return offset_window(rows, None, "user_id", "offset_minutes").select("user_id", "event_id", "event_type", "value", "offset_minutes", "hours_from_t0")
 
 
 @query(f"""WITH {T_COHORT}, li AS (SELECT l.*, o_custkey AS custkey, CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN l_orderkey ELSE l_orderkey + 1 END AS hadm_id FROM lineitem l JOIN orders ON l_orderkey = o_orderkey)
@@ -323,6 +323,99 @@ def retarget_noop(spark, d):
     return channels.retarget(arm, t_cohort(spark, d).select("custkey", "outcome"), "outcome").rows
 
 
+# --- the cohorts of both databases, their lab window and targets, with checks ---
+
+_GENDER = "CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' END"
+_SITE_AGE = "CASE o_custkey % 12 WHEN 0 THEN '> 89' WHEN 1 THEN '' WHEN 2 THEN 'old' ELSE CAST(10 + o_custkey % 60 AS {}) END"
+_SITE_GENDER = "CASE o_custkey % 3 WHEN 0 THEN 'Female' WHEN 1 THEN 'Male' ELSE 'Other' END"
+_DISCHARGE = "CASE o_orderstatus WHEN 'F' THEN 'Expired' WHEN 'O' THEN 'Alive' ELSE '' END"
+
+
+def single_site(spark, d):
+    """Orders as stays, those of a known status as admissions, customers as patients."""
+    orders = table(spark, d, "orders").withColumnsRenamed({"o_custkey": "subject_id", "o_orderkey": "hadm_id"})
+    stays = orders.select("subject_id", "hadm_id", F.col("hadm_id").alias("stay_id"), F.col("o_orderdate").alias("intime"), F.expr("o_orderdate + INTERVAL 3 DAYS").alias("outtime"), F.col("o_totalprice").alias("los"))
+    patients = table(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"), F.expr("c_custkey % 80 + 10").alias("anchor_age"), F.expr(_GENDER).alias("gender"), F.lit(None).cast("timestamp").alias("dod"))
+    known = orders.where("o_orderstatus IN ('F', 'O')")
+    admissions = known.select("hadm_id", targets.two_way("o_orderstatus", "F").alias("hospital_expire_flag"), F.col("o_orderpriority").alias("admission_type"), F.col("o_orderstatus").alias("race"))
+    return cohort.single_site_cohort(stays, patients, admissions)
+
+
+SINGLE_SITE = f"""ss AS (SELECT o_custkey AS subject_id, o_orderkey AS hadm_id, o_orderkey AS stay_id, o_orderdate AS t0, o_totalprice AS icu_los_days, c_custkey % 80 + 10 AS anchor_age, {_GENDER} AS gender,
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS hospital_expire_flag, o_orderpriority AS admission_type FROM
+  (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) JOIN customer ON o_custkey = c_custkey
+  WHERE rn = 1 AND o_orderstatus IN ('F', 'O') AND c_custkey % 80 + 10 >= 18)"""
+
+
+@query(f"WITH {SINGLE_SITE} SELECT *, t0 - INTERVAL 24 HOUR AS t_win_start, t0 + INTERVAL 24 HOUR AS t_win_end FROM ss")
+def single_site_cohort(spark, d):
+    return single_site(spark, d).drop("outtime", "dod", "race")
+
+
+@query(f"""SELECT o_orderkey AS patientunitstayid, o_custkey AS uniquepid, age, {_SITE_GENDER} AS gender, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS hospital_expire_flag FROM (SELECT *,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey % 5, o_orderkey) AS rn FROM (SELECT *, CASE WHEN a = '> 89' THEN 90.0::DOUBLE WHEN trim(a) = '' THEN NULL ELSE try_cast(a AS DOUBLE) END AS age
+  FROM (SELECT *, {_SITE_AGE.format("VARCHAR")} AS a FROM orders)) WHERE age >= 18 AND o_orderstatus IN ('F', 'O')) WHERE rn = 1""")
+def multi_site_cohort(spark, d):
+    patient = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("patientunitstayid"), F.col("o_orderkey").alias("patienthealthsystemstayid"), F.col("o_custkey").alias("uniquepid"), F.expr("o_custkey % 25").alias("hospitalid"),
+        F.expr(_SITE_AGE.format("STRING")).alias("age"), F.expr(_SITE_GENDER).alias("gender"), F.col("o_orderpriority").alias("ethnicity"), F.expr(_DISCHARGE).alias("hospitaldischargestatus"),
+        F.year("o_orderdate").alias("hospitaldischargeyear"), F.expr("o_orderkey % 5").alias("unitvisitnumber"),
+    )
+    return cohort.multi_site_cohort(patient).select("patientunitstayid", "uniquepid", "age", "gender", "hospital_expire_flag")
+
+
+_HADM = "CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN l_orderkey ELSE l_orderkey + 1 END"
+_DRAWN = "(l_linenumber * 7 + l_partkey) % 72 - 36"
+
+
+@query(f"""WITH {SINGLE_SITE}, le AS (SELECT o_custkey AS subject_id, {_HADM} AS hadm, l_linenumber AS specimen_id, l_partkey AS itemid, o_orderdate + to_hours(CAST({_DRAWN} AS INTEGER)) AS charttime, l_quantity AS valuenum
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT ss.subject_id, ss.hadm_id, stay_id, specimen_id, itemid, charttime, valuenum, datesub('second', t0, charttime) / 3600.0 AS hours_from_t0
+  FROM le JOIN ss ON le.subject_id = ss.subject_id AND charttime >= t0 - INTERVAL 24 HOUR AND charttime < t0 + INTERVAL 24 HOUR AND (hadm IS NULL OR hadm = ss.hadm_id)""")
+def single_site_labs(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("subject_id"), "o_orderdate")
+    labs = table(spark, d, "lineitem").join(orders, "l_orderkey").select(
+        "subject_id", F.expr(_HADM).alias("hadm_id"), F.col("l_linenumber").alias("specimen_id"), F.col("l_partkey").alias("itemid"),
+        F.expr(f"o_orderdate + make_dt_interval(0, CAST({_DRAWN} AS INT))").alias("charttime"), F.col("l_quantity").alias("valuenum"),
+        *(F.lit(None).cast("string").alias(c) for c in ("ref_range_lower", "ref_range_upper", "flag", "priority", "order_provider_id")),
+    )
+    return labs_window(labs, single_site(spark, d)).select("subject_id", "hadm_id", "stay_id", "specimen_id", "itemid", "charttime", "valuenum", "hours_from_t0")
+
+
+def demographics(spark, d):
+    """The cohort with its race from another table, which has to know every patient."""
+    race = table(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("race"))
+    people = integrity.checked_left_join(single_site(spark, d).select("subject_id", "gender", "anchor_age"), race, "subject_id", ["race"])
+    return targets.demographic_targets(people, "subject_id", spark.createDataFrame(list(BUCKETS.items()), "raw string, bucket string"), ("goods", "home"))
+
+
+@query(f"""WITH {SINGLE_SITE} SELECT subject_id, CASE WHEN gender = 'F' THEN 1 ELSE 0 END AS gender_female, CASE WHEN anchor_age >= 65 THEN 1 ELSE 0 END AS age_ge65,
+  CASE {_BUCKET} WHEN 'goods' THEN 0 WHEN 'home' THEN 1 END AS race_binary FROM ss JOIN customer ON subject_id = c_custkey""")
+def demographic_targets(spark, d):
+    return demographics(spark, d)[0]
+
+
+@query(f"WITH {SINGLE_SITE} SELECT c_mktsegment AS race, count(*) AS n FROM ss JOIN customer ON subject_id = c_custkey WHERE {_BUCKET} IS NULL GROUP BY 1")
+def demographic_exclusions(spark, d):
+    return demographics(spark, d)[1]
+
+
+@query(f"""WITH {T_WIDE} SELECT count(*) AS n_cohort, count(*) FILTER (WHERE {_WHOLE}) AS n, count(*) FILTER (WHERE NOT ({_WHOLE})) AS n_dropped, 1 - count(*) FILTER (WHERE {_WHOLE}) / count(*)::DOUBLE AS drop_rate,
+  avg(outcome) FILTER (WHERE {_WHOLE}) AS prevalence, count(*) FILTER (WHERE outcome IS NULL) AS target_missing FROM wi""")
+def arm_integrity(spark, d):
+    _, found = integrity.complete_arm(t_wide(spark, d), "custkey", NAMES, "outcome")
+    return spark.createDataFrame([found], "n_cohort long, n long, n_dropped long, drop_rate double, prevalence double, target_missing long")
+
+
+_SETS = {"whole": _WHOLE, "partial": f"NOT ({_WHOLE})", "goods": f"({_BUCKET}) = 'goods'", "home": f"({_BUCKET}) = 'home'", "expired": "outcome = 1"}
+
+
+@query(f"""WITH {T_WIDE}, me AS ({" UNION ALL ".join(f"SELECT {i} AS i, '{s}' AS s, custkey FROM wi WHERE {c}" for i, (s, c) in enumerate(_SETS.items()))}), si AS (SELECT i, s, count(DISTINCT custkey) AS n FROM me GROUP BY ALL)
+  SELECT x.s AS a, y.s AS b, x.n AS n_a, y.n AS n_b, n_both, n_both = 0 AS disjoint, n_both = x.n AND n_both = y.n AS equal FROM si x JOIN si y ON x.i < y.i,
+  LATERAL (SELECT count(DISTINCT p.custkey) AS n_both FROM me p JOIN me q ON p.custkey = q.custkey AND p.i = x.i AND q.i = y.i)""")
+def set_overlaps(spark, d):
+    return integrity.overlaps(t_wide(spark, d), "custkey", {s: F.expr(c) for s, c in _SETS.items()})
+
+
 # --- discretisation ---
 
 _Z = ("l_quantity", "l_extendedprice", "l_discount")
