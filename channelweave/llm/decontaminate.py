@@ -7,7 +7,6 @@ the rows, so a worker's memory is bounded whatever the benchmark's size."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,7 +22,9 @@ WINDOW = 10
 BLOCK_WORDS = 1_000_000
 #: A-Z to a-z; what belongs to no word to a space; digits, a-z and bytes from 0x80 stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: Words and what stands between them, of texts as characters.
+PIECE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*" + PIECE_WORD + r"|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 FOUND = "starts array<int>, ends array<int>, items array<string>, n_words long"
 
 
@@ -155,24 +156,25 @@ def found_in(text: str | None, windows: WindowSet, before) -> tuple[list[int], l
 
 def remove_spans(docs: DataFrame, text: str = "text", found: str = "found") -> DataFrame:
     """docs with hit words cut from the text (each span from its first word's first
-    character to its last word's last); texts without a hit stay as they are."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.DataFrame) -> pd.Series:
-        out = []
-        for t, s in zip(texts, spans.itertuples(index=False), strict=True):
-            if t is not None and len(s.starts):
-                raw = t.encode("utf-8", "replace")
-                places = [m.span() for m in WORD.finditer(raw)]
-                kept, at = [], 0
-                for a, b in zip(s.starts, s.ends, strict=True):
-                    kept.append(raw[at : places[a][0]])
-                    at = places[b - 1][1]
-                t = b"".join([*kept, raw[at:]]).decode("utf-8", "replace")
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn(text, F.when(F.size(f"{found}.starts") > 0, cut(F.col(text), F.col(found))).otherwise(F.col(text)))
+    character to its last word's last); texts without a hit stay as they are.
+
+    Column functions only, so that no second Python worker runs beside that of the
+    search. A text is taken apart into pieces, each a word with what stands before it."""
+    spans = F.col(f"{found}.starts"), F.col(f"{found}.ends")
+    hit = F.size(spans[0]) > 0
+    name = "_pieces"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    rows = docs.withColumn(name, F.when(hit, F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))))
+    starts, ends, pieces = *spans, F.col(name)
+
+    def before(a, k):
+        at = F.when(k > 0, F.get(ends, k - 1)).otherwise(0)  # what lies between the last span and this one
+        return F.concat(F.slice(pieces, at + 1, a - at), F.array(F.regexp_replace(F.get(pieces, a), PIECE_WORD, "")))
+
+    last = F.element_at(ends, -1)
+    kept = F.concat(F.flatten(F.transform(starts, before)), F.slice(pieces, last + 1, F.size(pieces) - last))
+    return rows.withColumn(text, F.when(hit, F.array_join(kept, "")).otherwise(F.col(text))).drop(name)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -63,6 +63,36 @@ def test_cut(spark):
         assert any(r.doc_id == i and words(r.text) == kept for r in clean)
 
 
+def plain_cut(text, spans):
+    """The text without the spans' words and what stands between them, byte by byte."""
+    raw = text.encode()
+    places = [m.span() for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+    gone = {k for a, z in spans for k in range(places[a][0], places[z - 1][1])}
+    return bytes(c for k, c in enumerate(raw) if k not in gone).decode()
+
+
+def test_cut_keeps_the_rest_as_it_was(spark):
+    rng = random.Random(5)
+    marks, letters = [" ", "\n", "--", ", ", "\t!", "$1_", "\\"], ["a", "Zz", "9", "é", "日本", "😀x", "_b"]
+    rows = []
+    for i in range(200):
+        text = "".join(rng.choice(marks) * rng.randrange(1, 3) + rng.choice(letters) for _ in range(rng.randrange(1, 30)))
+        text = (text if i % 2 else text.lstrip()) + rng.choice(["", "...", "\n"])
+        n, spans, at = len(words(text)), [], 0
+        while at < n and rng.random() < 0.7:
+            a = rng.randrange(at, n)
+            z = rng.randrange(a + 1, n + 1)
+            spans.append((a, z))
+            at = z + 1
+        rows.append((i, text, "mine", ([a for a, _ in spans], [z for _, z in spans])))
+    rows += [(200, None, "mine", ([], [])), (201, "", "mine", ([], [])), (202, "a " * 50_000 + "end", "mine", ([0], [50_000]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _pieces string, found struct<starts: array<int>, ends: array<int>>")
+    got = {r.doc_id: (r.text, r._pieces) for r in remove_spans(d).collect()}
+    for i, text, mine, (starts, ends) in rows:
+        spans = list(zip(starts, ends, strict=True))
+        assert got[i] == (plain_cut(text, spans) if spans else text, mine), i
+
+
 def test_empty(spark):
     _, _, d, b = data(spark)
     assert find_contamination(d, b.where("false")).where("size(found.starts) > 0").count() == 0
