@@ -23,7 +23,7 @@ DOCS_PER_LANG, DOCS, WINDOWS_PER_DOC = 1000, 30_000, 4
 STEPS, BATCH, RATE, SEED = 900, 96, 0.02, 7
 #: Windows that go through the network at a time, and bytes of texts cut up at a time
 #: (a longer text by itself).
-CHUNK, CUT_BYTES = 512, 1 << 18
+CHUNK, CUT_BYTES = 128, 1 << 18
 UNKNOWN = "und"
 #: Value that keeps positions behind a text's end from being a maximum.
 NEVER = np.float32(-1e4)
