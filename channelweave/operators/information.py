@@ -73,11 +73,14 @@ def average_ranks(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
     """(key, column, value, u): u is the average rank over n + 1.
 
     Ranks come from counts by value: a sum over sorted values is taken by ranges of
-    quantiles first, so no column's rows pass through one task."""
+    quantiles first, so no column's rows pass through one task. The ranges' ends (63 numbers
+    a column) are found by a job of their own: approximate quantiles depend on the order in
+    which parts arrive, and both sums have to be by the same ranges."""
     long = rows.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select(key, "x.*").where("value IS NOT NULL")
     by_value = long.groupBy("column", "value").agg(F.count("*").alias("c"))
-    cuts = by_value.groupBy("column").agg(F.percentile_approx("value", F.array(*(F.lit(i / 64) for i in range(1, 64))), F.lit(1000)).alias("cuts"))
-    placed = by_value.join(cuts, "column").withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("value")))).drop("cuts")
+    found = by_value.groupBy("column").agg(F.percentile_approx("value", F.array(*(F.lit(i / 64) for i in range(1, 64))), F.lit(1000)).alias("cuts")).collect()
+    cuts = rows.sparkSession.createDataFrame(found, "column string, cuts array<double>")
+    placed = by_value.join(F.broadcast(cuts), "column").withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("value")))).drop("cuts")  # a row for each column
     sums = placed.groupBy("column", "part").agg(F.sum("c").alias("m"))
     before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("column", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy("column")).alias("total"))
