@@ -542,7 +542,7 @@ def atoms_of(spark, d, measure):
   SELECT l_orderkey, count(DISTINCT v) AS n_v, count(DISTINCT s) AS n_s, count(DISTINCT y) AS n_y FROM c GROUP BY 1 HAVING least(count(DISTINCT v), count(DISTINCT s), count(DISTINCT y)) < 2""")
 def degenerate_cells(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", F.least(F.floor(F.col("l_quantity") / 10), F.lit(4)).cast("int").alias("v"), (F.month("l_shipdate") % 4).alias("s"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    return pid.degenerate(information.joint_counts(rows, ["l_orderkey"]), ["l_orderkey"])
+    return pid.degenerate(rows.dropna(subset=["v", "s", "y"]).withColumn("n", F.lit(1)), ["l_orderkey"])
 
 
 @query()

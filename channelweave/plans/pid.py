@@ -58,8 +58,10 @@ def decompose(counts: DataFrame, keys: list[str], measure: str = "broja") -> Dat
 
 
 def degenerate(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that have fewer than two levels of v, s or y."""
-    sizes = counts.where("n > 0").groupBy(*keys).agg(*(F.count_distinct(c).alias(f"n_{c}") for c in ("v", "s", "y")))
+    """Keys that have fewer than two levels of v, s or y; a key may have a level in several
+    rows. Levels are few, so a key's are sets, which are sorted in and out of memory: counts
+    of distinct levels would hold every row three times, and once more for each of them."""
+    sizes = counts.where("n > 0").groupBy(*keys).agg(*(F.size(F.collect_set(c)).cast("long").alias(f"n_{c}") for c in ("v", "s", "y")))
     return sizes.where("n_v < 2 OR n_s < 2 OR n_y < 2")
 
 

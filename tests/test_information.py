@@ -372,3 +372,11 @@ def test_average_ranks_use_one_set_of_ranges(spark):
         u = told[told.column == c].set_index("k").u.sort_index().to_numpy()
         assert np.allclose(u, (given.sort_values("k")[c].rank() / 3001).to_numpy())
     assert info.average_ranks(rows.where("k < 0"), ["a", "b"], "k").count() == 0
+
+
+def test_degenerate_cells_hold_each_row_once(spark):
+    """Three counts of distinct levels expanded every row; nulls and cells of no rows are none."""
+    rows = spark.createDataFrame([(1, 0, 0, 0, 1), (1, 1, 1, 1, 2), (2, 0, 0, 0, 1), (2, 0, 1, 1, 1), (3, 0, 0, 0, 1), (3, 1, 1, 1, 0)], "k int, v int, s int, y int, n int")
+    found = pid.degenerate(rows, ["k"])
+    assert sorted(map(tuple, found.select("k", "n_v", "n_s", "n_y").collect())) == [(2, 1, 2, 2), (3, 1, 1, 1)]
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
