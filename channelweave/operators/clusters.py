@@ -14,7 +14,6 @@ k-means++ on a sample of ``SAMPLE`` rows. The last pass reads all rows."""
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -23,10 +22,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from channelweave.functions.sums import array_sums, poisson_counts, summed
+from channelweave.sources.tables import scratch
 
 #: Rows by which starts are chosen.
 SAMPLE = 12_288
@@ -90,13 +90,6 @@ class Points(NamedTuple):
     levels: int
 
 
-def scratch(spark: SparkSession, name: str = "points") -> str:
-    """A new folder where all executors can write: in ``spark.checkpoint.dir``, or else in
-    the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(found or spark.conf.get('spark.sql.warehouse.dir') + '/_scratch').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def prepare(rows: DataFrame, key: list[str], blocks: dict[str, Block], targets: tuple[str, ...] = (), batch_rows: int = BATCH_ROWS) -> Points:
     """The rows as the passes read them: their plan runs once, for means and the table.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from channelweave.functions.columns import present
 from channelweave.operators.channels import channel_columns
-from channelweave.operators.clusters import scratch
+from channelweave.sources.tables import scratch
 
 
 class BrokenTable(ValueError):

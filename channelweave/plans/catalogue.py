@@ -13,7 +13,7 @@ from channelweave.operators import channels, cohort, information, integrity, qua
 from channelweave.operators.windowed import first_last, labs_window, offset_window, window_join
 from channelweave.plans import pid, report, resample, studies
 from channelweave.plans.constants import Study
-from channelweave.sources.tables import table
+from channelweave.sources.tables import stored, table
 
 STUDY = Study()
 QUERIES: dict = {}
@@ -51,17 +51,25 @@ def t_cohort(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t_items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").drop("l_tax", "l_linestatus")
+
+
+def t_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """All orders with their customer's window. Items meet it at their order, so that only
+    those within a window are dealt by customer."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("custkey"))
-    return table(spark, d, "lineitem").drop("l_tax", "l_linestatus").join(orders, "l_orderkey")
+    return orders.join(t_cohort(spark, d), "custkey")
 
 
 def t_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = window_join(t_items(spark, d), t_cohort(spark, d), "custkey", "l_shipdate")
+    rows = window_join(t_items(spark, d), t_anchors(spark, d), "l_orderkey", "l_shipdate")
     return rows.withColumn("hours_from_t0", hours_between("t0", "l_shipdate"))
 
 
 def t_paired(spark: SparkSession, d: str) -> DataFrame:
-    return first_last(t_window(spark, d), ["custkey", "l_returnflag"], "l_extendedprice", "hours_from_t0", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    # dealt by customer once: pairs, pivot and people need no other shuffle
+    rows = t_window(spark, d).repartition("custkey")
+    return first_last(rows, ["custkey", "l_returnflag"], "l_extendedprice", "hours_from_t0", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
 def t_people(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +152,7 @@ def windowed_labs_closed(spark, d):
 def null_tolerant_id_match(spark, d):
     n = F.col("l_linenumber") % 3
     items = t_items(spark, d).withColumn("hadm_id", F.when(n == 1, F.col("l_orderkey")).when(n == 2, F.col("l_orderkey") + 1))
-    rows = window_join(items, t_cohort(spark, d), "custkey", "l_shipdate", tolerant=("hadm_id", "o_orderkey"))
+    rows = window_join(items, t_anchors(spark, d), "l_orderkey", "l_shipdate", tolerant=("hadm_id", "o_orderkey"))
     return rows.select("custkey", "l_orderkey", "l_linenumber", "l_partkey", "hadm_id")
 
 
@@ -169,8 +177,9 @@ def paired_first_last_ties(spark, d):
   FROM (SELECT custkey, l_partkey, CASE WHEN l_discount > 0.02 THEN l_discount END AS lo, CASE WHEN l_quantity < 40 THEN l_quantity END AS hi FROM tw) JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def completeness_scan(spark, d):
     kinds = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    rows = t_window(spark, d).join(kinds, "l_partkey").withColumns({"lo": F.when(F.col("l_discount") > 0.02, F.col("l_discount")), "hi": F.when(F.col("l_quantity") < 40, F.col("l_quantity"))})
-    return resolve.completeness(rows, "custkey", ["p_type"], low="lo", high="hi")
+    limits = F.when(F.col("l_discount") > 0.02, F.col("l_discount")).alias("lo"), F.when(F.col("l_quantity") < 40, F.col("l_quantity")).alias("hi")
+    rows = stored(t_window(spark, d).select("custkey", "l_partkey", *limits), "window")  # read for the kinds and for the base
+    return resolve.completeness(rows.join(kinds, "l_partkey"), "custkey", ["p_type"], base=rows, low="lo", high="hi")
 
 
 @query(f"""WITH {E_WINDOW} SELECT event_type, count(DISTINCT user_id) AS n_subj, count(DISTINCT user_id) / (SELECT count(*) FROM ec)::DOUBLE AS completeness, count(*) AS n_obs FROM ew GROUP BY 1""")

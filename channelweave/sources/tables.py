@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,21 @@ def cached(df: DataFrame, folder: str, name: str, refresh: bool = False) -> Data
     return spark.read.parquet(path)
 
 
+def scratch(spark: SparkSession, name: str = "points") -> str:
+    """A new folder where all executors can write: in ``spark.checkpoint.dir``, or else in
+    the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(found or spark.conf.get('spark.sql.warehouse.dir') + '/_scratch').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written to a new folder and read back: what reads them several times does not
+    join and shuffle for them again."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def range_bucket(column: str, low: int, high: int, step: int) -> Column:
     """The range that an id falls into: its lower end, -1 below and the upper end above
     (so no id is lost), null for null."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from channelweave.operators import channels, cohort, resolve, targets
 from channelweave.operators.windowed import first_last, labs_window, offset_window
+from channelweave.plans import catalogue
 
 T0 = datetime(2020, 1, 10, 12)
 
@@ -121,3 +122,12 @@ def test_retarget(spark):
     assert {r.id: r.y for r in other.rows.collect()} == {1: 1, 3: 0} and other.meta["base_arm"] == "impute_mean"
     with pytest.raises(ValueError, match="unique"):
         channels.retarget(arm, spark.createDataFrame([(1, 1), (1, 0)], "id long, o int"), "o")
+
+
+def test_windows_are_dealt_by_customer_after_they_are_cut(spark, sf_dir):
+    """Items meet their window at the order: no join by customer reads all of them."""
+    plan = catalogue.t_paired(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("RepartitionByExpression [custkey") :]
+    first, *others = [line for line in dealt.splitlines() if "Join" in line]
+    assert "l_shipdate" in first and "l_orderkey" in first
+    assert not any("l_shipdate" in line for line in others)
