@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from channelweave.functions.columns import SENTINEL, finite, present
 from channelweave.operators.imputation import chained
+from channelweave.sources.tables import stored
 
 VALUES, TIMES = ("value_first", "value_last"), ("time_first", "time_last")
 
@@ -72,13 +73,15 @@ def arm_meta(arm: Channels, wide: DataFrame) -> DataFrame:
 def impute(wide: DataFrame, key: str, names: dict, target: str, method: str = "mean") -> Channels:
     """Every row with a known target. A missing time is the sentinel; a missing value is
     its column's mean ("mean"; taken over all but NaN), or a regression on the other
-    values ("mice"). Structure never predicts values."""
+    values ("mice"). Structure never predicts values. The rows are written first, so their
+    plan runs once."""
     values, times = channel_columns(names)
     if method not in ("mean", "mice"):
         raise ValueError(f"unknown method: {method!r}")
     rows = wide.where(F.col(target).isNotNull()).select(
         key, *values, *(F.coalesce(finite(F.col(c)), F.lit(SENTINEL)).alias(c) for c in times), F.col(target).cast("int").alias("y")
     )
+    rows = stored(rows, "impute")  # read for the statistics and again for the result
     rows = mean_filled(rows, values) if method == "mean" else chained(rows, values)
     return Channels(rows, key, tuple(values), tuple(times), {"arm": f"impute_{method}", "scope": sorted(names), "target": target})
 

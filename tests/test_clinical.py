@@ -131,3 +131,10 @@ def test_windows_are_dealt_by_customer_after_they_are_cut(spark, sf_dir):
     first, *others = [line for line in dealt.splitlines() if "Join" in line]
     assert "l_shipdate" in first and "l_orderkey" in first
     assert not any("l_shipdate" in line for line in others)
+
+
+@pytest.mark.parametrize("name", ["impute_mean_value", "impute_sentinel_time", "impute_chained", "zscore_sentinel", "completeness_scan"])
+def test_joins_run_once_where_rows_are_read_again(spark, sf_dir, name):
+    """What is read for statistics and for the result is written first."""
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
