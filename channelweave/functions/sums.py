@@ -100,9 +100,18 @@ def thresholds(rows: DataFrame, key: str, draws: int, n: int, seed: int, step: i
     return low
 
 
+#: By the first 16 bits of a mixed number: its count, or -1 where an end lies among them.
+_FIRST, _LAST = (np.searchsorted(POISSON_ENDS, (np.arange(1 << 16) + i) / 65536.0, "right") for i in (0, 1))
+POISSON_BY_BITS = np.where(_FIRST == _LAST, _FIRST, -1).astype(np.int8)
+
+
 def poisson_counts(keys: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
     """How often each key is in each resample."""
-    return np.searchsorted(POISSON_ENDS, uniform(keys, draw, seed), "right").astype(float)
+    z = mixed(keys, draw, seed)
+    out = POISSON_BY_BITS[(z >> np.uint64(64 - BITS - 16)).view(np.int64)].astype(float)
+    at = np.nonzero(out < 0)
+    out[at] = np.searchsorted(POISSON_ENDS, z[at].astype(float) / 2.0**53, "right")
+    return out
 
 
 def packed(x: np.ndarray) -> np.ndarray:

@@ -36,6 +36,11 @@ BATCH_ROWS, SLOTS = 1 << 20, 64
 TOLERANCE, MAX_PASSES = 1e-4, 100
 #: Numbers of a block of distances (rows x centres).
 BLOCK = 1 << 21
+#: Rows and models of a block of sums.
+ROWS, TILE = 256, 128
+#: Models move on this share of the rows before they move on all, and on its share of that
+#: before, while at least ``SAMPLE`` rows are left.
+SHARE = 4
 SUMS = "model int, sums array<double>"
 
 
@@ -147,14 +152,25 @@ class Stack:
         return (x**2) @ self.own[0] + x @ self.own[1] + there @ self.own[2] + (there.sum(1, keepdims=True) if self.flags else 0)
 
     def sums(self, x: np.ndarray, there: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """(models, k * (features + 1) + 1): sums and sizes by centre, and the inertia."""
-        f = self.features(x, there)
-        at, less = self.nearest(f)
-        hot = np.zeros((len(f), self.many, self.k))
-        np.put_along_axis(hot, at[:, :, None], weights[:, :, None], 2)
-        total = hot.reshape(len(f), -1).T @ np.hstack([f, np.ones((len(f), 1))])
-        inertia = (weights * (less + self.norm(x, there))).sum(0)
-        return np.hstack([total.reshape(self.many, -1), inertia[:, None]])
+        """(models, k * (features + 1) + 1): sums and sizes by centre, and the inertia.
+
+        Some models at a time, so that their distances stay in a core's cache."""
+        f = np.hstack([self.features(x, there), np.ones((len(x), 1))])
+        wide = f.shape[1]
+        norm, total, inertia = self.norm(x, there), np.empty((self.many, self.k, wide)), np.empty((self.many, 1))
+        moves = np.vstack([-2 * self.matrix, self.norms]).reshape(wide, self.many, self.k).transpose(0, 2, 1)
+        for a in range(0, self.many, TILE):
+            w = weights[:, a : a + TILE]
+            d = (f @ np.ascontiguousarray(moves[:, :, a : a + TILE]).reshape(wide, -1)).reshape(len(f), self.k, -1)
+            least, at = d[:, 0].copy(), np.zeros(w.shape, np.int16)
+            for c in range(1, self.k):
+                np.copyto(at, c, where=d[:, c] < least)
+                np.minimum(least, d[:, c], out=least)
+            for c in range(self.k):
+                np.multiply(w, at == c, out=d[:, c])
+            total[a : a + TILE] = (d.reshape(len(f), -1).T @ f).reshape(self.k, -1, wide).transpose(1, 0, 2)
+            inertia[a : a + TILE, 0] = (w * (least + norm[:, a : a + TILE])).sum(0)
+        return np.hstack([total.reshape(self.many, -1), inertia])
 
 
 def batch_arrays(points: Points, batch: pa.RecordBatch, rows: int) -> Iterator[tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]], np.ndarray]]:
@@ -194,10 +210,9 @@ def one_pass(points: Points, rows: DataFrame, fits: dict[int, Fit], seed: int) -
 
     def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         about, models = shared.value
-        widest = max(s.many * s.k for s in models)
         total: list | None = None
         for batch in batches:
-            for h, blocks, _ in batch_arrays(about, batch, max(16, BLOCK // widest)):
+            for h, blocks, _ in batch_arrays(about, batch, ROWS):
                 found = [s.sums(*blocks[s.block], weighed(h, s.replicates, seed)) for s in models]
                 total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
         return None if total is None else np.concatenate([x.ravel() for x in total])
@@ -308,22 +323,34 @@ def as_they_are(points: Points, specs: list[Spec]) -> dict[tuple[str, int], tupl
 
 def fit_many(points: Points, specs: list[Spec], tries: int = 1, tolerance: float = TOLERANCE, max_passes: int = MAX_PASSES, seed: int = 0, standardise: bool = True) -> list[Fit]:
     """All models, in the order of their specs. ``tries`` starts are drawn for each and
-    the best on the sample is run. Reruns agree, however the rows are dealt."""
+    the best on the sample is run. Reruns agree, however the rows are dealt.
+
+    Models come near on nested hashed parts of the rows, each ``SHARE`` times the last; then
+    they move on what a pass reads until they settle there, as if they had begun there."""
     fits = starts(points, specs, standards(points, specs, seed) if standardise else as_they_are(points, specs), tries, seed)
     flags = {b: x.sentinel is not None for b, x in points.blocks.items()}
-    active = set(fits)
-    for p in range(max_passes):
-        if not active:
-            break
-        found = one_pass(points, points.rows.where(F.col("slot") == p % points.slots), {m: fits[m] for m in active}, seed)
-        for m, sums in found.items():
-            old, new = fits[m], moved(fits[m], sums, flags[fits[m].spec.block])
-            gain = (new.sizes[:, None] * (new.centres - old.centres) ** 2).sum()
-            # centres of a part of the rows differ from pass to pass by chance
-            chance = new.centres.size / max(new.sizes.sum(), 1) * (1 - 1 / points.slots)
-            fits[m] = new
-            if gain <= (tolerance + chance) * max(new.inertia, 0):
-                active.discard(m)
+    each = max(points.n // points.slots, 1)
+    part = SHARE ** max(0, int(np.log(each / SAMPLE) / np.log(SHARE))) if each > SAMPLE else 1
+    while part >= 1:
+        active = set(fits)
+        for p in range(max_passes):
+            if not active:
+                break
+            rows = points.rows.where(F.col("slot") == p % points.slots)
+            if part > 1:
+                rows = rows.where(F.pmod(F.xxhash64(F.lit("part"), "h"), F.lit(part)) == 0)
+            found = one_pass(points, rows, {m: fits[m] for m in active}, seed)
+            if not found:
+                break
+            for m, sums in found.items():
+                old, new = fits[m], moved(fits[m], sums, flags[fits[m].spec.block])
+                gain = (new.sizes[:, None] * (new.centres - old.centres) ** 2).sum()
+                # centres of a part of the rows differ from pass to pass, or from all, by chance
+                chance = new.centres.size / max(new.sizes.sum(), 1) * (1 - 1 / (points.slots * part))
+                fits[m] = new
+                if gain <= (tolerance + chance) * max(new.inertia, 0):
+                    active.discard(m)
+        part //= SHARE
     return [fits[m] for m in range(len(specs))]
 
 

@@ -219,7 +219,9 @@ def bootstrap(
 ) -> DataFrame:
     """Nested bootstrap: (rep, target, measure, atoms, i_joint, converged) for each table
     of ``bootstrap_tables`` and each measure. A draw with one class has null atoms."""
-    counts = bootstrap_tables(rows, key, values, times, targets, k, reps, seed, sentinel).persist()
+    # tables are small and solves are not: a fixed number of tasks is not merged by size
+    spread = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    counts = bootstrap_tables(rows, key, values, times, targets, k, reps, seed, sentinel).repartition(spread, "rep", "target").persist()
     parts = [pid.decompose(counts, ["rep", "target"], m).select("rep", "target", F.lit(m).alias("measure"), *ATOMS, "i_joint", "converged") for m in measures]
     return reduce(DataFrame.unionByName, parts)
 

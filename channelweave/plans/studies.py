@@ -79,7 +79,9 @@ def sweep_tables(rows: DataFrame, key: str, values: list[str], times: list[str],
 
 def k_sweep(rows: DataFrame, key: str, values: list[str], times: list[str], y: str, ks: list[int], seeds: list[int], n_init: int = 10, measure: str = "broja", sentinel: float | None = None) -> DataFrame:
     """Decompositions of ``sweep_tables``; one solve for each, all in one plan."""
-    return decompose(sweep_tables(rows, key, values, times, y, ks, seeds, n_init, sentinel), ["k", "seed", "arm"], measure)
+    # tables are small and solves are not: a fixed number of tasks is not merged by size
+    spread = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return decompose(sweep_tables(rows, key, values, times, y, ks, seeds, n_init, sentinel).repartition(spread, "k", "seed", "arm"), ["k", "seed", "arm"], measure)
 
 
 def sweep_spread(sweep: DataFrame) -> DataFrame:

@@ -110,3 +110,17 @@ def test_sweep(spark, rows):
     sweep = studies.sweep_tables(rows.where("y IS NOT NULL"), "key", COLUMNS, ["t"], "y", [2, 5], [0, 1], n_init=2, sentinel=-999.0)
     n = {(r.k, r.seed, r.arm): r.n for r in sweep.groupBy("k", "seed", "arm").agg(F.sum("n").alias("n")).collect()}
     assert len(n) == 8 and len(set(n.values())) == 1
+
+
+def test_few_passes_read_all_rows(spark, monkeypatch):
+    """Models come near on parts of the rows, so few passes are left for all of them; they
+    settle there, and equal distances go to the first centre."""
+    rows = spark.range(60_000).select(F.col("id"), *(F.expr(f"randn({i}) + 4 * (id * {7 + i} % 5)").alias(f"x{i}") for i in range(3)))
+    points, seen = clusters.prepare(rows, ["id"], {"x": clusters.Block(["x0", "x1", "x2"])}), []
+    one_pass = clusters.one_pass
+    monkeypatch.setattr(clusters, "one_pass", lambda p, r, f, s: seen.append((len(f), (found := one_pass(p, r, f, s)))) or found)
+    fits = clusters.fit_many(points, [clusters.Spec("x", 8, i) for i in range(4)])
+    read = [sum(s.reshape(-1)[:-1].reshape(8, -1)[:, -1].sum() for s in found.values()) / n for n, found in seen]
+    assert read[-1] == 60_000 and max(read) == 60_000 and min(read) < 20_000
+    monkeypatch.undo()
+    assert all(f.inertia <= g.inertia * 1.001 for f, g in zip(fits, clusters.by_size(points, fits), strict=True))
