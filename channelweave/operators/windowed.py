@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from channelweave.functions.columns import hours_between, present
 
 
-def window_join(events: DataFrame, cohort: DataFrame, on: str, time: str, start: str = "t_win_start", end: str = "t_win_end", closed: bool = False, tolerant: tuple[str, str] | None = None) -> DataFrame:
+def window_join(
+    events: DataFrame, cohort: DataFrame, on: str, time: str, start: Column | str = "t_win_start", end: Column | str = "t_win_end", closed: bool = False, tolerant: tuple[str, str] | None = None
+) -> DataFrame:
     """events with the cohort's columns, where time is in [start, end), or [start, end]
-    if ``closed``. ``tolerant`` names an event's and a cohort's column that must agree
-    where the event's is known."""
+    if ``closed``. Bounds are columns of the cohort by name, or expressions of those ("c.x"),
+    which are worked out at the join and not shuffled. ``tolerant`` names an event's and a
+    cohort's column that must agree where the event's is known."""
     e, c = events.alias("e"), cohort.alias("c")
     t = F.col(f"e.{time}")
-    inside = (F.col(f"e.{on}") == F.col(f"c.{on}")) & (t >= F.col(f"c.{start}"))
-    inside &= (t <= F.col(f"c.{end}")) if closed else (t < F.col(f"c.{end}"))
+    low, high = (x if isinstance(x, Column) else F.col(f"c.{x}") for x in (start, end))
+    inside = (F.col(f"e.{on}") == F.col(f"c.{on}")) & (t >= low)
+    inside &= (t <= high) if closed else (t < high)
     if tolerant:
         inside &= F.col(f"e.{tolerant[0]}").isNull() | (F.col(f"e.{tolerant[0]}") == F.col(f"c.{tolerant[1]}"))
     own = [x for x in cohort.columns if x not in events.columns]

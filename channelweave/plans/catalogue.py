@@ -46,8 +46,7 @@ def e_window(spark: SparkSession, d: str) -> DataFrame:
 
 def t_cohort(spark: SparkSession, d: str) -> DataFrame:
     first = cohort.first_episode(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"])
-    first = first.select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("o_orderdate").alias("t0"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("outcome"))
-    return cohort.anchored(first, "t0", "365 DAYS", "365 DAYS")
+    return first.select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.col("o_orderdate").alias("t0"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("outcome"))
 
 
 def t_items(spark: SparkSession, d: str) -> DataFrame:
@@ -55,15 +54,20 @@ def t_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t_anchors(spark: SparkSession, d: str) -> DataFrame:
-    """All orders with their customer's window. Items meet it at their order, so that only
-    those within a window are dealt by customer."""
+    """All orders with their customer's anchor. Items meet its window at their order, so
+    that only those within it are dealt by customer."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("custkey"))
     return orders.join(t_cohort(spark, d), "custkey")
 
 
+def t_inside(items: DataFrame, anchors: DataFrame, tolerant: tuple[str, str] | None = None) -> DataFrame:
+    """Items from 365 days before their customer's anchor to 365 days after it."""
+    start, end = F.expr("c.t0 - INTERVAL 365 DAYS"), F.expr("c.t0 + INTERVAL 365 DAYS")
+    return window_join(items, anchors, "l_orderkey", "l_shipdate", start, end, tolerant=tolerant)
+
+
 def t_window(spark: SparkSession, d: str) -> DataFrame:
-    rows = window_join(t_items(spark, d), t_anchors(spark, d), "l_orderkey", "l_shipdate")
-    return rows.withColumn("hours_from_t0", hours_between("t0", "l_shipdate"))
+    return t_inside(t_items(spark, d), t_anchors(spark, d)).withColumn("hours_from_t0", hours_between("t0", "l_shipdate"))
 
 
 def t_paired(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +156,7 @@ def windowed_labs_closed(spark, d):
 def null_tolerant_id_match(spark, d):
     n = F.col("l_linenumber") % 3
     items = t_items(spark, d).withColumn("hadm_id", F.when(n == 1, F.col("l_orderkey")).when(n == 2, F.col("l_orderkey") + 1))
-    rows = window_join(items, t_anchors(spark, d), "l_orderkey", "l_shipdate", tolerant=("hadm_id", "o_orderkey"))
+    rows = t_inside(items, t_anchors(spark, d), ("hadm_id", "o_orderkey"))
     return rows.select("custkey", "l_orderkey", "l_linenumber", "l_partkey", "hadm_id")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from channelweave.operators import channels, cohort, resolve, targets
-from channelweave.operators.windowed import first_last, labs_window, offset_window
+from channelweave.operators.windowed import first_last, labs_window, offset_window, window_join
 from channelweave.plans import catalogue
 
 T0 = datetime(2020, 1, 10, 12)
@@ -54,6 +54,20 @@ def test_labs_window(spark, clinic):
     assert set(got) == {1, 4, 5} and got[1] == -24.0 and got[4] == 0.0
 
 
+def test_window_of_expressions(spark):
+    """Bounds worked out at the join are those of columns: the start is in, the end is not."""
+    at = lambda h, us=0: T0 + timedelta(hours=h, microseconds=us)
+    rows = [(1, 1, at(-24)), (1, 2, at(-24, -1)), (1, 3, at(24)), (1, 4, at(24, -1)), (2, 5, at(0)), (3, 6, at(0)), (None, 7, at(0)), (1, 8, None)]
+    events = spark.createDataFrame(rows, "id long, n long, t timestamp")
+    people = spark.createDataFrame([(1, T0), (2, None)], "id long, t0 timestamp")
+    bounds = F.expr("c.t0 - INTERVAL 24 HOURS"), F.expr("c.t0 + INTERVAL 24 HOURS")
+    for closed, want in ((False, {1, 4}), (True, {1, 3, 4})):
+        got = window_join(events, people, "id", "t", *bounds, closed=closed)
+        named = window_join(events, cohort.anchored(people, "t0"), "id", "t", closed=closed)
+        assert got.columns == ["id", "n", "t", "t0"]
+        assert {r.n for r in got.collect()} == {r.n for r in named.collect()} == want
+
+
 def test_offset_window(spark):
     events = spark.createDataFrame([(1, -1440), (1, 1440), (1, 1441), (2, 0), (1, None)], "id long, offset int")
     got = offset_window(events, spark.createDataFrame([(1,)], "id long"), "id", "offset").collect()
@@ -133,6 +147,15 @@ def test_windows_are_dealt_by_customer_after_they_are_cut(spark, sf_dir):
     assert not any("l_shipdate" in line for line in others)
 
 
+def test_orders_carry_an_anchor_and_no_window(spark, sf_dir):
+    """What is dealt by order is the order, its customer and the anchor: the window's bounds
+    are worked out at the join."""
+    for query in (catalogue.t_paired, catalogue.null_tolerant_id_match):
+        plan = query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        met = next(line for line in plan.splitlines() if "Join" in line and "l_shipdate" in line)
+        assert met.count("365") == 2 and plan.count("365") == 2 and "t_win" not in plan
+
+
 @pytest.mark.parametrize("name", ["impute_mean_value", "impute_sentinel_time", "impute_chained", "zscore_sentinel", "completeness_scan"])
 def test_joins_run_once_where_rows_are_read_again(spark, sf_dir, name):
     """What is read for statistics and for the result is written first."""
