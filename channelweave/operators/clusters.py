@@ -7,10 +7,11 @@ centre, and leaves sums; the driver gets a few numbers for each centre. A model
 has settled is out of the next pass.
 
 Rows are standardised per model: a resample has its own means and deviations, which are
-linear maps of the same columns and so go into the matrix. Passes read hashed samples
-of about ``batch_rows`` rows (all rows where there are no more), each a partition of the
-written table, so the cost of a pass does not grow with the table; starts are chosen by
-k-means++ on a sample of ``SAMPLE`` rows. The last pass reads all rows."""
+linear maps of the same columns and so go into the matrix. Starts are those of k-means||:
+its candidates are drawn by distance from all rows and weighed by all rows, and each model
+draws its centres from them by k-means++. Then every round reads all rows, however many
+there are: in the first ``ROUNDS`` centres move after each of some parts that together are
+all rows, and from then on after all rows at once, until the model settles there."""
 
 from __future__ import annotations
 
@@ -25,22 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from channelweave.functions.sums import array_sums, poisson_counts, summed
+from channelweave.functions.sums import array_sums, poisson_counts, summed, uniform
 from channelweave.sources.tables import scratch
 
-#: Rows by which starts are chosen.
-SAMPLE = 12_288
-#: Rows of a pass on average, and samples that passes take in turn.
-BATCH_ROWS, SLOTS = 1 << 20, 64
+#: Draws of candidates for starts, and how many each takes for a centre of the largest model.
+DRAWS, OVER = 4, 8
+#: Rows of a part on average while there are fewer than so many parts.
+BATCH_ROWS, SLOTS = 1 << 14, 16
+#: Rounds over all rows in which centres move after each part.
+ROUNDS = 2
 #: A model has settled when a pass lowers its inertia by less than this share.
 TOLERANCE, MAX_PASSES = 1e-4, 100
 #: Numbers of a block of distances (rows x centres).
 BLOCK = 1 << 21
 #: Rows and models of a block of sums.
 ROWS, TILE = 256, 128
-#: Models move on this share of the rows before they move on all, and on its share of that
-#: before, while at least ``SAMPLE`` rows are left.
-SHARE = 4
 SUMS = "model int, sums array<double>"
 
 
@@ -108,17 +108,17 @@ def prepare(rows: DataFrame, key: list[str], blocks: dict[str, Block], targets:
     if stats["unknown"]:
         rows.unpersist()
         raise ValueError("columns to cluster have nulls or NaN")
-    slots = max(1, -(-stats["n"] // batch_rows))
-    slot = F.least(F.pmod(F.xxhash64(F.lit("slot"), *key), F.lit(slots)), F.lit(SLOTS)).cast("int")
+    slots = min(max(1, -(-stats["n"] // batch_rows)), SLOTS)
+    slot = F.pmod(F.xxhash64(F.lit("slot"), *key), F.lit(slots)).cast("int")
     arrays = [F.array(*(F.col(c).cast("double") for c in block.columns)).alias(b) for b, block in blocks.items()]
     path = scratch(rows.sparkSession)
     made = rows.select(F.xxhash64(*key).alias("h"), slot.alias("slot"), *arrays, F.array(*(F.col(t).cast("int") for t in targets)).cast("array<int>").alias("y"))
-    made.write.partitionBy("slot").parquet(path)
+    made.write.parquet(path)
     rows.unpersist()
     centre = {b: np.array([stats[f"{b}_{i}"] or 0.0 for i in range(len(block.columns))]) for b, block in blocks.items()}
     levels = 1 + max((int(stats[f"top_{t}"] or 0) for t in targets), default=0)
-    schema = "h long, " + "".join(f"`{b}` array<double>, " for b in blocks) + "y array<int>, slot int"
-    return Points(rows.sparkSession.read.schema(schema).parquet(path), stats["n"], min(slots, SLOTS), blocks, centre, list(targets), levels)
+    schema = "h long, slot int, " + "".join(f"`{b}` array<double>, " for b in blocks) + "y array<int>"
+    return Points(rows.sparkSession.read.schema(schema).parquet(path), stats["n"], slots, blocks, centre, list(targets), levels)
 
 
 def base(points: Points, block: str, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,15 +160,16 @@ class Stack:
         norm, total, inertia = self.norm(x, there), np.empty((self.many, self.k, wide)), np.empty((self.many, 1))
         moves = np.vstack([-2 * self.matrix, self.norms]).reshape(wide, self.many, self.k).transpose(0, 2, 1)
         for a in range(0, self.many, TILE):
-            w = weights[:, a : a + TILE]
-            d = (f @ np.ascontiguousarray(moves[:, :, a : a + TILE]).reshape(wide, -1)).reshape(len(f), self.k, -1)
-            least, at = d[:, 0].copy(), np.zeros(w.shape, np.int16)
-            for c in range(1, self.k):
-                np.copyto(at, c, where=d[:, c] < least)
-                np.minimum(least, d[:, c], out=least)
-            for c in range(self.k):
-                np.multiply(w, at == c, out=d[:, c])
-            total[a : a + TILE] = (d.reshape(len(f), -1).T @ f).reshape(self.k, -1, wide).transpose(1, 0, 2)
+            w = np.ascontiguousarray(weights[:, a : a + TILE])
+            move = np.ascontiguousarray(moves[:, :, a : a + TILE]).reshape(wide, -1)
+            d = (f @ move).reshape(len(f), self.k, -1)
+            least = d.min(1)
+            near = d == least[:, None]
+            found = f.T @ np.multiply(near, w[:, None], out=d).reshape(len(f), -1)
+            if found[-1].sum() != w.sum():  # some rows are as near to other centres: they go to the first
+                near &= np.cumsum(near, 1) == 1
+                found = f.T @ np.multiply(near, w[:, None], out=d).reshape(len(f), -1)
+            total[a : a + TILE] = found.reshape(wide, self.k, -1).transpose(2, 1, 0)
             inertia[a : a + TILE, 0] = (w * (least + norm[:, a : a + TILE])).sum(0)
         return np.hstack([total.reshape(self.many, -1), inertia])
 
@@ -185,10 +186,18 @@ def batch_arrays(points: Points, batch: pa.RecordBatch, rows: int) -> Iterator[t
 def weighed(h: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
     """Rows' weights (rows x models); equal replicates are drawn once."""
     drawn, at = np.unique(replicates, return_inverse=True)
-    found = np.ones((len(h), len(drawn)))
-    if (drawn >= 0).any():
+    if (drawn >= 0).all():
+        found = poisson_counts(h, drawn, seed)
+    else:
+        found = np.ones((len(h), len(drawn)))
         found[:, drawn >= 0] = poisson_counts(h, drawn[drawn >= 0], seed)
-    return found[:, at]
+    return found if np.array_equal(drawn, replicates) else found[:, at]
+
+
+def weighed_once(h: np.ndarray, replicates: list[np.ndarray], seed: int) -> list[np.ndarray]:
+    """``weighed`` of each; equal lists of replicates share one result."""
+    made: dict[bytes, np.ndarray] = {}
+    return [made[r.tobytes()] if r.tobytes() in made else made.setdefault(r.tobytes(), weighed(h, r, seed)) for r in replicates]
 
 
 def stacks(points: Points, fits: dict[int, Fit]) -> list[Stack]:
@@ -213,7 +222,8 @@ def one_pass(points: Points, rows: DataFrame, fits: dict[int, Fit], seed: int) -
         total: list | None = None
         for batch in batches:
             for h, blocks, _ in batch_arrays(about, batch, ROWS):
-                found = [s.sums(*blocks[s.block], weighed(h, s.replicates, seed)) for s in models]
+                weights = weighed_once(h, [s.replicates for s in models], seed)
+                found = [s.sums(*blocks[s.block], w) for s, w in zip(models, weights, strict=True)]
                 total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
         return None if total is None else np.concatenate([x.ravel() for x in total])
 
@@ -240,8 +250,8 @@ def moved(fit: Fit, sums: np.ndarray, flags: bool) -> Fit:
 
 def standards(points: Points, specs: list[Spec], seed: int) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
     """(block, replicate) -> mean and deviation of each column (of what is there), by one
-    pass over all rows; a constant column is only centred."""
-    wanted = sorted({(s.block, s.replicate) for s in specs})
+    pass over all rows; a constant column is only centred. -1 is always among them."""
+    wanted = sorted({(s.block, r) for s in specs for r in (s.replicate, -1)})
     about = light(points)
     names = {b: np.array([r for x, r in wanted if x == b]) for b in points.blocks}
 
@@ -249,7 +259,8 @@ def standards(points: Points, specs: list[Spec], seed: int) -> dict[tuple[str, i
         total = None
         for batch in batches:
             for h, blocks, _ in batch_arrays(about, batch, max(16, BLOCK // max(1, *(len(r) for r in names.values())))):
-                found = [weighed(h, names[b], seed).T @ np.hstack([there, x, x * x]) for b, (x, there) in blocks.items()]
+                weights = weighed_once(h, [names[b] for b in blocks], seed)
+                found = [w.T @ np.hstack([there, x, x * x]) for w, (x, there) in zip(weights, blocks.values(), strict=True)]
                 total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
         return None if total is None else np.concatenate([x.ravel() for x in total])
 
@@ -279,29 +290,93 @@ def plus_plus(z: np.ndarray, w: np.ndarray, k: int, tries: int, rng: np.random.G
     return centres[int((w @ near).argmin())]
 
 
+def standardised(points: Points, block: str, x: np.ndarray, there: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    z = np.where(there > 0, (x - mean) / scale, 0.0)
+    return z if points.blocks[block].sentinel is None else np.hstack([z, there])
+
+
+def distances(z: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """(rows x among): squared distances; 0 where no more than rounding is left of them."""
+    norms = (z**2).sum(1)[:, None] + (among**2).sum(1)
+    d = norms - 2 * z @ among.T
+    return np.where(d > 1e-12 * norms, d, 0.0)
+
+
+def candidates(points: Points, block: str, known: tuple[np.ndarray, np.ndarray], each: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's candidates for starts, by k-means|| over all rows: a row, and then in each
+    of ``DRAWS`` passes ``each`` more with chances by their squared distance from those so far.
+
+    A row's number is an exponential draw over that distance; the smallest of all rows are
+    taken, so no row is drawn twice and rows that equal a candidate are not drawn at all."""
+    about, rows = light(points), points.rows.select("h", *points.blocks, "y")
+    d = len(points.centre[block])
+    x, there = np.zeros((0, d)), np.zeros((0, d))
+    for draw in range(DRAWS + 1):
+        so_far, most = standardised(points, block, x, there, *known), each if draw else 1
+
+        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros((0, 1 + 2 * d))
+            for batch in batches:
+                for h, blocks, _ in batch_arrays(about, batch, max(16, BLOCK // max(1, len(so_far)))):  # noqa: B023
+                    far = distances(standardised(about, block, *blocks[block], *known), so_far).min(1) if len(so_far) else np.ones(len(h))  # noqa: B023
+                    some = np.flatnonzero(far > 0)
+                    number = -np.log1p(-uniform(h[some], np.array([(1 << 40) + draw]), seed)[:, 0]) / far[some]  # noqa: B023
+                    held = np.vstack([held, np.column_stack([number, *(part[some] for part in blocks[block])])])
+                    held = held[np.argsort(held[:, 0], kind="stable")[:most]]  # noqa: B023
+            yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(list(held[:, 1:]), pa.list_(pa.float64()))], ["number", "x"])
+
+        found = rows.mapInArrow(least, "number double, x array<double>").orderBy("number", "x").limit(most).collect()  # as many as are asked
+        if not found:
+            break
+        more = np.array([r["x"] for r in found])
+        x, there = np.vstack([x, more[:, :d]]), np.vstack([there, more[:, d:]])
+    return x, there
+
+
+def candidate_weights(points: Points, found: dict[str, tuple[np.ndarray, np.ndarray]], known: dict, names: dict[str, np.ndarray], seed: int) -> dict[str, np.ndarray]:
+    """block -> (candidates x replicates): the weight of the rows that are nearest to each
+    candidate, by one pass over all rows."""
+    about = light(points)
+    among = {b: standardised(points, b, *c, *known[b, -1]) for b, c in found.items()}
+    widest = max(max(len(among[b]), len(names[b])) for b in among)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = {b: np.zeros((len(z), len(names[b]))) for b, z in among.items()}
+        for batch in batches:
+            for h, blocks, _ in batch_arrays(about, batch, max(16, BLOCK // widest)):
+                weights = weighed_once(h, [names[b] for b in among], seed)
+                for (b, z), w in zip(among.items(), weights, strict=True):
+                    at = distances(standardised(about, b, *blocks[b], *known[b, -1]), z).argmin(1)
+                    order = np.argsort(at, kind="stable")
+                    which, first = np.unique(at[order], return_index=True)
+                    total[b][which] += np.add.reduceat(w[order], first, 0)
+        return np.concatenate([t.ravel() for t in total.values()])
+
+    flat, at, out = summed(points.rows.select("h", *points.blocks, "y"), add), 0, {}
+    for b, z in among.items():
+        size = len(z) * len(names[b])
+        out[b] = flat[at : at + size].reshape(len(z), -1)
+        at += size
+    return out
+
+
 def starts(points: Points, specs: list[Spec], known: dict, tries: int, seed: int) -> dict[int, Fit]:
-    """First centres: the best of some k-means++ draws on the sample, a task for each
-    few models."""
+    """First centres: the best of some k-means++ draws among the candidates, weighed as the
+    model's rows are; a task for each few models."""
     spark = points.rows.sparkSession
-    # thinned by hash first: each task sends its smallest to the driver, so few may be left of it
-    thinned = F.pmod(F.xxhash64(F.lit("sample"), "h"), F.lit(1 << 30)) <= int(min(1, 2 * SAMPLE / max(points.n, 1)) * (1 << 30))
-    sample = points.rows.where(thinned).orderBy("h", *points.blocks).limit(SAMPLE).select("h", *points.blocks).toPandas()  # a bounded number of rows
-    if sample.empty:
-        raise ValueError("there are no rows to cluster")
-    arrays = {b: base(points, b, np.stack(sample[b].to_numpy()).astype(float)) for b in points.blocks}
-    shared = spark.sparkContext.broadcast((light(points), sample["h"].to_numpy(), arrays, specs, known))
+    names = {b: np.array(sorted({s.replicate for s in specs if s.block == b})) for b in sorted({s.block for s in specs})}
+    arrays = {b: candidates(points, b, known[b, -1], OVER * max(s.k for s in specs if s.block == b), seed) for b in names}
+    weights = candidate_weights(points, arrays, known, names, seed)
+    shared = spark.sparkContext.broadcast((light(points), names, arrays, weights, specs, known))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        about, h, blocks, wanted, maps = shared.value
+        about, drawn, blocks, heavy, wanted, maps = shared.value
         for batch in batches:
             out = []
             for m in batch["id"]:
                 spec = wanted[m]
-                x, there = blocks[spec.block]
-                mean, scale = maps[spec.block, spec.replicate]
-                z = np.where(there > 0, (x - mean) / scale, 0.0)
-                z = z if about.blocks[spec.block].sentinel is None else np.hstack([z, there])
-                w = weighed(h, np.array([spec.replicate]), seed)[:, 0]
+                z = standardised(about, spec.block, *blocks[spec.block], *maps[spec.block, spec.replicate])
+                w = heavy[spec.block][:, np.searchsorted(drawn[spec.block], spec.replicate)]
                 rng = np.random.default_rng([spec.seed, spec.start, spec.replicate + 1, spec.k, len(spec.block)])
                 out.append((int(m), plus_plus(z, w, spec.k, tries, rng).ravel()))
             yield pd.DataFrame(out, columns=["model", "sums"])
@@ -318,39 +393,32 @@ def starts(points: Points, specs: list[Spec], known: dict, tries: int, seed: int
 
 def as_they_are(points: Points, specs: list[Spec]) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
     """In place of ``standards``: only the shift of ``base``, and no scale."""
-    return {(s.block, s.replicate): (np.zeros(len(points.centre[s.block])), np.ones(len(points.centre[s.block]))) for s in specs}
+    return {(s.block, r): (np.zeros(len(points.centre[s.block])), np.ones(len(points.centre[s.block]))) for s in specs for r in (s.replicate, -1)}
 
 
 def fit_many(points: Points, specs: list[Spec], tries: int = 1, tolerance: float = TOLERANCE, max_passes: int = MAX_PASSES, seed: int = 0, standardise: bool = True) -> list[Fit]:
     """All models, in the order of their specs. ``tries`` starts are drawn for each and
-    the best on the sample is run. Reruns agree, however the rows are dealt.
+    the best by the candidates' weights is run. Reruns agree, however the rows are dealt.
 
-    Models come near on nested hashed parts of the rows, each ``SHARE`` times the last; then
-    they move on what a pass reads until they settle there, as if they had begun there."""
+    Every round reads all rows. In the first ``ROUNDS``, where the rows have parts, centres
+    move after each part, so few rounds are left in which they move by all rows at once: a
+    model has settled when such a round lowers its inertia by no more than ``tolerance``."""
+    if not points.n:
+        raise ValueError("there are no rows to cluster")
     fits = starts(points, specs, standards(points, specs, seed) if standardise else as_they_are(points, specs), tries, seed)
     flags = {b: x.sentinel is not None for b, x in points.blocks.items()}
-    each = max(points.n // points.slots, 1)
-    part = SHARE ** max(0, int(np.log(each / SAMPLE) / np.log(SHARE))) if each > SAMPLE else 1
-    while part >= 1:
-        active = set(fits)
-        for p in range(max_passes):
-            if not active:
-                break
-            rows = points.rows.where(F.col("slot") == p % points.slots)
-            if part > 1:
-                rows = rows.where(F.pmod(F.xxhash64(F.lit("part"), "h"), F.lit(part)) == 0)
-            found = one_pass(points, rows, {m: fits[m] for m in active}, seed)
-            if not found:
-                break
-            for m, sums in found.items():
-                old, new = fits[m], moved(fits[m], sums, flags[fits[m].spec.block])
-                gain = (new.sizes[:, None] * (new.centres - old.centres) ** 2).sum()
-                # centres of a part of the rows differ from pass to pass, or from all, by chance
-                chance = new.centres.size / max(new.sizes.sum(), 1) * (1 - 1 / (points.slots * part))
-                fits[m] = new
-                if gain <= (tolerance + chance) * max(new.inertia, 0):
-                    active.discard(m)
-        part //= SHARE
+    for p in range(ROUNDS * points.slots if points.slots > 1 else 0):
+        part = points.rows.where(F.col("slot") == p % points.slots)
+        fits |= {m: moved(fits[m], sums, flags[fits[m].spec.block]) for m, sums in one_pass(points, part, fits, seed).items()}
+    active = set(fits)
+    for _ in range(max_passes):
+        if not active:
+            break
+        for m, sums in one_pass(points, points.rows, {m: fits[m] for m in active}, seed).items():
+            old, fits[m] = fits[m], moved(fits[m], sums, flags[fits[m].spec.block])
+            gain = (fits[m].sizes[:, None] * (fits[m].centres - old.centres) ** 2).sum()
+            if gain <= tolerance * max(fits[m].inertia, 0):
+                active.discard(m)
     return [fits[m] for m in range(len(specs))]
 
 

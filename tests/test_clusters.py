@@ -124,3 +124,35 @@ def test_few_passes_read_all_rows(spark, monkeypatch):
     assert read[-1] == 60_000 and max(read) == 60_000 and min(read) < 20_000
     monkeypatch.undo()
     assert all(f.inertia <= g.inertia * 1.001 for f, g in zip(fits, clusters.by_size(points, fits), strict=True))
+
+
+def test_rounds_read_all_rows(spark, rows, monkeypatch):
+    """However many parts the rows have, a round of parts is all rows, and models settle on all."""
+    points, seen = clusters.prepare(rows, ["key"], {"v": clusters.Block(COLUMNS)}, (), batch_rows=500), []
+    one_pass = clusters.one_pass
+    monkeypatch.setattr(clusters, "one_pass", lambda p, r, f, s: seen.append(found := one_pass(p, r, f, s)) or found)
+    fits = clusters.fit_many(points, [clusters.Spec("v", 6, i, 0, i - 1) for i in range(3)], tries=3)
+    read = [found[0][:-1].reshape(6, -1)[:, -1].sum() for found in seen if 0 in found]
+    parts = clusters.ROUNDS * points.slots
+    assert [sum(read[i : i + points.slots]) for i in range(0, parts, points.slots)] == [3000] * clusters.ROUNDS
+    assert len(read) > parts and set(read[parts:]) == {3000}
+    monkeypatch.undo()
+    for fit, all_ in zip(fits, clusters.by_size(points, fits), strict=True):
+        assert fit.sizes.sum() == all_.sizes.sum() and all_.inertia <= fit.inertia <= all_.inertia * 1.001
+
+
+def test_starts_from_all_rows(spark):
+    """Single rows far from 60,000 others are found by the starts, wherever they lie."""
+    far = F.when(F.col("id") % 10_000 == 17, 1000 + F.col("id")).otherwise(F.rand(1))
+    points = clusters.prepare(spark.range(60_000).select("id", far.alias("x")), ["id"], {"x": clusters.Block(["x"])})
+    fits = clusters.by_size(points, clusters.fit_many(points, [clusters.Spec("x", 7, i) for i in range(3)]))
+    assert all(f.sizes.tolist() == [59_994, 1, 1, 1, 1, 1, 1] for f in fits)
+
+
+def test_sums_of_equal_distances():
+    """A row as near to two centres goes to the first of them."""
+    points = clusters.Points(None, 0, 1, {"x": clusters.Block(["x"])}, {"x": np.zeros(1)}, [], 1)
+    fit = lambda *at: clusters.Fit(clusters.Spec("x", 3, 0), np.array(at)[:, None], np.zeros(1), np.ones(1), np.zeros(3), 0.0)
+    x = np.array([[0.0], [1.0], [2.0], [5.0]])
+    got = clusters.Stack(points, "x", {0: fit(0.0, 2.0, 2.0), 1: fit(9.0, 3.0, 1.0)}).sums(x, np.ones_like(x), np.array([[1.0, 2.0], [3.0, 1.0], [1.0, 1.0], [1.0, 4.0]]))
+    assert got[:, :-1].reshape(2, 3, 3)[:, :, -1].tolist() == [[4, 2, 0], [0, 5, 3]] and got[:, -1].tolist() == [12, 19]
