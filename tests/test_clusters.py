@@ -156,3 +156,11 @@ def test_sums_of_equal_distances():
     x = np.array([[0.0], [1.0], [2.0], [5.0]])
     got = clusters.Stack(points, "x", {0: fit(0.0, 2.0, 2.0), 1: fit(9.0, 3.0, 1.0)}).sums(x, np.ones_like(x), np.array([[1.0, 2.0], [3.0, 1.0], [1.0, 1.0], [1.0, 4.0]]))
     assert got[:, :-1].reshape(2, 3, 3)[:, :, -1].tolist() == [[4, 2, 0], [0, 5, 3]] and got[:, -1].tolist() == [12, 19]
+
+
+def test_sweep_counts_far_rows(spark):
+    """Levels of a sweep are those of all rows: each of a few far ones has its own."""
+    far = F.when(F.col("id") % 10_000 == 17, 1000 + F.col("id")).otherwise(F.rand(1))
+    rows = spark.range(60_000).select("id", far.alias("x"), F.rand(2).alias("t"), (F.col("id") % 2).alias("y"))
+    got = studies.sweep_tables(rows, "id", ["x"], ["t"], "y", [7], [0, 1], n_init=2).where("arm = 'fixed'").groupBy("seed", "v").agg(F.sum("n").alias("n"))
+    assert sorted((r.seed, r.v, r.n) for r in got.collect()) == [(s, v, 1 if v else 59_994) for s in (0, 1) for v in range(7)]
